@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tradelift.plans import registry
 
-MODULES = ["rfm"]
+MODULES = ["rfm", "scope"]
 
 
 def _load():
