@@ -375,7 +375,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) * h / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_tailed_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-tailed Student p; also the F(1, dof) tail when t is the root of F."""
     return pd.Series([np.nan if pd.isna(a) or pd.isna(v) or v <= 0 else _beta_tail(v / 2.0, 0.5, v / (v + a * a))

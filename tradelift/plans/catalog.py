@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tradelift.plans import registry
 
-MODULES = ["rfm", "scope", "discount", "models"]
+MODULES = ["rfm", "scope", "discount", "models", "returns"]
 
 
 def _load():

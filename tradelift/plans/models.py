@@ -54,10 +54,6 @@ def cross_model(spark, sf, params=FIXED):
     return X.two_stage_cross_slab(other_frame(spark, sf), M.GROUP, params)
 
 
-def coef(df, names, digits=4):
-    return r(df.select("Sizes", "Slab", *[F.col(a).alias(b) for a, b in names.items()]), digits)
-
-
 @query("stage1_residual", """SELECT "Sizes", "Slab", period, round(s1_icpt, 6) AS stage1_intercept, round(s1_slope, 6) AS stage1_coef_discount, round(s1_r2, 6) AS stage1_r2, round(resid, 6) AS residual_store FROM v_model""")
 def _(spark, sf):
     s = X.stage1_residual(month_frame(spark, sf), M.GROUP)
@@ -75,7 +71,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = X.stage1_residual(month_frame(spark, sf), M.GROUP)
     f = X.constrained_ridge(s, M.GROUP, "quantity", {"residual_store": 1, "base_discount_pct": 1}, 0.5)
-    return coef(f, {"intercept": "intercept", "coef_residual_store": "coef_residual", "coef_base_discount_pct": "coef_base", "r2": "r2"}).withColumn("r2", F.col("r2")) if False else r(
+    return r(
         f.select("Sizes", "Slab", "intercept", F.col("coef_residual_store").alias("coef_residual"), F.col("coef_base_discount_pct").alias("coef_base"), "r2"), 4, r2=6)
 
 
@@ -128,10 +124,18 @@ def _(spark, sf):
                       "predicted_quantity", "non_discount_baseline_quantity"), 4, intercept=3, r2=6, predicted_quantity=3, non_discount_baseline_quantity=3)
 
 
-@query("two_stage_tuned")
+view("v_best", """SELECT "Sizes", "Slab", lam, cv_r2 FROM (SELECT *, row_number() OVER (PARTITION BY "Sizes", "Slab" ORDER BY cv_r2 DESC, lam) AS k FROM v_score) WHERE k = 1""")
+descent_views("v_tuned", "v_model", G, "quantity", CROSS, [1, 1, -1, -1], lam="lam", extra='JOIN v_best USING ("Sizes", "Slab")')
+
+
+@query("two_stage_tuned", """
+SELECT "Sizes", "Slab", lam, round(cv_r2, 6) AS cv_r2, round(intercept, 3) AS intercept, round(b0, 4) AS coef_residual_store, round(b1, 4) AS coef_base, round(b2, 4) AS coef_lag, round(b3, 4) AS coef_other, round(r2, 6) AS r2
+FROM v_tuned JOIN v_best USING ("Sizes", "Slab")
+""")
 def _(spark, sf):
     _m, c = X.two_stage_cross_slab(other_frame(spark, sf), M.GROUP)
-    return r(c.drop("m"), 4)
+    return r(c.select("Sizes", "Slab", "lam", "cv_r2", "intercept", "coef_residual_store", F.col("coef_base_discount_pct").alias("coef_base"),
+                      F.col("coef_lag1_base_discount_pct").alias("coef_lag"), F.col(f"coef_{X.OTHER}").alias("coef_other"), "r2"), 4, cv_r2=6, intercept=3, r2=6)
 
 
 @query("prefer_ols", """
