@@ -20,7 +20,7 @@ def slab_order(df: DataFrame, slab: str = "Slab") -> DataFrame:
 
 def month_totals(outlet_days: DataFrame, keys=GROUP, discount="scheme_amount", sales="dsp_sales") -> DataFrame:
     """Outlets and sums per key and month. Outlets are counted by a first grouping on the outlet."""
-    extra = [c for c in ("mrp_qty",) if c in outlet_days.columns]
+    extra = [c for c in ("mrp_qty", "clp_sales") if c in outlet_days.columns]
     names = {"Quantity": "quantity", discount: "total_discount", sales: "sales_value"} | {c: c for c in extra}
     per = outlet_days.groupBy(*keys, "Outlet_ID", month_of("Date").alias("period")).agg(
         *[F.sum(c).alias(n) for c, n in names.items()])

@@ -220,7 +220,7 @@ _P6 = {c: 6 for c in ("actual_discount_pct", "base_discount_pct", "tactical_disc
 
 @query("month_model_frame", f"SELECT {_FRAME} FROM v_month")
 def _(spark, sf):
-    return r(month_frame(spark, sf), **_P6)
+    return r(month_frame(spark, sf).drop("clp_sales"), **_P6)
 
 
 @query("base_to_month", f"""
@@ -233,7 +233,7 @@ JOIN (SELECT "Sizes", "Slab", month AS period, base FROM v_bb) b USING ("Sizes",
 def _(spark, sf):
     od = S.outlet_days(D.discount_basis(txn(spark, sf, *BASIS, "Slab").where(K.allowed_slab("Slab"))), S.SlabRules())
     m = M.month_model_frame(od, M.GROUP, BaseParams(mode="data"))
-    return r(m.drop("tactical_discount_pct", "lag1_base_discount_pct", "base_price"), **_P6)
+    return r(m.drop("clp_sales", "tactical_discount_pct", "lag1_base_discount_pct", "base_price"), **_P6)
 
 
 @query("other_slabs_discount", """SELECT "Sizes", "Slab", period, round(other, 6) AS other_slabs_weighted_base_discount_pct FROM v_other""")
