@@ -239,7 +239,7 @@ def presence_matrix(df: DataFrame, subcategories) -> DataFrame:
     """1 where a sub-category sold in the month."""
     return df.groupBy(month_of("Date").alias("period")).pivot("Subcategory", list(subcategories)).agg(
         F.count(F.lit(1))).select("period", *[
-            F.coalesce(F.least(F.col(f"`{s}`"), F.lit(1)), F.lit(0)).cast("int").alias(s) for s in subcategories])
+            F.when(F.col(f"`{s}`") > 0, 1).otherwise(0).alias(s) for s in subcategories])
 
 
 def fy_region(df: DataFrame, regions: dict[str, str], labels=(), until=None) -> DataFrame:
