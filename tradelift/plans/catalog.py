@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tradelift.plans import registry
 
-MODULES = ["rfm", "scope", "discount", "models", "returns", "explore", "annual", "scenario"]
+MODULES = ["rfm", "scope", "discount", "models", "returns", "explore", "annual", "scenario", "streams"]
 
 
 def _load():
