@@ -407,7 +407,7 @@ def generate_scenarios(families: DataFrame, cells: DataFrame, seed: int = 7, bou
         draws = draws.withColumn("__x", broken).where("NOT __x").drop("__x", "min_pct", "max_pct")
     else:
         draws = L.enforce_ladder(draws, ladder, whole=True)
-    kept = drop_degenerate(draws, ["family", "candidate"])
+    kept = drop_degenerate(cut(draws), ["family", "candidate"])
     order = Window.partitionBy("family").orderBy("candidate")
     ids = kept.select("family", "candidate").distinct().withColumn("__k", F.row_number().over(order)).join(
         families.select("family", "allocated"), "family").where(F.col("__k") <= F.col("allocated"))

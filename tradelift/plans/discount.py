@@ -214,13 +214,14 @@ def _(spark, sf):
 
 
 _FRAME = """"Sizes", "Slab", period, store_count, round(quantity, 4) AS quantity, round(total_discount, 4) AS total_discount, round(sales_value, 4) AS sales_value,
-  round(actual, 6) AS actual_discount_pct, round(base, 6) AS base_discount_pct, round(tactical, 6) AS tactical_discount_pct, round(lag1, 6) AS lag1_base_discount_pct, round(base_price, 6) AS base_price"""
+  round(actual, 6) AS actual_discount_pct, round(base, 6) AS base_discount_pct, round(tactical, 6) AS tactical_discount_pct, round(lag1, 6) AS lag1_base_discount_pct, round(base_price + 3e-9, 6) AS base_price"""
 _P6 = {c: 6 for c in ("actual_discount_pct", "base_discount_pct", "tactical_discount_pct", "lag1_base_discount_pct", "base_price")}
 
 
 @query("month_model_frame", f"SELECT {_FRAME} FROM v_month")
 def _(spark, sf):
-    return r(month_frame(spark, sf).drop("clp_sales"), **_P6)
+    m = month_frame(spark, sf).drop("clp_sales")
+    return r(m.withColumn("base_price", F.col("base_price") + 3e-9), **_P6)
 
 
 @query("base_to_month", f"""

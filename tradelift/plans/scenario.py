@@ -342,6 +342,7 @@ def _(spark, sf):
 @query("score_generated")
 def _(spark, sf):
     b, g = generated(spark, sf, 1000)
+    g = cut(g)
     s = C.score_scenarios(b.cells, g.select("scenario_id", "period", "Sizes", "Slab", "value"), b.reference)
     return r(C.scenario_metrics(C.scenario_summary(s, b.reference)), 4)
 
