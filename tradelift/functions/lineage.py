@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def work_dir(spark: SparkSession, name: str) -> str | None:
+    """A fresh path below the shared folder the session names (spark.checkpoint.dir). A local session
+    without one gets a temporary folder; a cluster without one gets None."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{name}-{spark._jvm.java.util.UUID.randomUUID().toString()}"
+    if spark.sparkContext.master.startswith("local"):
+        return os.path.join(tempfile.mkdtemp(prefix="tradelift-"), name)
+    return None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names (spark.checkpoint.dir). A local session
-    without one gets a temporary folder; a cluster without one keeps the plan as it is."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tradelift-checkpoint-"))
-        else:
-            return df
-    return df.checkpoint(eager=True)
+    """The rows written once as a parquet table in the shared folder and read back, so a lost executor
+    re-reads the table instead of the fact. A checkpoint would run the last stage twice. Without a
+    shared folder the plan stays as it is."""
+    path = work_dir(df.sparkSession, "cut")
+    if path is None:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

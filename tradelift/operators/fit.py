@@ -96,10 +96,10 @@ def moments(df: DataFrame, keys, y: str, xs) -> DataFrame:
     return df.groupBy(*keys).agg(F.array(*[F.sum(cols[k]) for k in _pack(y, xs)]).alias("m"))
 
 
-def fit_moments(packed: DataFrame, keys, xs, signs, ols: bool = True) -> DataFrame:
+def fit_moments(packed: DataFrame, keys, xs, signs, ols: bool = True, carry=()) -> DataFrame:
     """Solves every row of (keys, m, lam). Adds n, intercept, r2, coef_<x> and, with `ols`, the plain
-    least-squares twin under ols_*."""
-    keys, xs, signs = list(keys), list(xs), list(signs)
+    least-squares twin under ols_*. `carry` columns pass through."""
+    keys, xs, signs = [*keys, *carry], list(xs), list(signs)
     names = ["n", "intercept", "r2"] + [f"coef_{x}" for x in xs]
     if ols:
         names += ["ols_intercept", "ols_r2"] + [f"ols_coef_{x}" for x in xs]
@@ -220,18 +220,15 @@ def fit_two_stage(months: DataFrame, keys, signs: dict[str, int], p: ModelParams
     """(month rows with residuals, coefficient rows). Both fits of all groups run in one plan."""
     keys = list(keys)
     rows = cut(stage1_residual(_with_enough(months, keys), keys))
+    xs, carry = list(signs), ["stage1_intercept", "stage1_coef_discount", "stage1_r2", "cv_r2"]
+    cols = Q.moment_columns("quantity", xs)
+    packed = rows.groupBy(*keys).agg(F.array(*[F.sum(cols[k]) for k in _pack("quantity", xs)]).alias("m"),
+                                     *[F.first(c).alias(c) for c in carry[:3]])
     if p.optimize_l2:
-        lams = tune_l2(rows, keys, order, "quantity", signs, p.candidates)
+        packed = packed.join(tune_l2(rows, keys, order, "quantity", signs, p.candidates), keys)
     else:
-        lams = rows.select(*keys).distinct().withColumns({"lam": F.lit(float(p.l2)), "cv_r2": F.lit(None).cast("double")})
-    packed = moments(rows, keys, "quantity", list(signs)).join(lams, keys)
-    fits = fit_moments(packed, keys, list(signs), signs.values())
-    first = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("stage1_intercept", "stage1_coef_discount", "stage1_r2")])
-    if p.optimize_l2:
-        fits = fits.join(lams.select(*keys, "cv_r2"), keys)
-    else:
-        fits = fits.withColumn("cv_r2", F.lit(None).cast("double"))
-    return rows, cut(fits.join(first, keys))
+        packed = packed.withColumns({"lam": F.lit(float(p.l2)), "cv_r2": F.lit(None).cast("double")})
+    return rows, cut(fit_moments(packed, keys, xs, signs.values(), carry=carry))
 
 
 def _signs(base: dict[str, int], p: ModelParams) -> dict[str, int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tradelift.functions.columns import positive_ratio, total
+from tradelift.functions.lineage import cut
 from tradelift.schema import SEGMENTS, RfmParams
 
 ORDER_KEYS = ["Outlet_ID", "Date", "Bill_No", "Final_State"]
@@ -71,14 +72,11 @@ def monetary_cut(outlets: DataFrame, value: str = "AOV") -> DataFrame:
         F.sum("n").over(every).alias("tn"), F.sum("s").over(every).alias("ts"),
     )
     inside = Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    ln, ls = F.col("cn") + F.col("bn"), F.col("cs") + F.col("bs")
+    rn = F.col("tn") - ln
     scored = (
-        cells.withColumn("cn", F.sum("n").over(inside)).withColumn("cs", F.sum("s").over(inside))
-        .join(blocks, "block")
-        .withColumn("ln", F.col("cn") + F.col("bn"))
-        .withColumn("ls", F.col("cs") + F.col("bs"))
-        .withColumn("rn", F.col("tn") - F.col("ln"))
-        .withColumn("lm", F.col("ls") / F.col("ln"))
-        .withColumn("rm", F.when(F.col("rn") > 0, (F.col("ts") - F.col("ls")) / F.col("rn")))
+        cells.withColumns({"cn": F.sum("n").over(inside), "cs": F.sum("s").over(inside)}).join(blocks, "block")
+        .withColumns({"ln": ln, "rn": rn, "lm": ls / ln, "rm": F.when(rn > 0, (F.col("ts") - ls) / rn)})
         .withColumn("between", F.col("ln") * F.col("rn") * F.pow(F.col("rm") - F.col("lm"), F.lit(2.0)))
     )
     return scored.agg(
@@ -113,25 +111,24 @@ def rfm_segment(rfm: DataFrame) -> DataFrame:
 def recency_frequency(txn: DataFrame, params: RfmParams = RfmParams()) -> DataFrame:
     """Outlet and state rows with order statistics, recency and frequency labels and totals.
 
-    Total_Net_Amt and Total_Sales are the outlet's totals over all its states."""
-    level = _outlet_level(txn)
-    newest = level.agg(F.max("any_last")).scalar()
+    Total_Net_Amt and Total_Sales are the outlet's totals over all its states, Scope_Sales the whole
+    scope's."""
+    # The fact is read once: everything below works on one row per outlet and state.
+    level = cut(_outlet_level(txn))
+    scope = level.agg(F.struct(F.max("any_last").alias("newest"), F.sum("state_sales").alias("sales"))).scalar()
     outlet = Window.partitionBy("Outlet_ID")
+    recency = F.datediff(scope["newest"], F.col("last_order"))
+    active = F.greatest(F.datediff("last_order", "first_order") + 1, F.lit(1))
     high_f = F.col("unique_order_days") >= params.frequency_threshold
-    return (
-        level.where(F.col("Outlet_ID").isNotNull())
-        .withColumn("Total_Net_Amt", F.sum("state_net").over(outlet))
-        .withColumn("Total_Sales", F.sum("state_sales").over(outlet))
-        .where(F.col("orders_count") > 0)
-        .drop("any_last", "state_net", "state_sales")
-        .withColumn("Recency_days", F.datediff(newest, F.col("last_order")))
-        .withColumn("Recency_flag", (F.col("Recency_days") <= params.recency_days).cast("int"))
-        .withColumn("R_label", F.when(F.col("Recency_flag") == 1, "Recent").otherwise("Stale"))
-        .withColumn("active_days", F.greatest(F.datediff("last_order", "first_order") + 1, F.lit(1)))
-        .withColumn("orders_per_day", F.col("orders_count") / F.col("active_days"))
-        .withColumn("F_label", F.when(high_f, "High").otherwise("Low"))
-        .withColumn("F_cluster_id", high_f.cast("int"))
-    )
+    totals = level.where(F.col("Outlet_ID").isNotNull()).withColumns({
+        "Total_Net_Amt": F.sum("state_net").over(outlet), "Total_Sales": F.sum("state_sales").over(outlet)})
+    return totals.where(F.col("orders_count") > 0).select(
+        "Outlet_ID", "Final_State", "first_order", "last_order", "unique_order_days", "orders_count", "AOV", "Total_Net_Amt", "Total_Sales",
+        scope["sales"].alias("Scope_Sales"), recency.alias("Recency_days"),
+        (recency <= params.recency_days).cast("int").alias("Recency_flag"),
+        F.when(recency <= params.recency_days, "Recent").otherwise("Stale").alias("R_label"),
+        active.alias("active_days"), (F.col("orders_count") / active).alias("orders_per_day"),
+        F.when(high_f, "High").otherwise("Low").alias("F_label"), high_f.cast("int").alias("F_cluster_id"))
 
 
 def rfm_outlets(txn: DataFrame, params: RfmParams = RfmParams()) -> DataFrame:
@@ -148,13 +145,13 @@ def segment_spine(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in SEGMENTS])).alias("segment"))
 
 
-def segment_summary(rfm: DataFrame, txn: DataFrame, states=("MAH", "UP")) -> DataFrame:
+def segment_summary(rfm: DataFrame, states=("MAH", "UP")) -> DataFrame:
     """The eight segments with outlet counts, means and share of all sales.
 
     An outlet's sales count once in each segment it appears in."""
     per_outlet = rfm.groupBy(F.col("RFM_Segment").alias("segment"), "Outlet_ID").agg(
         F.count("*").alias("rows"),
-        F.max("Total_Sales").alias("sales"),
+        F.max("Total_Sales").alias("sales"), F.max("Scope_Sales").alias("scope"),
         F.sum("unique_order_days").alias("days"),
         F.sum("AOV").alias("aov"),
         F.sum("Recency_days").alias("recency"),
@@ -162,13 +159,12 @@ def segment_summary(rfm: DataFrame, txn: DataFrame, states=("MAH", "UP")) -> Dat
     )
     grouped = per_outlet.groupBy("segment").agg(
         F.sum("rows").alias("total_outlets"),
-        F.sum("sales").alias("seg_sales"),
+        F.sum("sales").alias("seg_sales"), F.max("scope").alias("scope"),
         (F.sum("days") / F.sum("rows")).alias("avg_order_days"),
         (F.sum("aov") / F.sum("rows")).alias("avg_aov"),
         (F.sum("recency") / F.sum("rows")).alias("avg_recency"),
         *[F.sum(f"s{i}").alias(f"{s.lower()}_count") for i, s in enumerate(states)],
     )
-    all_sales = txn.agg(F.sum("SalesValue_atBasicRate")).scalar()
     filled = segment_spine(rfm.sparkSession).join(grouped, "segment", "left").fillna(0)
     return filled.select(
         "segment",
@@ -178,7 +174,7 @@ def segment_summary(rfm: DataFrame, txn: DataFrame, states=("MAH", "UP")) -> Dat
         F.round("avg_order_days", 2).alias("avg_order_days"),
         F.round("avg_aov", 2).alias("avg_aov"),
         F.round("avg_recency", 2).alias("avg_recency"),
-        F.round(positive_ratio("seg_sales", all_sales, 100.0, 0.0), 2).alias("market_share"),
+        F.round(positive_ratio("seg_sales", "scope", 100.0, 0.0), 2).alias("market_share"),
     )
 
 

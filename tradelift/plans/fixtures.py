@@ -44,12 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than there are cores. The driver's tables are
+    single row groups, which one task would read and process alone; a table of many files is
+    left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def txn(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Fact rows with the named columns. Every foreign key of the driver data resolves, so a
     dimension nobody asks for is not joined; Spark sizes each join side itself."""
     columns = columns or tuple(c for c in _COLUMNS if c not in ("Store_ID", "Distributor_ID"))
     needed = set("".join(_COLUMNS[c][1] for c in columns))
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"))
     if "o" in needed:
         df = df.join(table(spark, sf_dir, "orders"), _C("l_orderkey") == _C("o_orderkey"))
     if "c" in needed:

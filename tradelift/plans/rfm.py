@@ -90,8 +90,7 @@ LEFT JOIN (SELECT segment, sum(total_sales) AS sales
            FROM (SELECT DISTINCT segment, "Outlet_ID", total_sales FROM v_rfm) GROUP BY 1) h USING (segment)
 """)
 def _(spark, sf):
-    fact = txn(spark, sf, *FACT)
-    return R.segment_summary(R.rfm_outlets(fact, PARAMS), fact, STATES)
+    return R.segment_summary(outlets(spark, sf), STATES)
 
 
 @query("cluster_summary", """

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tradelift.functions.columns import col, norm_size, norm_text, number
+from tradelift.functions.lineage import cut
 from tradelift.schema import FACT_COLUMNS, MEASURES, NORMALIZED_DIMS
 
 # Source spellings and the canonical column each one fills.
@@ -243,6 +244,7 @@ def read_plan_grid(grid: DataFrame, validate: bool = True) -> DataFrame:
     )
     if validate:
         # One upload sheet: at most twelve months, and only the first few faults are shown.
+        long = cut(long)
         have = {r[0] for r in long.select("month_no").distinct().collect()}
         gaps = [MONTHS[m - 1].title() for m in FISCAL_ORDER if m not in have]
         if gaps:

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tradelift.functions import lineage
+
 REPORT_STEPS = ("step4", "step5")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a local session without one
-    gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        token = spark._jvm.java.util.UUID.randomUUID().toString()
-        return f"{base.rstrip('/')}/{name}-{token}"
-    if not spark.sparkContext.master.startswith("local"):
+    path = lineage.work_dir(spark, name)
+    if path is None:
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.mkdtemp(prefix="tradelift-"), name)
+    return path
 
 
 def write_result_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv", partition_by=()) -> list[str]:
