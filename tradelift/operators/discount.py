@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tradelift.functions.columns import fmt_g, month_of, number, period_of, positive_ratio, ratio, round_step, total
+from tradelift.functions.lineage import cut
 from tradelift.operators import sequence as Q
 from tradelift.schema import BaseParams
 
@@ -155,6 +156,8 @@ def base_depth_points(basis: DataFrame, keys=(), p: BaseParams = BaseParams()) -
     if p.mode == "define":
         points = month_base(_to_period(days, keys, "M"), keys, p)
     else:
+        # Key x day rows are read twice from here on.
+        days = cut(days)
         base = block_base(days, keys, p)
         marked = days.withColumn("month", month_of("period")).join(base, [*keys, "month"]).drop("month")
         points = marked if p.grain == "D" else _to_period(marked, keys, p.grain)

@@ -113,12 +113,15 @@ def subcat_sections(df: DataFrame, k: int = 12) -> DataFrame:
 def scope_summary(df: DataFrame) -> DataFrame:
     """Rows, distinct outlets, bills, products and brands, span and totals.
 
-    Each distinct count is its own small aggregation of combined keys, put together as scalars."""
+    One pass yields (name, value) pairs that combine before they shuffle, a second the plain totals; a
+    direct multi-column distinct count would copy every row once per column."""
+    named = {"total_outlets": "Outlet_ID", "total_bills": "Bill_No", "distinct_products": "Sku_Code", "distinct_brands": "Brand"}
+    pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).cast("string").alias("v")) for n, c in named.items()])
+    seen = df.select(F.explode(pairs).alias("p")).select("p.n", "p.v").where("v IS NOT NULL").distinct().groupBy("n").agg(F.count("*").alias("k"))
+    counts = seen.agg(F.struct(*[F.coalesce(F.max(F.when(F.col("n") == n, F.col("k"))), F.lit(0)).alias(n) for n in named])).scalar()
     plain = df.agg(F.count("*").alias("total_rows"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"),
                    F.sum(SALES).alias("total_sales_value"), F.sum(QTY).alias("total_quantity"))
-    for name, c in (("total_outlets", "Outlet_ID"), ("total_bills", "Bill_No"), ("distinct_products", "Sku_Code"), ("distinct_brands", "Brand")):
-        plain = plain.withColumn(name, df.select(c).distinct().agg(F.count(c)).scalar())
-    return plain.withColumn("days", F.datediff("last_date", "first_date"))
+    return plain.select("*", *[counts[n].alias(n) for n in named], F.datediff("last_date", "first_date").alias("days"))
 
 
 def slab_mix(outlet_months: DataFrame) -> DataFrame:
