@@ -393,7 +393,24 @@ def _(spark, sf):
     return r(Q.regime_islands(month_frame(spark, sf), M.GROUP, "period"))
 
 
-@query("rolling_base")
+view("v_rb0", """
+SELECT "Sizes", "Slab", period, actual, row_number() OVER w AS rn, quantile_cont(actual, 0.35) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS cand,
+  list(actual) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS fut FROM v_m0 WINDOW w AS (PARTITION BY "Sizes", "Slab" ORDER BY period)
+""")
+view("v_rb", """
+SELECT "Sizes", "Slab", 0::BIGINT AS rn, cand AS base, NULL::BIGINT AS last, FALSE AS moved FROM v_rb0 WHERE rn = 12
+UNION ALL
+SELECT "Sizes", "Slab", rn, CASE WHEN jump THEN cand ELSE base + greatest(-0.15, least(0.15, cand - base)) END, CASE WHEN jump THEN rn ELSE last END, jump FROM (
+  SELECT m."Sizes", m."Slab", m.rn, m.cand, b.base, b.last, len(fut) >= 8 AND m.rn - coalesce(b.last, -11) >= 12 AND (
+    (cand >= b.base + 0.2 AND len(list_filter(fut, lambda x: x >= b.base + 0.2 * 0.6)) >= ceil(len(fut) * 0.6)) OR
+    (cand <= b.base - 0.2 AND len(list_filter(fut, lambda x: x <= b.base - 0.2 * 0.6)) >= ceil(len(fut) * 0.6))) AS jump
+  FROM v_rb b JOIN v_rb0 m ON m."Sizes" = b."Sizes" AND m."Slab" = b."Slab" AND m.rn = b.rn + 1)
+""")
+
+
+@query("rolling_base", """
+SELECT "Sizes", "Slab", period, round(actual, 6) AS actual_discount_pct, round(least(greatest(base, 0), 100), 6) AS base, moved FROM v_rb JOIN v_rb0 USING ("Sizes", "Slab", rn)
+""")
 def _(spark, sf):
     m = M.month_totals(defined_days(spark, sf)).select("Sizes", "Slab", "period", "actual_discount_pct")
     return r(Q.rolling_base(m, M.GROUP, "period", "actual_discount_pct", up=0.2, down=0.2), 6)

@@ -258,11 +258,29 @@ def _(spark, sf):
     return r(Base(spark, sf).reference.drop("reference_available", "reference_ml"), 2, reference_qty=3)
 
 
-@query("coupled_response")
+view("v_cr", """
+SELECT scenario_id, "Sizes", "Slab", 0 AS it, anchor::DOUBLE AS q, 0.0::DOUBLE AS oth, FALSE AS done FROM v_res WHERE idx = 0
+UNION ALL
+SELECT scenario_id, "Sizes", "Slab", it + 1, CASE WHEN done THEN q ELSE nq END, CASE WHEN done THEN oth ELSE no END, done OR d <= 1e-6 FROM (
+  SELECT *, sum(abs(nq - q)) OVER (PARTITION BY scenario_id, "Sizes") AS d FROM (
+    SELECT *, greatest(intercept + b0 * resid + b1 * pct + b2 * lastlag + b3 * no, 0) AS nq FROM (
+      SELECT *, CASE WHEN count(CASE WHEN w > 0 THEN 1 END) OVER p - CASE WHEN w > 0 THEN 1 ELSE 0 END > 0 THEN (sum(w * pct) OVER p - w * pct) / (sum(w) OVER p - w) ELSE 0 END AS no FROM (
+        SELECT c.*, r.intercept, r.b0, r.b1, r.b2, r.b3, r.resid, r.lastlag, r.pct,
+          CASE WHEN sum(greatest(q, 0)) OVER g > 0 THEN greatest(q, 0) / sum(greatest(q, 0)) OVER g ELSE 1.0 / count(*) OVER g END AS w
+        FROM v_cr c JOIN v_res r ON r.scenario_id = c.scenario_id AND r."Sizes" = c."Sizes" AND r."Slab" = c."Slab" AND r.idx = 0 WHERE it < 8
+        WINDOW g AS (PARTITION BY c.scenario_id, c."Sizes"))
+      WINDOW p AS (PARTITION BY scenario_id, "Sizes"))))
+""")
+
+
+@query("coupled_response", """
+SELECT scenario_id, "Sizes", "Slab", round(q, 3) AS qty, round(CASE WHEN sum(q) OVER g > 0 THEN q / sum(q) OVER g ELSE 1.0 / count(*) OVER g END, 5) AS weight, round(oth, 4) AS other
+FROM v_cr WHERE it = 8 WINDOW g AS (PARTITION BY scenario_id, "Sizes")
+""")
 def _(spark, sf):
     b = Base(spark, sf)
     d = C.resolve_scenario(b.cells, b.values()).where("idx = 0")
-    return r(C.coupled_response(d).select("scenario_id", "Sizes", "Slab", "qty", "weight", "other"), 4)
+    return r(C.coupled_response(d).select("scenario_id", "Sizes", "Slab", "qty", "weight", "other"), 4, qty=3, weight=5)
 
 
 @query("scenario_wide", """
