@@ -82,10 +82,10 @@ def _(spark, sf):
         F.count("*").alias("n"))
 
 
-@query("normalize_size", """SELECT "Sizes", count(*) AS n, sum("MRP") AS mrp FROM txn GROUP BY 1""")
+@query("normalize_size", """SELECT "Sizes", count(*) AS n, round(sum("MRP"), 2) AS mrp FROM txn GROUP BY 1""")
 def _(spark, sf):
     return I.normalize_size(I.unify_aliases(drifted(spark, sf))).groupBy("Sizes").agg(
-        F.count("*").alias("n"), F.sum("MRP").alias("mrp"))
+        F.count("*").alias("n"), F.round(F.sum("MRP"), 2).alias("mrp"))
 
 
 @query("canonical_state", """
