@@ -28,7 +28,6 @@ STATE_NAMES = {
     "UTTARPRADESH": "UP", "UTTAR PRADESH": "UP", "U P": "UP", "UP": "UP",
 }
 STATE_TOKENS = {"MAH": ("MAHARASHTRA", "MUMBAI", "VIDARBHA"), "UP": ("U.P", "UP", "UTTAR PRADESH")}
-SCOPE_SUBCATEGORIES = ("STX INSTA SHAMPOO", "STREAX INSTA SHAMPOO")
 SCOPE_SIZES = ("12-ML", "18-ML")
 
 
@@ -103,7 +102,8 @@ def canonical_state(c) -> Column:
     return F.when(col(c).isNotNull(), out)
 
 
-def project_scope(df: DataFrame, subcategories=SCOPE_SUBCATEGORIES, sizes=SCOPE_SIZES) -> DataFrame:
+def project_scope(df: DataFrame, subcategories, sizes=SCOPE_SIZES) -> DataFrame:
+    """Rows of the named sub-categories (upper case, single spaces) and pack sizes."""
     return df.where(norm_text("Subcategory").isin(*subcategories) & norm_size("Sizes").isin(*sizes))
 
 
