@@ -5,7 +5,7 @@ each counted once. Per-coordinate rates let rare slots move fast while L1 holds
 steady evidence at exactly zero, so the model is a short list of (slot, weight) that every task receives.
 
 Fitting takes a bounded sample of labelled rows, `max_per_class` of either label, chosen by a hash of the
-id; the intercept is then corrected for the share of each label that was drawn. Scoring reads all rows and whole texts.
+id; scores are therefore odds among the rows drawn. Scoring reads all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ def _fitted(bits: int, alpha: float, beta: float, l1: float, l2: float, epochs:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bits: int = 22, alpha: float = 0.3,
-        beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4, max_per_class: int = MAX_PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bits: int = 22, alpha: float = 0.6,
+        beta: float = 1.0, l1: float = 2.0, l2: float = 0.1, epochs: int = 6, max_per_class: int = MAX_PER_CLASS) -> Model:
     """The model for `labels` (key, label 0/1) of `docs`. Rows with a null key or label are left out; a label
     given twice counts twice; a label without a document is not used. Without any usable label every score is 0."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)")
@@ -103,8 +103,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     out = made.mapInPandas(_fitted(bits, alpha, beta, l1, l2, epochs), "slot bigint, weight double").toPandas()
     own = out.slot >= 0
     bias = float(out.weight[~own].sum()) if len(out) else -40.0
-    if len(share) == 2:
-        bias += np.log(share[0] / share[1])
     return Model(bits, out.slot[own].to_numpy(), out.weight[own].to_numpy(), bias)
 
 
