@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tradelift.llm.common import cut, partitions
 
@@ -160,7 +160,7 @@ def groups(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_sha256(text: pd.Series) -> pd.Series:
     return text.map(lambda t: hashlib.sha256(normalised(t)).hexdigest())
 
