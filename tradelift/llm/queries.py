@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradelift.llm import chat, exact, licenses, mixing, packing, simhash, topk, toxicity, urls
+from tradelift.llm import chat, exact, licenses, lines, mixing, packing, simhash, topk, toxicity, urls
 from tradelift.llm.common import LOWER, UPPER, table
 
 
@@ -58,7 +58,11 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_url_filter, op4_simhash, op5_licenses, op6_chat_format, op7_mixing, op8_packing, op9_top_k)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.decided(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_url_filter, op4_simhash, op5_licenses, op6_chat_format, op7_mixing, op8_packing, op9_top_k, op10_line_dedup)}
 ORACLES = {
     "op2_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
