@@ -223,12 +223,14 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable, for every row of `docs`.
 
     Null and empty texts and texts without words have the fingerprint zero and are linked like any other. Repeated
-    rows stay repeated. A row with a null doc_id keeps a row of the result; it shares the class of its
-    fingerprint, and if no row of the fingerprint has an id its component_id is null. Other columns are not read."""
+    rows stay repeated. Rows with a null doc_id take part, but a class made of them alone has a null
+    component_id. Other columns are not read."""
     marked = cut(fingerprints(docs, scheme))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    found = components(links(nodes, scheme))
-    named = cut(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    found = components(links(nodes.select("node", "fp"), scheme))
+    named = cut(nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")))
+    ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = cut(named.join(ids, "component").select("fp", "component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
