@@ -124,13 +124,31 @@ def test_monetary_cut_is_optimal(spark):
     assert high == len(x) - k
 
 
+def centred(A, y):
+    Z, v, p = A - A.mean(0), y - y.mean(), A.shape[1]
+    return np.concatenate([[len(y), y.mean(), v @ v / len(y)], A.mean(0), Z.T @ v / len(y), [Z[:, i] @ Z[:, j] / len(y) for i in range(p) for j in range(i, p)]])[None]
+
+
+def test_moments_far_from_zero(spark):
+    """A flat column beside a large mean takes no part, and a large target keeps its fit."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=36)
+    rows = [("flat", i, 900.1, float(x[i]), 1000.0 + 3 * float(x[i])) for i in range(36)] + [("far", i, 1e8 + float(x[i]), float(i), 1e8 + 2 * float(x[i]) + 1e-3 * i) for i in range(36)]
+    d = spark.createDataFrame(rows, "g string, i int, a double, b double, y double").repartition(5)
+    got = {r.g: r for r in X.constrained_ridge(d, ["g"], "y", {"a": 1, "b": 1}, 0.0).collect()}
+    assert got["flat"].coef_a == 0.0 == got["flat"].ols_coef_a and got["flat"].coef_b == pytest.approx(3.0) and got["flat"].intercept == pytest.approx(1000.0)
+    assert got["far"].coef_a == pytest.approx(2.0, abs=1e-3) and all(r.r2 <= 1.0 and r.ols_r2 <= 1.0 for r in got.values())
+    scores = X.penalty_scores(d, ["g"], "i", "y", {"a": 1, "b": 1}, [0.1, 1.0]).collect()
+    assert len(scores) == 4 and all(r.cv_r2 is None or r.cv_r2 <= 1.0 for r in scores)
+
+
 def test_ridge_against_search():
     rng = np.random.default_rng(1)
     for lam, signs in itertools.product([0.0, 0.1, 2.0], [[1, 1, -1], [0, -1, 1], [0, 0, 0]]):
         A = rng.normal(size=(30, 3))
         A[:, 2] = A[:, 0] + 0.1 * A[:, 2]
         y = A @ np.array([1.0, -2.0, 3.0]) + rng.normal(size=30)
-        m = np.concatenate([[30, y.sum(), y @ y], A.sum(0), A.T @ y, [A[:, i] @ A[:, j] for i in range(3) for j in range(i, 3)]])[None]
+        m = centred(A, y)
         a, b, r2 = X.fit_from_moments(m, np.array([lam]), signs)
         Z = (A - A.mean(0)) / A.std(0)
         w = b[0] * A.std(0)
@@ -147,7 +165,7 @@ def test_ridge_flat_and_collinear():
     x = np.array([1.0, 2, 3, 4])
     A = np.column_stack([x, x, np.ones(4)])
     y = 2 * x
-    m = np.concatenate([[4, y.sum(), y @ y], A.sum(0), A.T @ y, [A[:, i] @ A[:, j] for i in range(3) for j in range(i, 3)]])[None]
+    m = centred(A, y)
     a, b, r2 = X.fit_from_moments(m, np.array([0.0]), [1, 1, 1])
     assert np.allclose(A @ b[0] + a, y) and r2[0] == pytest.approx(1.0) and b[0][2] == 0.0
 
@@ -236,7 +254,7 @@ def test_generated_scenarios(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert runs[0] == runs[1]
     by = {}
-    for sid, f, a, size, slab, idx, period, v in runs[0]:
+    for plan, sid, f, a, size, slab, idx, period, v in runs[0]:
         by.setdefault(sid, {})[idx, size, slab] = v
         assert 5 <= v <= 30 and v == int(v)
     assert len(by) == 60 and len({tuple(sorted(v.items())) for v in by.values()}) == 60
@@ -247,6 +265,32 @@ def test_generated_scenarios(spark):
             assert lad == sorted(lad)
 
 
+def test_generation_by_plan(spark):
+    c = cells(spark)
+    raw = FM.default_families(spark, "a").unionByName(FM.default_families(spark, "b"))
+    fam = C.allocate_counts(FM.scenario_families(raw), ["plan"], 30, "priority_weight")
+    rows = C.generate_scenarios(fam, c, 5).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.plan, r.scenario_id), []).append((r.idx, r.Sizes, r.Slab, r.value))
+    assert len(by) == 60 == len({sid for _, sid in by}) and all(len(v) == len({x[:3] for x in v}) == 15 for v in by.values())
+    for plan in "ab":
+        assert len({tuple(sorted(v)) for (p, _), v in by.items() if p == plan}) == 30
+    assert {tuple(sorted(v)) for (p, _), v in by.items() if p == "a"} != {tuple(sorted(v)) for (p, _), v in by.items() if p == "b"}
+
+
+def test_generation_fills_up_or_raises(spark):
+    # one slab, and a first family that may not move: its scenarios are flat, so others give what it lacks
+    c = cells(spark).where("Sizes = '12-ML' AND Slab = 'slab1'")
+    fixed = {"base_min": 10, "base_max": 10, "month_shift_strength": 0, "volatility": 0}
+    fam = FM.default_families(spark).withColumns({k: F.when(F.col("family") == 0, v).otherwise(F.col(k)) for k, v in fixed.items()})
+    fam = fam.withColumn("allocated", F.when(F.col("family") == 0, 3).otherwise(8))
+    by = {(r.family, r.scenario_id) for r in C.generate_scenarios(fam, c, 5).select("family", "scenario_id").collect()}
+    assert len(by) == 19 and {f for f, _ in by} == {1, 2}
+    with pytest.raises(ValueError, match="default has 0 of 3"):
+        C.generate_scenarios(fam.where("family = 0"), c, 5)
+
+
 def test_scoring_keeps_totals_and_first_lag(spark):
     c = cells(spark)
     v = c.select(F.lit("s").alias("scenario_id"), "period", "Sizes", "Slab", (F.col("default_pct") + 1).alias("value"))
@@ -300,12 +344,15 @@ def test_plan_sheet(spark, tmp_path):
         I.read_plan_grid(I.read_plan_csv(spark, str(p)))
 
 
-def test_families():
-    same = [FM._default(0) | {"name": str(i)} for i in range(3)]
-    out = FM._diversify([dict(f) for f in same])
-    pairs = [FM.similarity(out[a], out[b]) for a, b in ((0, 1), (0, 2))]
-    assert max(pairs) < FM.SIMILAR and sum(f["priority_weight"] for f in out) == pytest.approx(1.0)
-    assert out[1]["name"].endswith("(diversified)") and out[0] == same[0] | {"priority_weight": out[0]["priority_weight"]}
+def test_families(spark):
+    one = FM.default_families(spark, "p").where("family = 0")
+    same = one.withColumn("family", F.explode(F.array(*[F.lit(i) for i in (1, 2, 4, 7)]))).withColumn("name", F.concat(F.lit("n"), F.col("family")))
+    out = FM.diversify_families(same).orderBy("family").collect()
+    assert [r.family for r in out] == [0, 1, 2, 3] and {r.provided for r in out} == {4}
+    assert out[0].action == "kept" and out[0].name == "n1" and out[1].action == "widened" and out[1].name == "n2 (diversified)"
+    assert all(r.action != "kept" and r.similarity_before >= FM.SIMILAR for r in out[1:]) and out[1].similarity_after < FM.SIMILAR
+    shares = FM.scenario_families(same.unionByName(FM.default_families(spark, "q").where("family = 2"))).collect()
+    assert sum(r.priority_weight for r in shares) == pytest.approx(2.0) and sorted(r.plan for r in shares) == list("ppppqqq")
 
 
 def test_trend_and_holt(spark):
@@ -332,7 +379,7 @@ def test_filters_and_reports(spark, tmp_path):
     rep = spark.createDataFrame([Row(report_key="k", step="Step4 ", report_name=" n ", reference_mode="m", metadata={"a": "1"}, created_at=dt.date(2024, 1, 1))])
     pay = spark.createDataFrame([("k", "x", 1.0), ("k", "y", 2.0)], "report_key string, item string, value double")
     sinks.save_reports(rep, pay, str(tmp_path / "r"))
-    assert sinks.list_reports(spark, str(tmp_path / "r"), 0).count() == 1 and sinks.get_report(spark, str(tmp_path / "r"), "k").count() == 2
+    assert sinks.list_reports(spark, str(tmp_path / "r"), 1).count() == 1 and sinks.get_report(spark, str(tmp_path / "r"), "k").count() == 2
     with pytest.raises(Exception):
         sinks.save_reports(rep.withColumn("step", F.lit("step9")), pay, str(tmp_path / "q"))
 

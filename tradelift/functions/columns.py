@@ -36,7 +36,7 @@ def allowed_slab(c, include_zero: bool = False) -> Column:
 
 def slab_index(c) -> Column:
     n = slab_number(c)
-    return F.when((n >= 1) & (n <= 4), n)
+    return F.when(n >= 1, n)
 
 
 def outlet_group(c) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tradelift.functions.columns import fiscal_label, fmt_g, month_of, outlet_group, positive_ratio, ratio, total
+from tradelift.functions.columns import allowed_slab, fiscal_label, fmt_g, month_of, outlet_group, positive_ratio, ratio, total
 from tradelift.operators import sequence as Q
 from tradelift.operators.fit import constrained_ridge
 
@@ -52,7 +54,7 @@ def top_n(df: DataFrame, n: int, by, ties=()) -> DataFrame:
 def product_options(df: DataFrame, n: int = 20) -> DataFrame:
     keys = ["Sku_Code", "Sku_Name", "Brand", "Sizes"]
     g = df.dropna(subset=keys).groupBy(*keys).agg(*_sums())
-    g = top_n(g, max(20, int(n)), ["sales_value", "quantity"], ["Sku_Code"]).where(F.trim("Sku_Code") != "")
+    g = top_n(g, n, ["sales_value", "quantity"], ["Sku_Code"]).where(F.trim("Sku_Code") != "")
     return g.withColumn("label", F.concat(
         F.trim("Sku_Name"), F.lit(" | "), F.trim("Sizes"), F.lit(" | "), F.trim("Brand"), F.lit(" ("), F.trim("Sku_Code"), F.lit(")")))
 
@@ -71,7 +73,7 @@ def product_contribution(base: DataFrame, product_codes=(), n: int = 50) -> Data
     scope = base.where(F.col("Sku_Code").isin(*product_codes)) if product_codes else base
     g = scope.dropna(subset=keys).groupBy(*keys).agg(*_sums())
     if not product_codes:
-        g = top_n(g, max(50, int(n)), ["sales_value", "quantity"], ["Sku_Code"])
+        g = top_n(g, n, ["sales_value", "quantity"], ["Sku_Code"])
     return brand_share_join(g, base)
 
 
@@ -150,6 +152,18 @@ def outlet_discount_variation(df: DataFrame) -> DataFrame:
     return out.withColumn("abs_deviation_pp", F.abs("deviation_pp"))
 
 
+def variation_cells(variation: DataFrame) -> DataFrame:
+    """Outlets, invoices, rows and the mean absolute deviation of every size-slab-month cell."""
+    return variation.groupBy("Sizes", "Slab", "Month").agg(
+        F.count("*").alias("outlets"), F.sum("rows").alias("rows"), F.round(F.avg("abs_deviation_pp"), 4).alias("mean_abs_deviation_pp"))
+
+
+def ranked_variation(variation: DataFrame, n: int = 100) -> DataFrame:
+    """The first n outlets of every cell by absolute deviation, then sales, with their rank; each task keeps n a cell."""
+    order = Window.partitionBy("Sizes", "Slab", "Month").orderBy(F.desc("abs_deviation_pp"), F.desc("sales_value"), "Outlet_ID")
+    return variation.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def discount_histogram(variation: DataFrame, keys=("Sizes", "Slab"), band: float = 0.5) -> DataFrame:
     """Outlets per discount band and their share within the keys."""
     low = F.floor(F.col("outlet_discount_pct") / band) * band
@@ -171,9 +185,24 @@ def pack_month_revenue(basis: DataFrame) -> DataFrame:
         F.sum(QTY).alias("volume"), F.sum("dsp_sales").alias("gross_revenue"), F.sum("clp_sales").alias("net_revenue"))
 
 
-def yoy_table(df: DataFrame, first: int, second: int, months=tuple(range(4, 12))) -> DataFrame:
-    """Calendar month by two years with the change, per size."""
-    w = df.where(F.year("Date").isin(first, second) & F.month("Date").isin(*months))
+def _in_spans(date: str, spans) -> Column:
+    """Whether a date lies in one of the spans (first day, day after the last); touching spans are one."""
+    whole = []
+    for a, b in sorted(spans):
+        if whole and a <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], b)
+        else:
+            whole.append([a, b])
+    ok = F.lit(False)
+    for a, b in whole:
+        ok = ok | ((F.col(date) >= F.lit(a)) & (F.col(date) < F.lit(b)))
+    return ok
+
+
+def yoy_table(df: DataFrame, first: int, second: int, months=tuple(range(1, 13))) -> DataFrame:
+    """Calendar month by two years with the change, per size. The months are also stated as ranges of Date, which reach the scan."""
+    spans = [(dt.date(y, m, 1), dt.date(y + m // 12, m % 12 + 1, 1)) for y in (first, second) for m in months]
+    w = df.where(_in_spans("Date", spans))
     g = w.groupBy("Sizes", F.month("Date").alias("month_no")).agg(*[
         F.sum(F.when(F.year("Date") == y, F.col(c))).alias(f"{n}_{y}")
         for n, c in (("sales", SALES), ("volume", QTY)) for y in (first, second)])
@@ -238,6 +267,12 @@ def subcat_month(df: DataFrame) -> DataFrame:
     return d.groupBy("period").agg(F.count("*").alias("subcategory_count"), F.array_join(F.sort_array(F.collect_set("s")), ", ").alias("subcategories"))
 
 
+def presence_rows(df: DataFrame) -> DataFrame:
+    """(period, subcategory) for every sub-category that sold in the month; presence_matrix() makes columns of chosen ones."""
+    d = df.select(month_of("Date").alias("period"), F.trim("Subcategory").alias("subcategory"))
+    return d.where("subcategory <> ''").distinct()
+
+
 def presence_matrix(df: DataFrame, subcategories) -> DataFrame:
     """1 where a sub-category sold in the month."""
     return df.groupBy(month_of("Date").alias("period")).pivot("Subcategory", list(subcategories)).agg(
@@ -250,7 +285,9 @@ def fy_region(df: DataFrame, regions: dict[str, str], labels=(), until=None) ->
     partial year."""
     d = df.withColumn("fy", fiscal_label("Date"))
     if labels:
-        d = d.where(F.col("fy").isin(*labels))
+        # a label leaves the century open; the ranges of Date reach the scan
+        years = [c + int(x[-2:]) for x in labels for c in (1900, 2000)]
+        d = d.where(_in_spans("Date", [(dt.date(y - 1, 4, 1), dt.date(y, 4, 1)) for y in years]) & F.col("fy").isin(*labels))
     if until is not None:
         d = d.where(F.col("Date") <= F.lit(until).cast("date"))
 
@@ -260,15 +297,24 @@ def fy_region(df: DataFrame, regions: dict[str, str], labels=(), until=None) ->
     return d.groupBy("fy", "Sizes").agg(*part(SALES, "sales"), F.sum(SALES).alias("total_sales"), *part(QTY, "quantity"), F.sum(QTY).alias("total_quantity"))
 
 
-def wh_contribution(df: DataFrame, slabs=("slab1", "slab2", "slab3", "slab4")) -> DataFrame:
-    """Wholesale share of sales per size and slab, as a conditional sum."""
-    d = df.withColumn("Slab", F.lower(F.trim("Slab"))).where(F.col("Slab").isin(*slabs))
+def wh_contribution(df: DataFrame, slabs=()) -> DataFrame:
+    """Wholesale share of sales per size and slab, as a conditional sum. All slabs from slab1 on unless `slabs` names some."""
+    d = df.withColumn("Slab", F.lower(F.trim("Slab")))
+    d = d.where(F.col("Slab").isin(*slabs)) if slabs else d.where(allowed_slab("Slab"))
     g = d.groupBy("Sizes", "Slab").agg(
         F.sum(SALES).alias("total_sales"),
         F.coalesce(F.sum(F.when(outlet_group("Final_Outlet_Classification") == "WH", F.col(SALES))), F.lit(0.0)).alias("wh_sales"))
     return g.withColumn("wh_contribution_pct", F.round(ratio("wh_sales", "total_sales", 100.0), 2))
 
 
+def wh_share(df: DataFrame, keys=("Final_State", "Sizes", "Slab")) -> DataFrame:
+    """Sales of all and of wholesale outlets per key and the wholesale share. The wholesale side is a condition inside the one
+    aggregation, so nothing is joined."""
+    wh = F.when(outlet_group("Final_Outlet_Classification") == "WH", F.col(SALES))
+    g = df.groupBy(*keys).agg(F.sum(SALES).alias("total_sales"), F.coalesce(F.sum(wh), F.lit(0.0)).alias("wh_sales"))
+    return g.withColumn("wh_share_pct", F.round(ratio("wh_sales", "total_sales", 100.0), 2))
+
+
 def discount_corr(df: DataFrame, keys, target: str, features) -> DataFrame:
     """Correlation of each feature with the target per group; nothing for flat or single rows."""
     t = F.col(target).cast("double")

@@ -8,11 +8,10 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tradelift.functions.columns import ratio
 from tradelift.functions.lineage import cut
-from tradelift.operators import sequence as Q
 from tradelift.schema import L2_FULL, ModelParams
 
 OTHER = "other_slabs_weighted_base_discount_pct"
@@ -21,15 +20,14 @@ TACTICAL_SIGNS = {"residual_store": 1, "base_discount_pct": 1, "tactical_discoun
 MIN_MONTHS = 3
 
 
-def standardize(n, sx, sxx, sy, sxy, syy):
-    """Moments of B problems to correlation form: matrix, vector, means, scales, y mean, y variance."""
-    mean, ym = sx / n[:, None], sy / n
-    cov = sxx / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+def standardize(cov, cxy, mean):
+    """Centred moments of B problems in correlation form: matrix, vector, scales. A column that is flat beside
+    its mean has scale 1 and no part in the fit."""
     std = np.sqrt(np.clip(np.einsum("bii->bi", cov), 0.0, None))
-    std = np.where(std <= 1e-12, 1.0, std)
-    C = cov / (std[:, :, None] * std[:, None, :])
-    c = (sxy / n[:, None] - mean * ym[:, None]) / std
-    return C, c, mean, std, ym, np.clip(syy / n - ym * ym, 0.0, None)
+    flat = std <= 1e-12 * np.maximum(1.0, np.abs(mean))
+    std = np.where(flat, 1.0, std)
+    C = np.where(flat[:, :, None] | flat[:, None, :], 0.0, cov / (std[:, :, None] * std[:, None, :]))
+    return C, np.where(flat, 0.0, cxy / std), std
 
 
 def solve_signed(C, c, lam, signs):
@@ -61,39 +59,41 @@ def solve_signed(C, c, lam, signs):
 
 
 def _unpack(m: np.ndarray, p: int):
-    n, sy, syy = m[:, 0], m[:, 1], m[:, 2]
-    sx, sxy = m[:, 3:3 + p], m[:, 3 + p:3 + 2 * p]
-    sxx = np.zeros((len(m), p, p))
+    n, ym, vy = m[:, 0], m[:, 1], np.clip(m[:, 2], 0.0, None)
+    mean, cxy = m[:, 3:3 + p], m[:, 3 + p:3 + 2 * p]
+    cov = np.zeros((len(m), p, p))
     k = 3 + 2 * p
     for i in range(p):
         for j in range(i, p):
-            sxx[:, i, j] = sxx[:, j, i] = m[:, k]
+            cov[:, i, j] = cov[:, j, i] = m[:, k]
             k += 1
-    return n, sx, sxx, sy, sxy, syy
+    return n, ym, vy, mean, cxy, cov
 
 
 def fit_from_moments(m: np.ndarray, lam: np.ndarray, signs):
     """(intercept, coefficients, r2) for rows of packed moments."""
-    n, sx, sxx, sy, sxy, syy = _unpack(m, len(signs))
-    C, c, mean, std, ym, vy = standardize(n, sx, sxx, sy, sxy, syy)
+    n, ym, vy, mean, cxy, cov = _unpack(m, len(signs))
+    C, c, std = standardize(cov, cxy, mean)
     w = solve_signed(C, c, lam, signs)
     coef = w / std
     res = vy - 2 * np.einsum("bi,bi->b", c, w) + np.einsum("bi,bij,bj->b", w, C, w)
-    r2 = np.where(n * vy > 1e-12, 1.0 - res / np.where(vy > 0, vy, 1.0), 0.0)
+    live = n * vy > 1e-12 * np.maximum(1.0, ym * ym * 1e-12)
+    r2 = np.where(live, 1.0 - np.clip(res, 0.0, None) / np.where(vy > 0, vy, 1.0), 0.0)
     return ym - np.einsum("bi,bi->b", coef, mean), coef, r2
 
 
-def _pack(y, xs):
-    """Names in packing order: n, y, yy, x.., xy.., xx.."""
-    p = len(xs)
-    return (["m_n", "m_y", "m_yy"] + [f"m_x{i}" for i in range(p)] + [f"m_xy{i}" for i in range(p)]
-            + [f"m_xx{i}_{j}" for i in range(p) for j in range(i, p)])
+def moment_columns(y: str, xs) -> list[Column]:
+    """Aggregates in packing order: count, mean and variance of y, means of x.., covariances with y.., covariances among x.. .
+    All are centred by Spark, so a large mean takes nothing from the precision."""
+    num = {c: F.col(c).cast("double") for c in [y, *xs]}
+    both = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
+    return [F.sum(F.lit(1.0)), F.avg(num[y]), F.var_pop(num[y]), *[F.avg(num[x]) for x in xs],
+            *[F.covar_pop(num[x], num[y]) for x in xs], *[F.covar_pop(num[a], num[b]) for a, b in both]]
 
 
 def moments(df: DataFrame, keys, y: str, xs) -> DataFrame:
     """One row per group with its packed moments `m`."""
-    cols = Q.moment_columns(y, xs)
-    return df.groupBy(*keys).agg(F.array(*[F.sum(cols[k]) for k in _pack(y, xs)]).alias("m"))
+    return df.groupBy(*keys).agg(F.array(*moment_columns(y, xs)).alias("m"))
 
 
 def fit_moments(packed: DataFrame, keys, xs, signs, ols: bool = True, carry=()) -> DataFrame:
@@ -134,10 +134,11 @@ def penalty_scores(df: DataFrame, keys, order, y: str, signs: dict[str, int], ca
     keys, xs = list(keys), list(signs)
     p, sg = len(xs), list(signs.values())
     first = max(p + 2, 8)
-    pre = Q.expanding_moments(df, keys, order, y, xs, include_current=False)
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    pre = df.withColumn("m", F.array(*[c.over(before) for c in moment_columns(y, xs)]))
     pre = pre.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    rows = pre.where((F.col("m_n") >= first) & (F.col("__n") - first >= 3)).select(
-        *keys, F.array(*[F.col(c) for c in _pack(y, xs)]).alias("m"),
+    rows = pre.where((F.get("m", F.lit(0)) >= first) & (F.col("__n") - first >= 3)).select(
+        *keys, "m",
         F.array(*[F.col(x).cast("double") for x in xs]).alias("x"), F.col(y).cast("double").alias("y"),
         F.posexplode(F.array(*[F.lit(float(c)) for c in candidates])).alias("idx", "lam"))
     schema = T.StructType([rows.schema[k] for k in keys] + [
@@ -221,8 +222,7 @@ def fit_two_stage(months: DataFrame, keys, signs: dict[str, int], p: ModelParams
     keys = list(keys)
     rows = cut(stage1_residual(_with_enough(months, keys), keys))
     xs, carry = list(signs), ["stage1_intercept", "stage1_coef_discount", "stage1_r2", "cv_r2"]
-    cols = Q.moment_columns("quantity", xs)
-    packed = rows.groupBy(*keys).agg(F.array(*[F.sum(cols[k]) for k in _pack("quantity", xs)]).alias("m"),
+    packed = rows.groupBy(*keys).agg(F.array(*moment_columns("quantity", xs)).alias("m"),
                                      *[F.first(c).alias(c) for c in carry[:3]])
     if p.optimize_l2:
         packed = packed.join(tune_l2(rows, keys, order, "quantity", signs, p.candidates), keys)

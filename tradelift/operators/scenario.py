@@ -15,6 +15,7 @@ from tradelift.operators.fit import OTHER
 from tradelift.schema import LADDER_MAX, LADDER_MIN
 
 CELL = ["Sizes", "Slab", "idx"]
+DRAWN = ["plan", "family", "candidate"]
 ANCHOR_KEYS = ["latest_month", "last_3m_avg", "ly_same_3m", "stress_explore"]
 MONEY = ["baseline_revenue_gross", "scenario_revenue_gross", "baseline_revenue_net", "scenario_revenue_net",
          "baseline_profit", "scenario_profit", "baseline_investment", "scenario_investment", "scenario_investment_positive"]
@@ -104,7 +105,12 @@ def reference_totals(basis: DataFrame, cells: DataFrame, cogs: Column, mode: str
             F.add_months("p", -F.col("k")).alias("ref"))
     else:
         ref = months.select(F.add_months("period", -12).alias("ref"))
-    rows = basis.withColumn("ref", F.trunc("Date", "MM")).join(ref, "ref", "left_semi")
+    # a plan has a few months; as ranges of Date they reach the scan
+    firsts = [x.ref for x in ref.collect()]
+    wanted = F.lit(False)
+    for first in firsts:
+        wanted = wanted | ((F.col("Date") >= F.lit(first)) & (F.col("Date") < F.add_months(F.lit(first), 1)))
+    rows = basis.where(wanted)
     size = rows.groupBy("Sizes").agg(
         F.sum("Quantity").alias("reference_qty"), F.sum("dsp_sales").alias("reference_revenue_gross"),
         F.sum("clp_sales").alias("reference_revenue_net"), F.sum("scheme_amount").alias("reference_investment"))
@@ -236,10 +242,12 @@ def scenario_thresholds(metrics: DataFrame, min_volume=None, min_pack_volume: di
 
 
 def rank_scenarios(totals: DataFrame, metric: str = "revenue") -> DataFrame:
-    """Ordered by the metric, then revenue, margin and volume, all falling; ties by scenario id."""
+    """`rank` from 1 by the metric, then revenue, margin and volume, all falling; ties by scenario id. Scenarios of one
+    request, of which there are thousands at most, are ranked in one task."""
     by = {"volume": "vs_reference_ml_pct", "profit": "net_margin_points", "revenue": "vs_reference_revenue_gross_pct"}
     cols = [by[metric], by["revenue"], by["profit"], by["volume"]]
-    return totals.orderBy(*[F.desc_nulls_last(c) for c in dict.fromkeys(cols)], F.asc("scenario_id"))
+    order = Window.partitionBy(F.lit(1)).orderBy(*[F.desc_nulls_last(c) for c in dict.fromkeys(cols)], F.asc("scenario_id"))
+    return totals.withColumn("rank", F.row_number().over(order))
 
 
 def cell_bounds(values: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -259,7 +267,7 @@ def coupled_response(cells: DataFrame, rounds: int = 8, tol: float = 1e-6) -> Da
     """Slab quantities whose mix feeds back into the other slabs' discount.
 
     `cells` is keyed by (scenario_id, Sizes, Slab). Rounds are unrolled over one partitioning; a group
-    whose total change is within `tol` keeps its result."""
+    whose total change is within `tol` keeps its result. `done` tells which groups settled."""
     w = Window.partitionBy("scenario_id", "Sizes")
     d = cells.repartition("scenario_id", "Sizes").withColumns({
         "qty": F.col("anchor_qty"), "other": F.lit(0.0), "done": F.lit(False)})
@@ -342,11 +350,12 @@ def month_shift(pattern: Column, idx: Column, strength: Column) -> Column:
             .when(pattern == "pulse", F.when(r == 1, 0).otherwise(strength)).otherwise(0))
 
 
-def draw_scenarios(families: DataFrame, anchors: DataFrame, seed: int, oversample: int = 4) -> DataFrame:
-    """Candidate cells (family, candidate, idx, period, Sizes, Slab, value): `allocated` x `oversample`
-    candidates per family, each an anchor moved by the family's pattern, noise and gaps."""
-    ids = families.select("*", F.explode(F.sequence(F.lit(0), F.col("allocated") * oversample - 1)).alias("candidate"))
-    cand = [F.col("family"), F.col("candidate")]
+def draw_scenarios(families: DataFrame, anchors: DataFrame, seed: int, first: int = 0, last: int = 4) -> DataFrame:
+    """Candidate cells (plan, family, candidate, idx, period, Sizes, Slab, value): for every family the candidates numbered
+    from `first` to `last` times `allocated`, each an anchor moved by the family's pattern, noise and gaps. A
+    draw depends on the plan, family and number alone."""
+    ids = families.where("allocated > 0").select("*", F.explode(F.sequence(F.col("allocated") * first, F.col("allocated") * last - 1)).alias("candidate"))
+    cand = [F.col("plan"), F.col("family"), F.col("candidate")]
     u, run, pick = _uniform(seed, F.lit("anchor"), *cand), F.lit(0.0), F.lit(ANCHOR_KEYS[-1])
     cuts = []
     for a in ANCHOR_KEYS:
@@ -362,8 +371,8 @@ def draw_scenarios(families: DataFrame, anchors: DataFrame, seed: int, oversampl
     for a in ANCHOR_KEYS:
         value = F.when(F.col("anchor") == a, F.col(a)).otherwise(value)
     cell = [*cand, F.col("Sizes"), F.col("idx")]
-    ladder = Window.partitionBy("family", "candidate", "Sizes", "idx").orderBy(slab_number("Slab"), "Slab")
-    d = d.repartition("family", "candidate").withColumn("__a", value).withColumn("__prev", F.lag("__a").over(ladder))
+    ladder = Window.partitionBy(*DRAWN, "Sizes", "idx").orderBy(slab_number("Slab"), "Slab")
+    d = d.repartition(*DRAWN).withColumn("__a", value).withColumn("__prev", F.lag("__a").over(ladder))
     vol = F.col("volatility")
     noise = F.when(vol > 0, _whole(seed, -vol, vol, F.lit("noise"), *cell)).otherwise(0)
     bias = F.when(F.col("Sizes") == "12-ML", F.col("size_bias_12")).otherwise(F.col("size_bias_18"))
@@ -375,12 +384,13 @@ def draw_scenarios(families: DataFrame, anchors: DataFrame, seed: int, oversampl
     part = F.when(F.col("__prev").isNull(), start).otherwise(gap)
     d = d.withColumn("__p", part.cast("double"))
     d = d.withColumn("value", F.sum("__p").over(ladder.rowsBetween(Window.unboundedPreceding, 0)))
-    return L.enforce_ladder(d, ["family", "candidate", "Sizes", "idx"]).select("family", "candidate", "anchor", *CELL, "period", "value")
+    return L.enforce_ladder(d, [*DRAWN, "Sizes", "idx"]).select(*DRAWN, "anchor", *CELL, "period", "value")
 
 
-def drop_degenerate(values: DataFrame, key="scenario_id", decimals: int = 2) -> DataFrame:
+def drop_degenerate(values: DataFrame, key="scenario_id", decimals: int = 2, within=()) -> DataFrame:
     """Drops scenarios that are nearly flat, tiny or equal in all months, and later copies of an earlier
-    one. Copies meet in an aggregation that keeps only the lowest id."""
+    one. Copies meet in an aggregation that keeps only the lowest id; `within` names the key columns inside
+    which copies count, all scenarios together by default."""
     keys = [key] if isinstance(key, str) else list(key)
     month = values.groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(F.struct("Sizes", "Slab", F.round("value", decimals).alias("v")))).alias("cells"))
     whole = F.flatten(F.collect_list(F.transform("cells", lambda c: F.rint(c["v"]))))
@@ -388,28 +398,57 @@ def drop_degenerate(values: DataFrame, key="scenario_id", decimals: int = 2) ->
         whole.alias("v"), F.count_distinct(F.transform("cells", lambda c: F.rint(c["v"]))).alias("shapes"),
         F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("idx", "cells"))))).alias("signature"))
     live = s.where((F.size(F.array_distinct("v")) > 2) & (F.array_max("v") > 6) & (F.array_max("v") - F.array_min("v") > 2) & (F.col("shapes") > 1))
-    first = live.groupBy("signature").agg(F.min(F.struct(*keys)).alias("k")).select(*[F.col(f"k.{k}").alias(k) for k in keys])
+    first = live.groupBy(*within, "signature").agg(F.min(F.struct(*keys)).alias("k")).select(*[F.col(f"k.{k}").alias(k) for k in keys])
     return values.join(first, keys, "left_semi")
 
 
-def generate_scenarios(families: DataFrame, cells: DataFrame, seed: int = 7, bounds: DataFrame | None = None, oversample: int = 4) -> DataFrame:
-    """Scenario cells (scenario_id, family, idx, period, Sizes, Slab, value) in whole points, inside the
-    bounds, without degenerate or repeated scenarios; `families` carries how many each should give.
-    A family that yields fewer distinct scenarios than asked is visible in the count per family."""
+def _ranked(rows: DataFrame, keys, order: str, block: int = 512) -> DataFrame:
+    """`rank` from 1 by the whole number `order` inside every key. Blocks of numbers are counted first, so no window
+    holds more than a block."""
+    rows = rows.withColumn("__block", F.floor(F.col(order) / block))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(order))
+    return rows.join(counts.drop("__n"), [*keys, "__block"]).withColumn("rank", F.col("__before") + own).drop("__block", "__before")
+
+
+#: Candidates of a family are drawn up to these multiples of the number asked for.
+ROUNDS = (4, 16, 100)
+
+
+def generate_scenarios(families: DataFrame, cells: DataFrame, seed: int = 7, bounds: DataFrame | None = None) -> DataFrame:
+    """Scenario cells (plan, scenario_id, family, anchor, idx, period, Sizes, Slab, value) in whole points, inside the bounds, without
+    degenerate scenarios and without two equal ones in a plan; `families` (plan, family, ..., allocated) carries how many
+    each family should give.
+
+    Candidates are drawn in rounds, up to a hundred times the number asked for, until every plan has enough. What a
+    family lacks then comes from the plan's other families. A plan that still falls short raises ValueError."""
     families = cut(families)
-    draws = draw_scenarios(families, cut(anchor_vectors(cells)), seed, oversample)
-    ladder = ["family", "candidate", "Sizes", "idx"]
+    anchors = cut(anchor_vectors(cells))
     if bounds is not None:
         L.check_bounds(bounds)
-        draws = draws.join(bounds, ["period", "Sizes", "Slab"], "left")
-        draws = L.enforce_bounded(draws, ladder)
-        broken = F.bool_or(F.col("value").isNull()).over(Window.partitionBy("family", "candidate"))
-        draws = draws.withColumn("__x", broken).where("NOT __x").drop("__x", "min_pct", "max_pct")
-    else:
-        draws = L.enforce_ladder(draws, ladder, whole=True)
-    kept = drop_degenerate(cut(draws), ["family", "candidate"])
-    order = Window.partitionBy("family").orderBy("candidate")
-    ids = kept.select("family", "candidate").distinct().withColumn("__k", F.row_number().over(order)).join(
-        families.select("family", "allocated"), "family").where(F.col("__k") <= F.col("allocated"))
-    ids = ids.select("family", "candidate", F.format_string("f%d-%05d", F.col("family"), F.col("__k")).alias("scenario_id"))
-    return kept.join(ids, ["family", "candidate"]).select("scenario_id", "family", "anchor", *CELL, "period", "value")
+    ladder, kept, first = [*DRAWN, "Sizes", "idx"], None, 0
+    wanted = families.groupBy("plan").agg(F.sum("allocated").alias("wanted"))
+    for last in ROUNDS:
+        draws = draw_scenarios(families, anchors, seed, first, last)
+        if bounds is not None:
+            draws = L.enforce_bounded(draws.join(bounds, ["period", "Sizes", "Slab"], "left"), ladder)
+            broken = F.bool_or(F.col("value").isNull()).over(Window.partitionBy(*DRAWN))
+            draws = draws.withColumn("__x", broken).where("NOT __x").drop("__x", "min_pct", "max_pct")
+        else:
+            draws = L.enforce_ladder(draws, ladder, whole=True)
+        all_drawn = cut(draws) if kept is None else kept.unionByName(cut(draws))
+        kept = cut(drop_degenerate(all_drawn, ["plan", "candidate", "family"], within=["plan"]))
+        have = kept.select(*DRAWN).distinct().groupBy("plan").agg(F.count("*").alias("have"))
+        short = wanted.join(have, "plan", "left").where(F.coalesce("have", F.lit(0)) < F.col("wanted")).orderBy("plan").limit(20).collect()
+        if not short:
+            break
+        first = last
+    if short:
+        raise ValueError("too few distinct scenarios: " + ", ".join(f"{r.plan} has {r.have or 0} of {r.wanted}" for r in short))
+    ids = _ranked(kept.select(*DRAWN).distinct(), ["plan", "family"], "candidate").join(families.select("plan", "family", "allocated"), ["plan", "family"])
+    own, spare = ids.where("rank <= allocated"), ids.where("rank > allocated")
+    lack = wanted.join(own.groupBy("plan").agg(F.count("*").alias("have")), "plan", "left").select("plan", (F.col("wanted") - F.coalesce("have", F.lit(0))).alias("lack")).where("lack > 0")
+    spare = _ranked(spare.drop("rank").withColumn("__turn", F.col("candidate") * F.lit(1000) + F.col("family")), ["plan"], "__turn", 512_000).join(lack, "plan").where(F.col("rank") <= F.col("lack"))
+    chosen = own.select(*DRAWN).unionByName(spare.select(*DRAWN)).withColumn("scenario_id", F.format_string("%s-f%d-%06d", "plan", "family", "candidate"))
+    return kept.join(chosen, DRAWN).select("plan", "scenario_id", "family", "anchor", *CELL, "period", "value")

@@ -78,10 +78,10 @@ def grain_totals(df: DataFrame) -> DataFrame:
 
 
 def grain_back_join(df: DataFrame) -> DataFrame:
-    """Each row with its outlet-month-size quantity. The totals are combined map-side and joined
-    back, so that one outlet with very many rows is split by the skew join instead of landing
-    in one window partition."""
-    return df.withColumn("Month", month_of("Date")).join(grain_totals(df), ["Outlet_ID", "Month", "Sizes"])
+    """Each row with its outlet-month-size quantity, null for a row without outlet, date or size. The totals are
+    combined map-side and joined back, so that one outlet with very many rows is split by the skew join instead
+    of landing in one window partition."""
+    return df.withColumn("Month", month_of("Date")).join(grain_totals(df), ["Outlet_ID", "Month", "Sizes"], "left")
 
 
 def repair_thresholds(thresholds, slab_count: int) -> list[float]:
@@ -127,7 +127,7 @@ def slab_of(size, quantity, rules: SlabRules) -> Column:
 
 
 def assign_slabs(df: DataFrame, rules: SlabRules) -> DataFrame:
-    """Rows with Slab recomputed from the outlet's month quantity (mode "define")."""
+    """Rows with Slab recomputed from the outlet's month quantity (mode "define"); slab0 where that is unknown."""
     if rules.mode != "define":
         return df
     return grain_back_join(df).withColumn("Slab", slab_of("Sizes", "Monthly_Quantity", rules)).drop(

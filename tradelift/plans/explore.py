@@ -171,7 +171,7 @@ SELECT "Sizes", CAST(month("Date") AS INTEGER) AS month_no, {', '.join(f'round({
 FROM txn WHERE year("Date") IN (1998, 1999) AND month("Date") BETWEEN 4 AND 11 GROUP BY 1, 2
 """)
 def _(spark, sf):
-    return r(P.yoy_table(txn(spark, sf, *CORE), 1998, 1999))
+    return r(P.yoy_table(txn(spark, sf, *CORE), 1998, 1999, range(4, 12)))
 
 
 @query("size_contribution", f"""
@@ -215,6 +215,11 @@ def _(spark, sf):
     return r(P.subcat_month_metrics(txn(spark, sf, "Date", "Category", "Subcategory", P.SALES, P.QTY).where("Category = 'PROMO'")))
 
 
+@query("presence_rows", """SELECT DISTINCT "Month" AS period, "Subcategory" AS subcategory FROM txn""")
+def _(spark, sf):
+    return P.presence_rows(txn(spark, sf, "Date", "Subcategory"))
+
+
 @query("presence_matrix", """
 SELECT "Month" AS period, CAST(max(CASE "Subcategory" WHEN 'RED WIDGET' THEN 1 ELSE 0 END) AS INTEGER) AS "RED WIDGET", CAST(max(CASE "Subcategory" WHEN 'BLUE BOLT' THEN 1 ELSE 0 END) AS INTEGER) AS "BLUE BOLT"
 FROM txn WHERE "Category" = 'PROMO' GROUP BY 1
@@ -245,13 +250,11 @@ def _(spark, sf):
 
 
 @query("wh_share_join", f"""
-SELECT "Final_State", "Sizes", "Slab", round(sum({SV}), 4) AS total_sales, round(coalesce(sum({SV}) FILTER ("Final_Outlet_Classification" = 'WH'), 0), 4) AS wh_sales FROM txn WHERE "Slab" IN ('slab1', 'slab2') GROUP BY ALL
+SELECT "Final_State", "Sizes", "Slab", round(sum({SV}), 4) AS total_sales, round(coalesce(sum({SV}) FILTER ("Final_Outlet_Classification" = 'WH'), 0), 4) AS wh_sales,
+  round(coalesce(sum({SV}) FILTER ("Final_Outlet_Classification" = 'WH'), 0) / sum({SV}) * 100, 2) AS wh_share_pct FROM txn GROUP BY "Final_State", "Sizes", "Slab"
 """)
 def _(spark, sf):
-    # The wholesale side is a condition inside the one aggregation, so nothing is joined.
-    t = txn(spark, sf, "Final_State", "Sizes", "Slab", "Final_Outlet_Classification", P.SALES).where("Slab IN ('slab1', 'slab2')")
-    wh = F.when(K.outlet_group("Final_Outlet_Classification") == "WH", F.col(P.SALES))
-    return r(t.groupBy("Final_State", "Sizes", "Slab").agg(F.sum(P.SALES).alias("total_sales"), F.coalesce(F.sum(wh), F.lit(0.0)).alias("wh_sales")))
+    return r(P.wh_share(txn(spark, sf, "Final_State", "Sizes", "Slab", "Final_Outlet_Classification", P.SALES)))
 
 
 @query("discount_corr", """

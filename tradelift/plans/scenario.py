@@ -230,16 +230,20 @@ def _(spark, sf):
 
 
 @query("scenario_thresholds", """
-SELECT scenario_id FROM v_met WHERE "Sizes" = 'TOTAL' AND vml >= (SELECT median(vml) FROM v_met WHERE "Sizes" = 'TOTAL') - 5 AND cts <= 100 AND scenario_id IN (SELECT scenario_id FROM v_met WHERE "Sizes" = '12-ML' AND vq >= -60)
-""".replace("(SELECT median(vml) FROM v_met WHERE \"Sizes\" = 'TOTAL') - 5", "-60"))
+SELECT scenario_id FROM v_met WHERE "Sizes" = 'TOTAL' AND vml >= (SELECT avg(vml) FROM v_met WHERE "Sizes" = 'TOTAL') AND cts <= 100 AND scenario_id IN (SELECT scenario_id FROM v_met WHERE "Sizes" = '12-ML' AND vq >= -60)
+""")
 def _(spark, sf):
-    return C.scenario_thresholds(Base(spark, sf).metrics(), min_volume=-60.0, min_pack_volume={"12-ML": -60.0}, max_cts=100.0).select("scenario_id")
+    m = cut(Base(spark, sf).metrics())
+    middle = m.where("Sizes = 'TOTAL'").agg(F.avg("vs_reference_ml_pct")).first()[0]
+    return C.scenario_thresholds(m, min_volume=middle, min_pack_volume={"12-ML": -60.0}, max_cts=100.0).select("scenario_id")
 
 
-@query("rank_scenarios", """SELECT scenario_id, round(margin, 5) AS net_margin_points, round(vr, 5) AS revenue_pct FROM v_met WHERE "Sizes" = 'TOTAL'""")
+@query("rank_scenarios", """
+SELECT scenario_id, CAST(row_number() OVER (ORDER BY margin DESC NULLS LAST, vr DESC NULLS LAST, vml DESC NULLS LAST, scenario_id) AS INTEGER) AS rank, round(margin, 5) AS net_margin_points, round(vr, 5) AS revenue_pct FROM v_met WHERE "Sizes" = 'TOTAL'
+""")
 def _(spark, sf):
     t = C.rank_scenarios(Base(spark, sf).metrics().where("Sizes = 'TOTAL'"), "profit")
-    return r(t.select("scenario_id", "net_margin_points", F.col("vs_reference_revenue_gross_pct").alias("revenue_pct")), 5)
+    return r(t.select("scenario_id", "rank", "net_margin_points", F.col("vs_reference_revenue_gross_pct").alias("revenue_pct")), 5)
 
 
 @query("cell_bounds", """

@@ -6,6 +6,7 @@ from tradelift.functions import columns as K
 from tradelift.operators import scope as S
 from tradelift.plans import rfm as PR
 from tradelift.plans.fixtures import table, txn
+from tradelift.functions.lineage import work_dir
 from tradelift.plans.registry import query, view
 from tradelift.schema import Filters, SlabRules
 from tradelift.sources import ingest as I, sinks
@@ -39,7 +40,7 @@ SELECT "Month", "Sizes", count(*) AS rows_read, count(DISTINCT "Bill_No") AS bil
 FROM txn GROUP BY ALL
 """)
 def _(spark, sf):
-    folder = sinks.work_dir(spark, "drops")
+    folder = work_dir(spark, "drops")
     cut = F.lit("1998-07-01").cast("date")
     drifted(spark, sf).where(F.col("Date") < cut).write.parquet(f"{folder}/drop_1.parquet")
     txn(spark, sf).where(F.col("Date") >= cut).write.parquet(f"{folder}/drop_2.parquet")
@@ -136,7 +137,7 @@ def _(spark, sf):
 SELECT "Sizes" AS size, "Month" AS month, round(sum("Quantity"), 2) AS volume, round(sum("SalesValue_atBasicRate"), 2) AS sales FROM txn GROUP BY ALL
 """)
 def _(spark, sf):
-    folder = sinks.work_dir(spark, "tables")
+    folder = work_dir(spark, "tables")
     t = txn(spark, sf, "Date", "Sizes", "Quantity", "SalesValue_atBasicRate").groupBy(
         F.col("Sizes").alias("size"), K.month_of("Date").alias("month")).agg(
         F.round(F.sum("Quantity"), 2).alias("volume"), F.round(F.sum("SalesValue_atBasicRate"), 2).alias("sales"))
@@ -193,7 +194,7 @@ SELECT md5("Final_State" || 'step4') AS report_key, 'step4' AS step, 'Plan ' ||
 FROM txn GROUP BY "Final_State" ORDER BY created_at DESC, report_key DESC LIMIT 10
 """)
 def _(spark, sf):
-    folder = sinks.work_dir(spark, "reports")
+    folder = work_dir(spark, "reports")
     t = txn(spark, sf, "Final_State", "Outlet_ID", "Date", "Sizes", "Quantity")
     key = F.md5(F.concat("Final_State", F.lit("step4")))
     head = t.groupBy("Final_State").agg(F.count_distinct("Outlet_ID").alias("o"), F.max("Date").alias("created_at")).select(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tradelift.plans.fixtures import txn
+from tradelift.functions.lineage import work_dir
 from tradelift.plans.registry import query
 from tradelift.sources import sinks
 from tradelift.streaming import drops as T
@@ -12,7 +13,7 @@ COLUMNS = ("Date", "Outlet_ID", "Bill_No", "Sizes", "Slab", "Quantity", "SalesVa
 
 def write_drops(spark, sf):
     """Three drops; the middle of the time range arrives last."""
-    folder = sinks.work_dir(spark, "stream")
+    folder = work_dir(spark, "stream")
     t = txn(spark, sf, *COLUMNS)
     year = F.year("Date")
     for i, part in enumerate((t.where(year < 1997), t.where(year >= 1999), t.where((year >= 1997) & (year < 1999)))):

@@ -145,10 +145,10 @@ def list_drops(spark: SparkSession, folder: str) -> list[str]:
     return [str(p.toString()) for p in sorted(found, key=lambda p: p.getName()) if p.getName().endswith(".parquet")]
 
 
-def scan_transactions(spark: SparkSession, folder: str, scope=None, required=()) -> DataFrame:
+def scan_transactions(spark: SparkSession, folder: str, scope=None, required=(), skipped: list | None = None) -> DataFrame:
     """All drops of a folder as one fact table. Drops with equal columns are read as one scan, so
     the plan has one branch per schema variant, not per file. Drops lacking a required column
-    are skipped; nothing is cached."""
+    are an error unless `skipped` is a list, which then receives (path, columns it lacks); nothing is cached."""
     variants: dict[str, tuple[T.StructType, list[str]]] = {}
     for p in list_drops(spark, folder):
         schema = spark.read.parquet(p).schema
@@ -156,7 +156,8 @@ def scan_transactions(spark: SparkSession, folder: str, scope=None, required=())
     parts = []
     for schema, paths in variants.values():
         raw = spark.read.schema(schema).parquet(*paths)
-        if require_columns(unify_aliases(raw), required, raise_error=False):
+        if lacking := require_columns(unify_aliases(raw), required, raise_error=skipped is None):
+            skipped += [(p, lacking) for p in paths]
             continue
         parts.append(tidy(raw, scope))
     if not parts:

@@ -4,18 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradelift.functions import lineage
-
 REPORT_STEPS = ("step4", "step5")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    path = lineage.work_dir(spark, name)
-    if path is None:
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
-    return path
-
-
 def write_result_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv", partition_by=()) -> list[str]:
     """Each named table below `folder`; returns the paths written."""
     if fmt not in ("csv", "parquet"):
@@ -41,9 +32,10 @@ def save_reports(reports: DataFrame, payload: DataFrame, folder: str) -> None:
 
 
 def list_reports(spark: SparkSession, folder: str, limit: int = 200) -> DataFrame:
-    """Newest first, 1 to 2000 rows."""
-    n = max(1, min(2000, int(limit)))
-    return spark.read.parquet(f"{folder}/reports").orderBy(F.desc("created_at"), F.desc("report_key")).limit(n)
+    """The newest `limit` reports."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    return spark.read.parquet(f"{folder}/reports").orderBy(F.desc("created_at"), F.desc("report_key")).limit(int(limit))
 
 
 def get_report(spark: SparkSession, folder: str, report_key: str) -> DataFrame:
