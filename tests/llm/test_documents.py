@@ -202,6 +202,8 @@ def test_raking_meets_marginals(spark):
     lang = {l: sum(c[3] for c in cells if c[1] == l) ** 0.7 for l in "xy"}
     assert abs(sum(r.weight for r in out if r.lang == "x") / w.sum() - lang["x"] / sum(lang.values())) < 1e-5
     assert mixing.rake(df.limit(0)).count() == 0
+    few = mixing.rake(df, {"source": {"a": 1, "z": 5}}).collect()
+    assert all((r.weight > 0) == (r.source == "a") for r in few)
 
 
 def test_sample_follows_its_chances(frame):

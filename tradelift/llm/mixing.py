@@ -16,8 +16,8 @@ from tradelift.llm.common import cut
 MARGINS = ("source", "lang", "topic")
 #: Target shares in proportion to actual shares to these powers, where a caller gives none.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-#: Part of the tokens that a sample keeps.
-KEEP = 0.5
+#: Part of the tokens that a sample keeps, beside the most that any single marginal would allow.
+KEEP = 0.9
 #: Cells of which a copy may go to every task; beyond it they are joined by shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -34,8 +34,9 @@ def token_count(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")) + 1).cast("long")
 
 
-def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: dict[str, float] | None = None, keep: float = KEEP, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
-    """`cells` (source, lang, topic, tokens) with raked weights, `keep` of all tokens together.
+def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: dict[str, float] | None = None, keep: float | None = None, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
+    """`cells` (source, lang, topic, tokens) with raked weights, `keep` of all tokens together; by default nine
+    tenths of the part at which the scarcest source, language or topic would be used up.
 
     `targets` maps a margin to {value: share}; a value it lacks gets share 0, and shares are scaled to the
     values that occur. Margins without targets are tempered. No weight exceeds its cell's tokens. The column `gap` is the largest relative
@@ -46,7 +47,7 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: dict[
     total = cells.agg(F.sum("tokens").alias("all"), F.count("*").alias("n")).first()
     if not total["n"]:
         return cells.select(*MARGINS, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("gap"))
-    now = cells
+    now, most = cells, None
     for m in MARGINS:
         share = F.col("s") / F.lit(float(total["all"]))
         if m in targets:
@@ -56,8 +57,12 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: dict[
         else:
             wanted = F.pow(share, F.lit(temper[m]))
         values = cells.groupBy(m).agg(F.sum("tokens").alias("s")).withColumn("raw", wanted)
-        values = values.select(F.col(m).alias("value"), (F.col("raw") / F.sum("raw").over(whole)).alias(f"to_{m}"))
+        values = values.select(F.col(m).alias("value"), (F.col("raw") / F.sum("raw").over(whole)).alias(f"to_{m}"), F.when(F.col("raw") > 0, share * F.sum("raw").over(whole) / F.col("raw")).alias("room"))
+        room = values.agg(F.min("room").alias("room"))
+        most, values = room if most is None else most.unionByName(room), values.drop("room")
         now = now.join(values, F.col(m).eqNullSafe(F.col("value")), "left").drop("value")
+    if keep is None:
+        keep = min(1.0, KEEP * most.agg(F.min("room")).first()[0])
     budget = F.lit(keep * total["all"])
     now = cut(now.select(*MARGINS, "tokens", *[(F.col(f"to_{m}") * budget).alias(f"to_{m}") for m in MARGINS], (F.col("tokens") * keep).alias("weight")))
     for _ in range(0, max_rounds, 3):
