@@ -10,7 +10,7 @@ from pyspark.sql import Row, functions as F
 
 from tradelift.functions import columns as K
 from tradelift.operators import explore as P, families as FM, fit as X, forecast as O, ladder as L, rfm as R, roi, scenario as C, scope as S, sequence as Q
-from tradelift.schema import BaseParams, Filters, ModelParams, RfmParams
+from tradelift.schema import SlabRules, BaseParams, Filters, ModelParams, RfmParams
 from tradelift.sources import ingest as I, sinks
 
 
@@ -390,3 +390,37 @@ def test_theil_sen(spark):
     d = spark.createDataFrame([("a", float(i), v) for i, v in enumerate(y)], "k string, t double, y_log double")
     want = np.median([(y[j] - y[i]) / (j - i) for i in range(15) for j in range(i + 1, 15)])
     assert P.theil_sen(d, ["k"]).first().theil_sen_slope == pytest.approx(want)
+
+
+def test_streams_keep_apart_compact_and_count_late_rows(spark, tmp_path):
+    from tradelift.streaming import drops
+    schema = "Date date, Outlet_ID string, Bill_No string, Sizes string, Slab string, Quantity double, Net_Amt double, SalesValue_atBasicRate double, TotalDiscount double"
+    put = lambda i, day: spark.createDataFrame([(day, "o", str(i), "12-ML", "slab1", 2.0, 3.0, 3.0, 0.0)], schema).write.parquet(str(tmp_path / f"in/d{i}.parquet"))
+    put(0, dt.date(2024, 6, 1))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drops.ingest_month_sums(drops.drop_stream(spark, src), out, str(tmp_path / "c1"))
+    put(1, dt.date(2024, 6, 2))
+    drops.ingest_month_sums(drops.drop_stream(spark, src), out, str(tmp_path / "c1"))
+    assert [r.quantity for r in drops.month_sums(spark, out).collect()] == [4.0]
+    drops.ingest_month_sums(drops.drop_stream(spark, src), out, str(tmp_path / "c2"))  # a new checkpoint reads all again, beside the old sums
+    assert [r.rows for r in drops.month_sums(spark, out).collect()] == [4]
+    drops.compact_month_sums(spark, out, str(tmp_path / "small"))
+    assert [tuple(r) for r in drops.month_sums(spark, str(tmp_path / "small")).collect()] == [tuple(r) for r in drops.month_sums(spark, out).collect()]
+    days = lambda: drops.watermarked_days(drops.drop_stream(spark, src), lateness="1 day")
+    assert drops.ingest_days(days(), str(tmp_path / "days"), str(tmp_path / "c3")) == 0
+    put(2, dt.date(2024, 1, 1))
+    assert drops.ingest_days(days(), str(tmp_path / "days"), str(tmp_path / "c3")) == 1
+
+
+def test_rows_without_keys_and_skipped_drops(spark, tmp_path):
+    d = spark.createDataFrame([("a", dt.date(2024, 1, 1), "12-ML", 50.0), (None, dt.date(2024, 1, 1), "12-ML", 50.0), ("a", None, "12-ML", 50.0), ("a", dt.date(2024, 1, 1), None, 50.0)],
+                              "Outlet_ID string, Date date, Sizes string, Quantity double")
+    got = S.assign_slabs(d, SlabRules("define", per_size={"12-ML": (8.0, 32.0)})).collect()
+    assert len(got) == 4 and sorted(r.Slab for r in got) == ["slab0", "slab0", "slab0", "slab2"]
+    spark.range(1).select(F.lit("x").alias("other")).write.parquet(str(tmp_path / "a.parquet"))
+    spark.createDataFrame([(dt.date(2024, 1, 1), "o", 1.0)], "Date date, Outlet_ID string, Quantity double").write.parquet(str(tmp_path / "b.parquet"))
+    skipped = []
+    assert I.scan_transactions(spark, str(tmp_path), required=("Quantity",), skipped=skipped).count() == 1
+    assert [(p.rsplit("/", 1)[1], c) for p, c in skipped] == [("a.parquet", ["Quantity"])]
+    with pytest.raises(ValueError, match="Quantity"):
+        I.scan_transactions(spark, str(tmp_path), required=("Quantity",))

@@ -77,13 +77,26 @@ def product_contribution(base: DataFrame, product_codes=(), n: int = 50) -> Data
     return brand_share_join(g, base)
 
 
+def mix_tables(df: DataFrame, dims: dict[str, int]) -> DataFrame:
+    """dim, label, sums and shares of the first k values of every dimension in {dimension: k}, in one pass: a row gives one
+    pair for each dimension, and equal pairs combine before the shuffle. A missing value counts."""
+    label = lambda d: F.coalesce(F.nullif(F.col(d).cast("string"), F.lit("")), F.lit("Unknown"))
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), label(d).alias("label")) for d in dims])
+    g = df.select(SALES, QTY, F.explode(pairs).alias("p")).groupBy("p.dim", "p.label").agg(*_sums())
+    whole = Window.partitionBy("dim")
+    g = g.withColumns({
+        "value_pct": positive_ratio(F.col("sales_value"), F.sum("sales_value").over(whole), 100.0, 0.0),
+        "volume_pct": positive_ratio(F.col("quantity"), F.sum("quantity").over(whole), 100.0, 0.0),
+        "__r": F.row_number().over(whole.orderBy(F.desc_nulls_last("sales_value"), "label"))})
+    most = F.lit(0)
+    for d, k in dims.items():
+        most = F.when(F.col("dim") == d, k).otherwise(most)
+    return g.where(F.col("__r") <= most).drop("__r")
+
+
 def mix_rows(df: DataFrame, dim: str, k: int = 12) -> DataFrame:
-    """Top k values of a dimension with their share of all sales and volume. A missing value counts."""
-    g = df.groupBy(F.coalesce(F.nullif(F.col(dim), F.lit("")), F.lit("Unknown")).alias("label")).agg(*_sums())
-    all_ = g.agg(F.struct(F.sum("sales_value").alias("s"), F.sum("quantity").alias("q"))).scalar()
-    return top_n(g.withColumns({
-        "value_pct": positive_ratio(F.col("sales_value"), all_["s"], 100.0, 0.0),
-        "volume_pct": positive_ratio(F.col("quantity"), all_["q"], 100.0, 0.0)}), k, ["sales_value"], ["label"])
+    """Top k values of a dimension with their share of all sales and volume."""
+    return mix_tables(df, {dim: k}).drop("dim")
 
 
 def selected_vs_other(df: DataFrame, dim: str, selected, within: Column | None = None) -> DataFrame:
@@ -143,7 +156,8 @@ def outlet_discount_variation(df: DataFrame) -> DataFrame:
     Cell rates are aggregated and joined back, so a cell with very many outlets is never one task."""
     keys = ["Sizes", "Slab", "Month"]
     by = df.groupBy(*keys, "Outlet_ID").agg(
-        F.sum(SALES).alias("sales_value"), F.sum(DISC).alias("total_discount"), F.sum(QTY).alias("quantity"), F.count(QTY).alias("rows"))
+        F.sum(SALES).alias("sales_value"), F.sum(DISC).alias("total_discount"), F.sum(QTY).alias("quantity"),
+        F.sum("rows").alias("rows") if "rows" in df.columns else F.count(QTY).alias("rows"))
     cell = by.groupBy(*keys).agg(F.sum("sales_value").alias("__s"), F.sum("total_discount").alias("__d"))
     cell = cell.select(*keys, ratio("__d", "__s", 100.0).alias("cell_discount_pct"))
     out = by.where("sales_value > 0").join(cell, keys)
@@ -155,7 +169,7 @@ def outlet_discount_variation(df: DataFrame) -> DataFrame:
 def variation_cells(variation: DataFrame) -> DataFrame:
     """Outlets, invoices, rows and the mean absolute deviation of every size-slab-month cell."""
     return variation.groupBy("Sizes", "Slab", "Month").agg(
-        F.count("*").alias("outlets"), F.sum("rows").alias("rows"), F.round(F.avg("abs_deviation_pp"), 4).alias("mean_abs_deviation_pp"))
+        F.count("*").alias("outlets"), F.sum("rows").alias("rows"), F.avg("abs_deviation_pp").alias("mean_abs_deviation_pp"))
 
 
 def ranked_variation(variation: DataFrame, n: int = 100) -> DataFrame:
@@ -171,11 +185,17 @@ def discount_histogram(variation: DataFrame, keys=("Sizes", "Slab"), band: float
     return g.withColumn("outlet_pct", F.round(F.col("outlets") / F.sum("outlets").over(Window.partitionBy(*keys)) * 100.0, 2))
 
 
+def scheme_amounts(df: DataFrame) -> DataFrame:
+    """Rows with scheme and top-up times quantity, which may be summed by outlet and day first."""
+    q = F.col(QTY)
+    return df.withColumns({"scheme_qty": F.coalesce("Scheme_Discount", F.lit(0.0)) * q, "qps_qty": F.coalesce("Staggered_qps", F.lit(0.0)) * q})
+
+
 def scheme_calendar(df: DataFrame) -> DataFrame:
     """Month, size and slab: volume and quantity-weighted base, top-up and total scheme."""
-    q, b, t = F.col(QTY), F.coalesce("Scheme_Discount", F.lit(0.0)), F.coalesce("Staggered_qps", F.lit(0.0))
-    return df.groupBy(month_of("Date").alias("period"), "Sizes", "Slab").agg(
-        F.sum(q).alias("volume"), F.sum(b * q).alias("__b"), F.sum(t * q).alias("__t")).select(
+    d = df if "scheme_qty" in df.columns else scheme_amounts(df)
+    return d.groupBy(month_of("Date").alias("period"), "Sizes", "Slab").agg(
+        F.sum(QTY).alias("volume"), F.sum("scheme_qty").alias("__b"), F.sum("qps_qty").alias("__t")).select(
         "period", "Sizes", "Slab", "volume", positive_ratio("__b", "volume").alias("base_scheme"),
         positive_ratio("__t", "volume").alias("qps_topup"), positive_ratio(F.col("__b") + F.col("__t"), "volume").alias("total_scheme"))
 

@@ -140,7 +140,7 @@ def outlet_days(df: DataFrame, rules: SlabRules, keys=()) -> DataFrame:
     In mode "define" rows first shrink to one per outlet, size and day; the outlet's month
     quantity is then a window over at most 31 of those, whatever the outlet's size."""
     measures = [c for c in ("Quantity", "scheme_amount", "dsp_sales", "clp_sales", "SalesValue_atBasicRate",
-                            "TotalDiscount", "mrp_qty") if c in df.columns]
+                            "TotalDiscount", "mrp_qty", "scheme_qty", "qps_qty", "rows") if c in df.columns]
     sums = [F.sum(c).alias(c) for c in measures]
     if rules.mode != "define":
         return df.groupBy(*keys, "Outlet_ID", "Sizes", "Slab", "Date").agg(*sums)

@@ -81,8 +81,7 @@ SELECT * FROM (SELECT '{d}' AS dim, "{d}" AS label, {SUMS}, round(sum({SV}) / (S
 FROM txn GROUP BY "{d}" ORDER BY sum({SV}) DESC LIMIT {k})""" for d, k in (("Final_State", 10), ("Brand", 12), ("Category", 12))))
 def _(spark, sf):
     t = txn(spark, sf, "Final_State", "Brand", "Category", P.SALES, P.QTY)
-    parts = [P.mix_rows(t, d, k).select(F.lit(d).alias("dim"), "*") for d, k in (("Final_State", 10), ("Brand", 12), ("Category", 12))]
-    return r(parts[0].unionByName(parts[1]).unionByName(parts[2]), value_pct=6, volume_pct=6)
+    return r(P.mix_tables(t, {"Final_State": 10, "Brand": 12, "Category": 12}), value_pct=6, volume_pct=6)
 
 
 @query("selected_vs_other", f"""
@@ -121,7 +120,7 @@ def _(spark, sf):
 
 
 def variation(spark, sf):
-    t = S.assign_slabs(txn(spark, sf, *CORE, "Outlet_ID"), RULES).where(K.allowed_slab("Slab"))
+    t = S.outlet_days(txn(spark, sf, *CORE, "Outlet_ID").withColumn("rows", F.lit(1)), RULES).where(K.allowed_slab("Slab"))
     return P.outlet_discount_variation(t.withColumn("Month", K.month_of("Date")))
 
 
@@ -140,6 +139,23 @@ def _(spark, sf):
     return r(variation(spark, sf), cell_discount_pct=6)
 
 
+@query("variation_cells", """
+SELECT "Sizes", "Slab", "Month", count(*) AS outlets, CAST(sum(n) AS BIGINT) AS rows, round(sum(abs(round(pct - cell, 2))), 2) AS abs_deviation_pp FROM v_var WHERE s > 0 GROUP BY ALL
+""")
+def _(spark, sf):
+    v = P.variation_cells(variation(spark, sf))
+    # the sum, since a mean of figures with two decimals is often a tie when rounded
+    return v.select("Sizes", "Slab", "Month", "outlets", "rows", F.round(F.col("mean_abs_deviation_pp") * F.col("outlets"), 2).alias("abs_deviation_pp"))
+
+
+@query("ranked_variation", """
+SELECT * FROM (SELECT "Sizes", "Slab", "Month", "Outlet_ID", abs(round(pct - cell, 2)) AS abs_deviation_pp,
+  CAST(row_number() OVER (PARTITION BY "Sizes", "Slab", "Month" ORDER BY abs(round(pct - cell, 2)) DESC, s DESC, "Outlet_ID") AS INTEGER) AS rank FROM v_var WHERE s > 0) WHERE rank <= 10
+""")
+def _(spark, sf):
+    return P.ranked_variation(variation(spark, sf), 10).select("Sizes", "Slab", "Month", "Outlet_ID", "abs_deviation_pp", "rank")
+
+
 @query("discount_histogram", """
 SELECT "Sizes", "Slab", "Month", floor(pct / 0.5) * 0.5 AS band_from, count(*) AS outlets, round(count(*) / sum(count(*)) OVER (PARTITION BY "Sizes", "Slab", "Month") * 100, 2) AS outlet_pct
 FROM v_var GROUP BY 1, 2, 3, 4
@@ -153,8 +169,8 @@ SELECT "Month" AS period, "Sizes", "Slab", round(sum({Q_}), 4) AS volume, round(
   round((sum("Scheme_Discount" * {Q_}) + sum("Staggered_qps" * {Q_})) / sum({Q_}), 5) AS total_scheme FROM v_defined GROUP BY ALL
 """)
 def _(spark, sf):
-    t = S.assign_slabs(txn(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity", "Scheme_Discount", "Staggered_qps"), RULES)
-    return r(P.scheme_calendar(t), 5, volume=4)
+    t = P.scheme_amounts(txn(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity", "Scheme_Discount", "Staggered_qps"))
+    return r(P.scheme_calendar(S.outlet_days(t, RULES)), 5, volume=4)
 
 
 @query("pack_month_revenue", """SELECT "Month" AS period, "Sizes", round(sum("Quantity"), 4) AS volume, round(sum(dsp_amt), 4) AS gross_revenue, round(sum(clp_amt), 4) AS net_revenue FROM v_tb GROUP BY ALL""")

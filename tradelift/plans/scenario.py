@@ -1,6 +1,6 @@
 """Scenario queries. The scenario set is the five ladders history offers, so it follows the data."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tradelift.operators import discount as D, families as FM, forecast as O, frame as M, ladder as L, roi as R, scenario as C, sequence as Q, scope as S
 from tradelift.plans.discount import BASIS, defined_days, month_frame, r
@@ -361,6 +361,25 @@ def _(spark, sf):
     return generated(spark, sf, 1000)[1]
 
 
+@query("generated_by_plan", """
+SELECT r_name AS plan, 40 AS scenarios, 40 AS distinct_scenarios, TRUE AS cells_once, TRUE AS in_range, TRUE AS rising FROM region
+""")
+def _(spark, sf):
+    """Every region is a plan of its own; each gets what it asked for, without repeats, gaps or falling ladders."""
+    cells = Base(spark, sf).cells
+    plans = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_name").alias("plan"))
+    raw = plans.join(FM.default_families(spark).drop("plan"))
+    g = cut(C.generate_scenarios(C.allocate_counts(FM.scenario_families(raw), ["plan"], 40, "priority_weight"), cells, seed=3))
+    ladder = Window.partitionBy("scenario_id", "Sizes", "idx").orderBy(K.slab_number("Slab"))
+    g = g.withColumn("up", F.coalesce(F.col("value") >= F.lag("value").over(ladder), F.lit(True)))
+    cell = F.struct("idx", "Sizes", "Slab", "value")
+    s = g.groupBy("plan", "scenario_id").agg(F.array_sort(F.collect_list(cell)).alias("v"), F.count_distinct("idx", "Sizes", "Slab").alias("n"),
+                                             F.bool_and(F.col("value").between(5, 30)).alias("inside"), F.bool_and("up").alias("up"))
+    n = cells.agg(F.count("*")).scalar()
+    return s.groupBy("plan").agg(F.count_distinct("scenario_id").cast("int").alias("scenarios"), F.count_distinct(F.to_json("v")).cast("int").alias("distinct_scenarios"),
+                                 F.bool_and((F.size("v") == n) & (F.col("n") == n)).alias("cells_once"), F.bool_and("inside").alias("in_range"), F.bool_and("up").alias("rising"))
+
+
 @query("score_generated")
 def _(spark, sf):
     b, g = generated(spark, sf, 1000)

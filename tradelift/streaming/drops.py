@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradelift.functions.columns import month_of
@@ -19,18 +21,29 @@ def drop_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, scop
 def ingest_month_sums(stream: DataFrame, out: str, checkpoint: str, keys=("Sizes", "Outlet_ID")) -> None:
     """Runs the stream over everything new and appends each batch's own sums per month and keys.
 
-    Sums add up, so a batch needs no state and a late or out-of-order drop is never lost. A batch that
-    runs twice after a failure overwrites its own folder."""
+    Sums add up, so a batch needs no state and a late or out-of-order drop is never lost. A batch's folder is named
+    after the query, whose id lives in its checkpoint, and the batch: one that runs twice after a failure overwrites
+    its own folder, and a new checkpoint overwrites none."""
+    started, name = Event(), []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
         g = batch.groupBy(*keys, month_of("Date").alias("period")).agg(
             F.sum("Quantity").alias("quantity"), F.sum("Net_Amt").alias("net_amt"), F.count("*").alias("rows"))
-        g.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        g.write.mode("overwrite").parquet(f"{out}/query={name[0]}/batch={batch_id}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    name.append(q.id)
+    started.set()
     q.awaitTermination()
 
 
+def compact_month_sums(spark: SparkSession, out: str, to: str, keys=("Sizes", "Outlet_ID")) -> None:
+    """All finished batches of `out` as one table in the new folder `to`. Readers switch to `to` and later batches go
+    below it; the old folder may then be dropped."""
+    month_sums(spark, out, keys).write.parquet(f"{to}/query=compacted/batch=0")
+
+
 def month_sums(spark: SparkSession, out: str, keys=("Sizes", "Outlet_ID")) -> DataFrame:
     """The month table as of the last finished batch."""
     return spark.read.parquet(out).groupBy(*keys, "period").agg(
@@ -44,8 +57,9 @@ def watermarked_days(stream: DataFrame, keys=("Sizes", "Slab"), lateness: str =
     return t.groupBy(F.window("ts", "1 day"), "Date", *keys).agg(F.sum("Quantity").alias("quantity"), F.count("*").alias("rows"))
 
 
-def ingest_days(days: DataFrame, out: str, checkpoint: str) -> None:
-    """Runs the windowed stream in update mode; every batch writes the rows it changed."""
+def ingest_days(days: DataFrame, out: str, checkpoint: str) -> int:
+    """Runs the windowed stream in update mode; every batch writes the rows it changed. Returns how many rows came
+    later than the watermark allows and are therefore missing; ingest_month_sums() keeps such rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.drop("window").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -53,6 +67,7 @@ def ingest_days(days: DataFrame, out: str, checkpoint: str) -> None:
     q = (days.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
 
 
 def latest_days(spark: SparkSession, out: str, keys=("Sizes", "Slab")) -> DataFrame:
