@@ -171,8 +171,15 @@ def test_ridge_flat_and_collinear():
 
 
 def test_p_values():
-    assert 1 - X._beta_tail(5.0, 0.5, 10 / (10 + 4.0)) == pytest.approx(1 - 0.07338803, abs=1e-7)
-    assert X._beta_tail(0.5, 0.5, 0.5) == pytest.approx(0.5)
+    assert 1 - X.beta_tail(5.0, 0.5, 10 / (10 + 4.0)) == pytest.approx(1 - 0.07338803, abs=1e-7)
+    assert X.beta_tail(0.5, 0.5, 0.5) == pytest.approx(0.5)
+    # against the density of Student's t, integrated numerically
+    from math import lgamma
+    for dof, t in ((1, 0.3), (2, 2.5), (7, 1.1), (30, 4.0), (200, 0.01)):
+        u = np.linspace(0, t, 200001)
+        f = np.exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / np.sqrt(dof * np.pi) * (1 + u * u / dof) ** (-(dof + 1) / 2)
+        assert X.beta_tail(dof / 2, 0.5, dof / (dof + t * t)) == pytest.approx(1 - 2 * np.trapezoid(f, u), abs=1e-9)
+    assert np.allclose(X.beta_tail([0.5, 5.0, 1.0], 0.5, [0.5, 10 / 14, 1.0]), [0.5, 0.07338803, 1.0])
 
 
 def ladder_brute(seed, lo, hi):

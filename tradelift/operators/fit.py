@@ -350,33 +350,45 @@ def ols_inference(df: DataFrame, keys, x: str, y: str) -> DataFrame:
         F.when(F.col("r_squared") < 1, F.col("r_squared") / ((1 - F.col("r_squared")) / (n - 2))).otherwise(0.0).alias("f_stat"))
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
+def _beta_part(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta for 0 < x <= (a + 1) / (a + b + 2), by its continued fraction run for all
+    elements at once until the slowest has settled."""
+    tiny = 1e-300
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c = np.ones_like(x)
+    d = 1.0 / safe(1.0 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, 500):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d, c = 1.0 / safe(1.0 + term * d), safe(1.0 + term / c)
             h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+        if (np.abs(d * c - 1.0) < 1e-15).all():
             break
-    return np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) * h / a
+    scale = np.frompyfunc(lgamma, 1, 1)
+    log = (scale(a + b) - scale(a) - scale(b)).astype(float) + a * np.log(x) + b * np.log1p(-x)
+    return np.exp(log) * h / a
+
+
+def beta_tail(a, b, x) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b) of arrays."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    out = np.where(x >= 1.0, 1.0, 0.0)
+    swap = x > (a + 1) / (a + b + 2)
+    for own, flip in (((x > 0) & (x < 1) & ~swap, False), ((x > 0) & (x < 1) & swap, True)):
+        if own.any():
+            part = _beta_part(b[own], a[own], 1.0 - x[own]) if flip else _beta_part(a[own], b[own], x[own])
+            out[own] = 1.0 - part if flip else part
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def two_tailed_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-tailed Student p; also the F(1, dof) tail when t is the root of F."""
-    return pd.Series([np.nan if pd.isna(a) or pd.isna(v) or v <= 0 else _beta_tail(v / 2.0, 0.5, v / (v + a * a))
-                      for a, v in zip(t, dof)])
+    known = (t.notna() & dof.notna() & (dof > 0)).to_numpy()
+    v, tt = np.where(known, dof, 1.0).astype(float), np.where(known, t, 0.0).astype(float)
+    return pd.Series(np.where(known, beta_tail(v / 2.0, 0.5, v / (v + tt * tt)), np.nan))
 
 
 def ols_p_values(inference: DataFrame) -> DataFrame:

@@ -45,30 +45,27 @@ def holt_forecast(df: DataFrame, keys, order, value: str, horizon: int = 3, floo
     keys = list(keys)
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("step", T.IntegerType()), T.StructField(value, T.DoubleType())])
-    grid = [(a, b) for a in np.linspace(0.05, 1.0, 20) for b in np.linspace(0.0, 1.0, 21)]
+    weights = np.stack(np.meshgrid(np.linspace(0.05, 1.0, 20), np.linspace(0.0, 1.0, 21), indexing="ij"), -1).reshape(-1, 2)
+    a, b = weights[:, :1], weights[:, 1:]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(order)[value].to_numpy(dtype=float)
         if len(y) < 4:
             out = np.repeat(y[-1], horizon)
         else:
-            best = None
-            for a, b in grid:
-                # State rows are affine in (level0, trend0, 1).
-                lev, tr = np.array([1.0, 0, 0]), np.array([0, 1.0, 0])
-                rows = []
-                for v in y:
-                    one = lev + tr
-                    rows.append(one)
-                    new = a * np.array([0, 0, v]) + (1 - a) * one
-                    lev, tr = new, b * (new - lev) + (1 - b) * tr
-                P = np.array(rows)
-                s = np.linalg.lstsq(P[:, :2], y - P[:, 2], rcond=None)[0]
-                sse = float(((y - P[:, 2] - P[:, :2] @ s) ** 2).sum())
-                if best is None or sse < best[0] - 1e-12:
-                    k = np.append(s, 1.0)
-                    best = (sse, lev @ k, tr @ k)
-            out = best[1] + best[2] * np.arange(1, horizon + 1)
+            # level and trend are affine in (level0, trend0, 1); one row of three for every pair of weights
+            level, trend = np.tile([1.0, 0.0, 0.0], (len(weights), 1)), np.tile([0.0, 1.0, 0.0], (len(weights), 1))
+            seen = np.empty((len(weights), len(y), 3))
+            for i, v in enumerate(y):
+                seen[:, i] = level + trend
+                new = (1 - a) * seen[:, i] + a * np.array([0.0, 0.0, v])
+                level, trend = new, b * (new - level) + (1 - b) * trend
+            rest = y - seen[:, :, 2]
+            start = np.einsum("gij,gj->gi", np.linalg.pinv(seen[:, :, :2], rcond=len(y) * np.finfo(float).eps), rest)
+            sse = ((rest - np.einsum("gij,gj->gi", seen[:, :, :2], start)) ** 2).sum(1)
+            k = int(np.flatnonzero(sse <= sse.min() + 1e-12)[0])
+            state = np.append(start[k], 1.0)
+            out = level[k] @ state + trend[k] @ state * np.arange(1, horizon + 1)
         out = np.clip(out, 0.0, None) if floor else out
         res = pd.DataFrame({"step": np.arange(1, horizon + 1, dtype=np.int32), value: out})
         for k in keys:
