@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -152,35 +153,45 @@ def _fingerprints(words: int, bits: int):
     return run
 
 
-def _named(tables, key_of, keep_key: bool):
-    """Rows of nodes by shard: `key` is the table and the values of its bits, after the shard's name so far."""
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            bit = np.unpackbits(np.frombuffer(b"".join(pdf.fp), np.uint8).reshape(len(pdf), -1), axis=1)
-            for choice in key_of(pdf, tables):
-                index, rows, prefix = choice
-                name = np.packbits(bit[np.ix_(rows, list(index[1]))], axis=1)
-                head = bytes(index[0])
-                yield pd.DataFrame({"key": [(prefix[i] if keep_key else b"") + head + n.tobytes() for i, n in zip(rows, name)],
-                                    "node": pdf.node.to_numpy()[rows], "fp": [pdf.fp.iloc[i] for i in rows]})
-    return run
+def _keys(bit: np.ndarray, tables, heads: list[bytes]) -> list[list[bytes]]:
+    """For every table the key of each row of bits: its head, the table's number and the bits that the table names."""
+    out = []
+    for i, t in enumerate(tables):
+        named = np.packbits(bit[:, list(t)], axis=1)
+        width, flat = named.shape[1], named.tobytes()
+        out.append([h + bytes((i,)) + flat[j * width:j * width + width] for j, h in enumerate(heads)])
+    return out
 
 
-def _first(pdf, tables):
-    every = np.arange(len(pdf))
-    for i, t in enumerate(tables):
-        yield ((i,), t), every, None
+def _bits(fps) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
+
+
+def _dealt(tables):
+    """Every node once for each table. Nodes and fingerprints stay Arrow columns; only keys are made."""
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            bit = _bits(batch.column("fp").to_pylist()) if n else None
+            for i, t in enumerate(tables if n else ()):
+                named = np.packbits(bit[:, list(t)], axis=1)
+                key = np.hstack([np.full((n, 1), i, np.uint8), named])
+                ends = np.arange(n + 1, dtype=np.int32) * key.shape[1]
+                column = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(key.tobytes())])
+                yield pa.RecordBatch.from_arrays([column, batch.column("node"), batch.column("fp")], ["key", "node", "fp"])
+    return run
 
 
-def _again(pdf, finer):
-    key = pdf.key.tolist()
-    table = np.array([k[0] for k in key])
-    for i in np.unique(table):
-        rows = np.flatnonzero(table == i)
-        for j, t in enumerate(finer[i]):
-            yield ((j,), t), rows, key
+def _dealt_again(finer):
+    """Rows of large shards once for each of the finer tables, the others as they are."""
+    def run(batches):
+        for pdf in batches:
+            yield pdf.loc[~pdf.large, ["key", "node", "fp"]]
+            large = pdf[pdf.large]
+            for i, rows in large.groupby(large.key.map(lambda k: k[0])):
+                for keys in _keys(_bits(rows.fp), finer[i], rows.key.tolist()):
+                    yield pd.DataFrame({"key": keys, "node": rows.node.to_numpy(), "fp": rows.fp.to_numpy()})
+    return run
 
 
 def _searched(radius: int):
@@ -201,17 +212,20 @@ def _searched(radius: int):
     return run
 
 
+#: Names of large shards of which a copy may go to every task; beyond it they are joined by shuffle.
+BROADCAST_SHARDS = 100_000
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) that join all `nodes` (node long, fp binary, both distinct) reachable from each other."""
     shape, n = "key binary, node bigint, fp binary", partitions(nodes.sparkSession)
-    dealt = cut(nodes.mapInPandas(_named(scheme.tables, _first, False), shape))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = cut(sizes.withColumn("large", F.col("n") > scheme.shard_size).drop("n"))
-    met = dealt.join(sizes, "key")
-    finer = met.where("large").select("key", "node", "fp").mapInPandas(_named(scheme.finer, _again, True), shape)
-    shards = met.where("not large").select("key", "node", "fp").unionByName(finer)
-    ordered = shards.repartition(n, "key").sortWithinPartitions("key")
-    return ordered.mapInPandas(_searched(scheme.radius), "a bigint, b bigint").distinct()
+    dealt = nodes.select("node", "fp").mapInArrow(_dealt(scheme.tables), shape)
+    sizes = dealt.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > scheme.shard_size)
+    large = cut(sizes.select("key", F.lit(True).alias("large")))
+    few = large.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    told = dealt.join(F.broadcast(large) if few else large, "key", "left").select("key", "node", "fp", F.coalesce("large", F.lit(False)).alias("large"))
+    shards = told.mapInPandas(_dealt_again(scheme.finer), shape).repartition(n, "key").sortWithinPartitions("key")
+    return shards.mapInPandas(_searched(scheme.radius), "a bigint, b bigint").distinct()
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
