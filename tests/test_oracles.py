@@ -19,6 +19,18 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_tables(spark):
+    """Settings for a few thousand rows: compiling a stage would take longer than running it."""
+    own = {"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 

@@ -344,7 +344,57 @@ def _(spark, sf):
         "plan", "family", "name", "base_min", "base_max", "gap_min", "gap_max", "month_pattern", "month_shift_strength", "size_bias_12", "volatility")
 
 
-@query("scenario_families")
+_NUMBERS = list(FM.RANGES)
+
+
+def _like_sql(a, b):
+    near = " + ".join(f"greatest(0, 1 - abs({a}.{k} - {b}.{k}) / {v})" for k, v in FM.SPANS.items())
+    gap = " + ".join(f"abs({a}.{k} - {b}.{k})" for k in C.ANCHOR_KEYS)
+    return f"(CASE WHEN {a}.month_pattern = {b}.month_pattern THEN 0.35 ELSE 0 END + 0.45 * ({near}) / {len(FM.SPANS)} + 0.20 * greatest(0, 1 - ({gap}) / 2))"
+
+
+def _default_sql(i):
+    d = FM.DEFAULTS[i]
+    parts = [f"name := '{d['name']}'", f"priority_weight := {d['priority_weight']}::DOUBLE", *[f"{k} := {d[k]}" for k in _NUMBERS], f"month_pattern := '{d['month_pattern']}'",
+             *[f"{k} := {w}::DOUBLE" for k, w in zip(C.ANCHOR_KEYS, d["anchor_weights"])]]
+    return f"struct_pack({', '.join(parts)})"
+
+
+def _wide_sql(f, i):
+    """The changes of a family set apart, as the inventory states them."""
+    mix = {k: f"(0.7 * {f}.{k} + 0.3 * {w})" for k, w in zip(C.ANCHOR_KEYS, FM.DEFAULTS[i]["anchor_weights"])}
+    whole = " + ".join(mix.values())
+    low, t = f"greatest(5, {f}.base_min - {1 + i % 2})", 1 if i % 2 == 0 else -1
+    pattern = "CASE " + " ".join(f"WHEN {f}.month_pattern = '{x}' THEN '{y}'" for x, y in zip(FM.PATTERNS, FM.PATTERNS[1:] + FM.PATTERNS[:1])) + " END"
+    new = {"name": f"{f}.name || ' (diversified)'", "priority_weight": f"{f}.priority_weight", "base_min": low, "base_max": f"greatest(least(30, {f}.base_max + 2), least(30, {low} + 3))",
+           "gap_min": f"greatest(1, {f}.gap_min)", "gap_max": f"least(10, greatest({f}.gap_max + 1, {f}.gap_min + 1))", "month_shift_strength": f"least(6, {f}.month_shift_strength + 1)",
+           "size_bias_12": f"greatest(-6, least(6, {f}.size_bias_12 + {t}))", "size_bias_18": f"greatest(-6, least(6, {f}.size_bias_18 - {t}))",
+           "volatility": f"least(6, greatest(2, {f}.volatility + 1))", "month_pattern": pattern, **{k: f"{v} / ({whole})" for k, v in mix.items()}}
+    return f"struct_pack({', '.join(f'{k} := {v}' for k, v in new.items())})"
+
+
+def _families_sql():
+    rng = lambda k, e: f"CAST(greatest({FM.RANGES[k][0]}, least({FM.RANGES[k][1]}, {e})) AS INTEGER)"
+    mix = [f"(s % {i + 2} + {i} * k % 3)" for i in range(4)]
+    raw = f"""SELECT plan, k - 1 AS family, struct_pack(name := 'Family ' || k, priority_weight := q, base_min := lo, base_max := CASE WHEN hi - lo < 2 THEN least(30, lo + 2) ELSE hi END,
+      gap_min := glo, gap_max := CASE WHEN ghi - glo < 1 THEN least(10, glo + 1) ELSE ghi END, month_shift_strength := {rng('month_shift_strength', 's % 9')},
+      size_bias_12 := {rng('size_bias_12', 's % 17 - 8')}, size_bias_18 := {rng('size_bias_18', 'k - s % 5')}, volatility := {rng('volatility', 's % 8')}, month_pattern := pat,
+      {', '.join(f"{a} := CASE WHEN {'+'.join(mix)} > 0 THEN {m}::DOUBLE / ({'+'.join(mix)}) ELSE 0.25 END" for a, m in zip(C.ANCHOR_KEYS, mix))}) AS f FROM (
+      SELECT *, least(a, b) AS lo, greatest(a, b) AS hi, least({rng('gap_min', 's % 3')}, {rng('gap_max', 'k')}) AS glo, greatest({rng('gap_min', 's % 3')}, {rng('gap_max', 'k')}) AS ghi FROM (
+        SELECT "Final_State" AS plan, s, k, q, {rng('base_min', 'round_even(d + s % 4, 0)')} AS a, {rng('base_max', 'round_even(d - k + s % 3, 0)')} AS b,
+          ['flat', 'up', 'down', 'wave', 'flat'][(s + k) % 5 + 1] AS pat FROM (
+          SELECT "Final_State", CAST(regexp_extract("Final_State", '[0-9]+') AS INTEGER) AS s, CAST(regexp_extract("Slab", '[0-9]+') AS INTEGER) AS k, sum(scheme) / sum(dsp_amt) * 100 AS d, sum("Quantity") AS q
+          FROM v_tb WHERE "Slab" <> 'slab0' GROUP BY ALL)))"""
+    step = f"SELECT plan, max(f) FILTER (family = 0) AS f0, max(f) FILTER (family = 1) AS f1, max(f) FILTER (family = 2) AS f2 FROM ({raw}) GROUP BY plan"
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        step = (f"SELECT * EXCLUDE (w) REPLACE (CASE WHEN {_like_sql(f'f{i}', f'f{j}')} < {FM.SIMILAR} THEN f{j} WHEN {_like_sql(f'f{i}', 'w')} >= {FM.SIMILAR} THEN {_default_sql(j)} ELSE w END AS f{j}) "
+                f"FROM (SELECT *, {_wide_sql(f'f{j}', j)} AS w FROM ({step}))")
+    fields = ", ".join(f"f.{k}" for k in _NUMBERS) + ", f.month_pattern, " + ", ".join(f"round(f.{a}, 6) AS {a}" for a in C.ANCHOR_KEYS)
+    return f"""SELECT plan, family, f.name, round(f.priority_weight / sum(f.priority_weight) OVER (PARTITION BY plan), 6) AS priority_weight, {fields}
+FROM (SELECT plan, unnest([0, 1, 2]) AS family, unnest([f0, f1, f2]) AS f FROM ({step}))"""
+
+
+@query("scenario_families", _families_sql())
 def _(spark, sf):
     f = FM.scenario_families(family_rows(spark, sf))
     return r(f.select(*[c for c in f.columns if c != "anchor_weights"], *[F.col(f"anchor_weights.{a}").alias(a) for a in C.ANCHOR_KEYS]), 6)
