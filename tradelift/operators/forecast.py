@@ -78,11 +78,13 @@ def holt_forecast(df: DataFrame, keys, order, value: str, horizon: int = 3, floo
         *keys, "step", F.add_months("__last", F.col("step")).alias(order), value)
 
 
-def month_spine(df: DataFrame, key: str, columns, order="period") -> DataFrame:
-    """Every month seen in any series, for every series; missing values are 0."""
-    names = df.agg(F.collect_set(key)).scalar()
-    spine = df.select(order).distinct().select(order, F.explode(names).alias(key))
-    return spine.join(df.select(key, order, *columns), [key, order], "left").fillna(0.0, list(columns))
+def month_spine(df: DataFrame, keys, columns, order="period") -> DataFrame:
+    """Every month seen in any series, for every series; missing values are 0. The months, which a calendar bounds, are one
+    array that every series explodes."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    months = df.agg(F.collect_set(order)).scalar()
+    spine = df.select(*keys).distinct().select(*keys, F.explode(months).alias(order))
+    return spine.join(df.select(*keys, order, *columns), [*keys, order], "left").fillna(0.0, list(columns))
 
 
 def pack_history(model_rows: DataFrame, keys=("Sizes",), order="period") -> DataFrame:

@@ -88,12 +88,12 @@ def _(spark, sf):
 
 
 @query("lead_two_period", """
-SELECT "Sizes", "Slab", period, round(two, 2) AS incremental_revenue_2mo, round(two / spend, 4) AS roi_2mo FROM (
-  SELECT *, rev + coalesce(lead(rev) OVER w, 0) - brev - coalesce(lead(brev) OVER w, 0) AS two FROM v_tact WINDOW w AS (PARTITION BY "Sizes", "Slab" ORDER BY period)) WHERE tactical > 0
+SELECT "Sizes", "Slab", period, round(two, 2) AS incremental_revenue_2mo, round(two / nullif(spend, 0), 4) AS roi_2mo FROM (
+  SELECT *, rev + coalesce(lead(rev) OVER w, 0) - brev - coalesce(lead(brev) OVER w, 0) AS two FROM v_tact WINDOW w AS (PARTITION BY "Sizes", "Slab" ORDER BY period))
 """)
 def _(spark, sf):
     m, _c = X.two_stage_model(month_frame(spark, sf), M.GROUP, FIXED)
-    d = Q.lead_two_period(m, M.GROUP, "period").where("tactical_discount_pct > 0")
+    d = Q.lead_two_period(m, M.GROUP, "period")
     return r(d.select("Sizes", "Slab", "period", "incremental_revenue_2mo", "roi_2mo"), 2, roi_2mo=4)
 
 
@@ -176,13 +176,11 @@ def _(spark, sf):
 
 
 @query("month_spine", """
-SELECT m.period, s."Slab", round(coalesce(quantity, 0), 4) AS quantity FROM (SELECT DISTINCT period FROM v_month) m CROSS JOIN (SELECT DISTINCT "Slab" FROM v_month) s
-LEFT JOIN (SELECT "Slab", period, quantity FROM v_month WHERE "Sizes" = '18-ML') q ON m.period = q.period AND s."Slab" = q."Slab"
-""".replace("(SELECT DISTINCT period FROM v_month)", "(SELECT DISTINCT period FROM v_month WHERE \"Sizes\" = '18-ML')").replace(
-    "(SELECT DISTINCT \"Slab\" FROM v_month)", "(SELECT DISTINCT \"Slab\" FROM v_month WHERE \"Sizes\" = '18-ML')"))
+SELECT s."Sizes", m.period, s."Slab", round(coalesce(quantity, 0), 4) AS quantity FROM (SELECT DISTINCT period FROM v_month) m CROSS JOIN (SELECT DISTINCT "Sizes", "Slab" FROM v_month) s
+LEFT JOIN (SELECT "Sizes", "Slab", period, quantity FROM v_month) q ON m.period = q.period AND s."Sizes" = q."Sizes" AND s."Slab" = q."Slab"
+""")
 def _(spark, sf):
-    m = M.month_totals(defined_days(spark, sf)).where("Sizes = '18-ML'")
-    return r(O.month_spine(m, "Slab", ["quantity"]))
+    return r(O.month_spine(M.month_totals(defined_days(spark, sf)), ["Sizes", "Slab"], ["quantity"]))
 
 
 view("v_hist", """

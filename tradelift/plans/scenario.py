@@ -287,11 +287,12 @@ def _(spark, sf):
     return r(C.coupled_response(d).select("scenario_id", "Sizes", "Slab", "qty", "weight", "other"), 4, qty=3, weight=5)
 
 
-@query("scenario_wide", """
-SELECT scenario_id, max(value) FILTER (idx = 0 AND "Sizes" = '12-ML' AND "Slab" = 'slab1') AS "m1_12-ML_slab1", max(value) FILTER (idx = 2 AND "Sizes" = '18-ML' AND "Slab" = 'slab4') AS "m3_18-ML_slab4" FROM v_anch GROUP BY 1
-""")
+_WIDE = [(i, size, f"slab{k}") for i in range(3) for size, n in (("12-ML", 2), ("18-ML", 4)) for k in range(1, n + 1)]
+
+
+@query("scenario_wide", "SELECT scenario_id, " + ", ".join(f"""max(value) FILTER (idx = {i} AND "Sizes" = '{z}' AND "Slab" = '{b}') AS "m{i + 1}_{z}_{b}\"""" for i, z, b in _WIDE) + " FROM v_anch GROUP BY 1")
 def _(spark, sf):
-    return C.scenario_wide(Base(spark, sf).anchors, [(0, "12-ML", "slab1"), (2, "18-ML", "slab4")])
+    return C.scenario_wide(Base(spark, sf).anchors, _WIDE)
 
 
 @query("allocate_counts", """
