@@ -40,6 +40,40 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+class Groups:
+    """Disjoint sets of hashable items."""
+
+    def __init__(self):
+        self.top = {}
+
+    def find(self, x):
+        top = self.top
+        top.setdefault(x, x)
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.top[max(a, b)] = min(a, b)
+        return True
+
+
+def _joining(batches):
+    groups = Groups()
+    for pdf in batches:
+        yield pdf[[groups.join(a, b) for a, b in zip(pdf.a.tolist(), pdf.b.tolist())]]
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: of the edges that share a partition by `a`, those that join something."""
+    return edges.select("a", "b").repartition(partitions(edges.sparkSession), "a").mapInPandas(_joining, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b long): component is the smallest node reachable.
 

@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradelift.llm.common import components, cut, partitions, shared_path
+from tradelift.llm.common import Groups, components, cut, forest, partitions, shared_path
 
 RADIUS, SIMILAR = 3, 0.8
 #: First bit and width of the five blocks.
@@ -148,24 +148,16 @@ def _texts(batches):
 
 def _linked(batches):
     """Links between rows of a key whose lines are similar; only what joins two groups is given."""
-    key, seen, top = None, [], {}
-
-    def find(x):
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
+    key, seen, groups = None, [], Groups()
 
     for pdf in batches:
         out = []
         for k, i, sim, words in zip(pdf.key.tolist(), pdf.id.tolist(), pdf.sim.tolist(), pdf.words):
             if k != key:
-                key, seen, top = k, [], {}
-            top[i] = i
+                key, seen, groups = k, [], Groups()
             for j, other, text in seen:
-                if ((sim ^ other) & 0xFFFFFFFFFFFFFFFF).bit_count() <= RADIUS and find(i) != find(j) and _similar(words, text):
-                    a, b = find(i), find(j)
-                    top[max(a, b)] = min(a, b)
+                if ((sim ^ other) & 0xFFFFFFFFFFFFFFFF).bit_count() <= RADIUS and groups.find(i) != groups.find(j) and _similar(words, text):
+                    groups.join(i, j)
                     out.append((i, j))
             seen.append((i, sim, words))
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
@@ -190,7 +182,7 @@ def marked(docs: DataFrame) -> DataFrame:
     once = docs.select("doc_id", "text").join(wanted, "doc_id")
     texts = once.mapInPandas(_texts, "id bigint, words string").join(distinct.select("id", "sim"), "id")
     met = near.join(texts, "id").repartition(n, "key").sortWithinPartitions("key", "id")
-    classes = components(met.mapInPandas(_linked, "a bigint, b bigint").distinct())
+    classes = components(forest(met.mapInPandas(_linked, "a bigint, b bigint")))
     named = distinct.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("component", "id"))
     keep = cut(named.groupBy("class_id").agg(F.min("first").alias("keep")))
     named = cut(named.select(*content, "class_id").join(keep, "class_id"))

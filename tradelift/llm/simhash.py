@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tradelift.llm.common import components, cut, partitions
+from tradelift.llm.common import Groups, components, cut, forest, partitions
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -60,7 +60,7 @@ def _similar(tables: int = 64, bits: int = 256, named: int = 20) -> Scheme:
     rng = np.random.default_rng(7)
     draw = lambda n, k, free: tuple(tuple(int(x) for x in rng.choice(free, k, replace=False)) for _ in range(n))
     first = draw(tables, named, bits)
-    return Scheme(5, bits, 44, first, tuple(draw(12, 12, [b for b in range(bits) if b not in t]) for t in first))
+    return Scheme(5, bits, 44, first, tuple(draw(12, 12, [b for b in range(bits) if b not in t]) for t in first), shard_size=20_000)
 
 
 #: Three-word shingles, 64 bits, at most two differing: complete.
@@ -114,7 +114,7 @@ class Tree:
             node = node[2][d]
 
     def near(self, value: int, radius: int):
-        """Names within the radius."""
+        """Names within the radius, one after another."""
         todo = [self.root] if self.root else []
         while todo:
             v, name, children = todo.pop()
@@ -126,24 +126,65 @@ class Tree:
                     todo.append(children[edge])
 
 
-def _links(group: list[tuple[int, int]], radius: int):
-    """Joining links (a, b) of one shard's (node, fingerprint) rows."""
-    tree, top = Tree(), {}
+class Ball:
+    """The tree of one dense group, its first value and how far the others lie from that."""
+
+    def __init__(self, value: int, name):
+        self.centre, self.cover, self.tree = value, 0, Tree()
+        self.tree.add(value, name)
+
+    def add(self, value: int, name) -> None:
+        self.cover = max(self.cover, (value ^ self.centre).bit_count())
+        self.tree.add(value, name)
+
+    def any(self, value: int, radius: int):
+        """Some name within the radius, or None. A value outside the cover and the radius meets nobody."""
+        if (value ^ self.centre).bit_count() > self.cover + radius:
+            return None
+        return next(self.tree.near(value, radius), None)
 
-    def find(x):
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
+
+#: Members from which a group grows a tree of its own.
+DENSE = 8
+
+
+def _links(group: list[tuple[int, int]], radius: int):
+    """Joining links (a, b) of one shard's (node, fingerprint) rows.
+
+    Once a group has DENSE members, its later members go to a tree of the group's own. One link into a group is
+    enough, so the search of such a tree ends at the first hit, and a dense shard costs little more than its rows."""
+    loose, balls, size, groups = Tree(), {}, {}, Groups()
+    find = groups.find
+
+    def join(a, b):
+        low, high = sorted((find(a), find(b)))
+        if not groups.join(low, high):
+            return False
+        size[low] += size.pop(high)
+        if high in balls:
+            balls.setdefault(low, []).extend(balls.pop(high))
+        return True
 
     for node, value in group:
-        top[node] = node
-        for other in tree.near(value, radius):
-            a, b = find(node), find(other)
-            if a != b:
-                top[max(a, b)] = min(a, b)
+        size[node] = 1
+        for other in loose.near(value, radius):
+            if join(node, other):
                 yield node, other
-        tree.add(value, node)
+        for root in list(balls):
+            if root in balls and find(node) != root:
+                for ball in balls[root]:
+                    other = ball.any(value, radius)
+                    if other is not None:
+                        join(node, other)
+                        yield node, other
+                        break
+        root = find(node)
+        if root in balls:
+            balls[root][0].add(value, node)
+        elif size[root] >= DENSE:
+            balls[root] = [Ball(value, node)]
+        else:
+            loose.add(value, node)
 
 
 def _fingerprints(words: int, bits: int):
@@ -224,8 +265,8 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     large = cut(sizes.select("key", F.lit(True).alias("large")))
     few = large.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
     told = dealt.join(F.broadcast(large) if few else large, "key", "left").select("key", "node", "fp", F.coalesce("large", F.lit(False)).alias("large"))
-    shards = told.mapInPandas(_dealt_again(scheme.finer), shape).repartition(n, "key").sortWithinPartitions("key")
-    return shards.mapInPandas(_searched(scheme.radius), "a bigint, b bigint").distinct()
+    shards = told.mapInPandas(_dealt_again(scheme.finer), shape).repartition(n, "key").sortWithinPartitions("key", "node")
+    return forest(shards.mapInPandas(_searched(scheme.radius), "a bigint, b bigint"))
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
