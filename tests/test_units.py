@@ -431,3 +431,23 @@ def test_rows_without_keys_and_skipped_drops(spark, tmp_path):
     assert [(p.rsplit("/", 1)[1], c) for p, c in skipped] == [("a.parquet", ["Quantity"])]
     with pytest.raises(ValueError, match="Quantity"):
         I.scan_transactions(spark, str(tmp_path), required=("Quantity",))
+
+
+def test_price_columns_and_store_keys(spark):
+    from tradelift.operators.discount import discount_basis
+    rows = [(2.0, 1.0, 0.5, 0.0, 10.0, 0.0), (3.0, 1.0, 0.0, 0.0, 20.0, 18.0)]
+    names = "Quantity double, Scheme_Discount double, Staggered_qps double, Basic_Rate_Per_PC_without_GST double, Basic_Rate_Per_PC double, Selling_Rate_Per_PC_without_GST_CLP double"
+    d = spark.createDataFrame(rows, names)
+    assert [(r.dsp_sales, r.clp_sales, r.scheme_amount) for r in discount_basis(d).orderBy("Quantity").collect()] == [(20.0, 20.0, 1.5), (60.0, 54.0, 1.0)]
+    first = d.withColumn("Basic_Rate_Per_PC_without_GST", F.when(F.col("Quantity") == 2, 7.0).otherwise(0.0))
+    assert [r.dsp_sales for r in discount_basis(first).orderBy("Quantity").collect()] == [14.0, 0.0]
+    s = spark.createDataFrame([("S1", "d", "o"), (" ", "d", "o")], "Store_ID string, Distributor_ID string, Outlet_ID string")
+    assert {r.Store_Key for r in I.store_key(s).collect()} == {"S1", None}
+    assert {r.Store_Key for r in I.store_key(s.where("Store_ID = ' '")).collect()} == {"d o"}
+
+
+def test_export_is_ordered(spark):
+    d = spark.createDataFrame([(f"o{i}", "s", "x", float(i * 7 % 10), i, 1.0, 1, 1, 1.0, dt.date(2024, 1, 1), dt.date(2024, 1, 2)) for i in range(10)],
+                              "Outlet_ID string, Final_State string, RFM_Segment string, Total_Net_Amt double, orders_count int, AOV double, Recency_days int, unique_order_days int, orders_per_day double, first_order date, last_order date")
+    got = [r.Total_Net_Amt for r in R.export_outlets(d).collect()]
+    assert got == sorted(got, reverse=True)

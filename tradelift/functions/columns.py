@@ -120,3 +120,8 @@ def fiscal_label(c) -> Column:
 def total(c) -> Column:
     """Sum over a result table whose row count is bounded by its group keys."""
     return F.sum(col(c)).over(Window.partitionBy(F.lit(1)))
+
+
+def half_up(c, digits: int, kept: int = 8) -> Column:
+    """Rounded half up in DECIMAL, from `kept` digits, so that a tie does not hang on the last bit of a double."""
+    return F.round(col(c).cast(f"decimal(38,{kept})"), digits).cast("double")

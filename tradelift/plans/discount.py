@@ -136,7 +136,7 @@ _ROLL = """
 SELECT '{0}' AS grain, CAST(date_trunc('{1}', "Date") AS DATE) AS period, count(DISTINCT "Bill_No") AS orders, count(DISTINCT "Outlet_ID") AS store_count,
   round(sum("Quantity"), 4) AS quantity, round(sum("Net_Amt"), 4) AS net_amt, round(sum("TotalDiscount"), 4) AS total_discount,
   round(sum("SalesValue_atBasicRate"), 4) AS sales_value, round(sum("TotalDiscount") / sum("SalesValue_atBasicRate") * 100, 6) AS discount_pct,
-  round(sum("SalesValue_atBasicRate") / sum("Quantity") + 3e-9, 6) AS base_price FROM txn GROUP BY 2
+  CAST(round(CAST(sum("SalesValue_atBasicRate") / sum("Quantity") AS DECIMAL(38,10)), 6) AS DOUBLE) AS base_price FROM txn GROUP BY 2
 """
 
 
@@ -145,7 +145,7 @@ def _(spark, sf):
     t = txn(spark, sf, "Date", "Bill_No", "Outlet_ID", "Quantity", "Net_Amt", "TotalDiscount", "SalesValue_atBasicRate")
     parts = [D.period_rollup(t, g).select(F.lit(g).alias("grain"), "*") for g in "DWM"]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return r(both.withColumn("base_price", F.col("base_price") + 3e-9), discount_pct=6, base_price=6)
+    return r(both.withColumn("base_price", K.half_up("base_price", 6, 10)), discount_pct=6, base_price=6)
 
 
 @query("outlet_periods", """
@@ -214,14 +214,14 @@ def _(spark, sf):
 
 
 _FRAME = """"Sizes", "Slab", period, store_count, round(quantity, 4) AS quantity, round(total_discount, 4) AS total_discount, round(sales_value, 4) AS sales_value,
-  round(actual, 6) AS actual_discount_pct, round(base, 6) AS base_discount_pct, round(tactical, 6) AS tactical_discount_pct, round(lag1, 6) AS lag1_base_discount_pct, round(base_price + 3e-9, 6) AS base_price"""
+  round(actual, 6) AS actual_discount_pct, round(base, 6) AS base_discount_pct, round(tactical, 6) AS tactical_discount_pct, round(lag1, 6) AS lag1_base_discount_pct, CAST(round(CAST(base_price AS DECIMAL(38,10)), 6) AS DOUBLE) AS base_price"""
 _P6 = {c: 6 for c in ("actual_discount_pct", "base_discount_pct", "tactical_discount_pct", "lag1_base_discount_pct", "base_price")}
 
 
 @query("month_model_frame", f"SELECT {_FRAME} FROM v_month")
 def _(spark, sf):
     m = month_frame(spark, sf).drop("clp_sales")
-    return r(m.withColumn("base_price", F.col("base_price") + 3e-9), **_P6)
+    return r(m.withColumn("base_price", K.half_up("base_price", 6, 10)), **_P6)
 
 
 @query("base_to_month", f"""

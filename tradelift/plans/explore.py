@@ -30,11 +30,11 @@ def trend(spark, sf):
     return P.slab_trend(txn(spark, sf, *CORE, "MRP", "Slab").where(K.allowed_slab("Slab")))
 
 
-@query("slab_trend", """SELECT period, "Sizes", "Slab", round(sv, 4) AS sales_value, round(q, 4) AS quantity, round(disc, 4) AS discount_value, round(pct, 6) AS discount_pct, round(mrp + 3e-7, 4) AS mrp,
+@query("slab_trend", """SELECT period, "Sizes", "Slab", round(sv, 4) AS sales_value, round(q, 4) AS quantity, round(disc, 4) AS discount_value, round(pct, 6) AS discount_pct, CAST(round(CAST(mrp AS DECIMAL(38,8)), 4) AS DOUBLE) AS mrp,
   round(dq, 6) AS volume_change_pct, round(dv, 6) AS revenue_change_pct FROM v_trend""")
 def _(spark, sf):
     t = trend(spark, sf)
-    return r(t.withColumn("mrp", F.col("mrp") + 3e-7), discount_pct=6, volume_change_pct=6, revenue_change_pct=6)
+    return r(t.withColumn("mrp", K.half_up("mrp", 4)), discount_pct=6, volume_change_pct=6, revenue_change_pct=6)
 
 
 @query("pack_trend", """SELECT period, "Sizes", round(sum(sv), 4) AS sales, round(sum(q), 4) AS volume, round(sum(sv * pct) / sum(sv), 6) AS discount_pct, round(sum(mrp * q) / sum(q), 5) AS mrp FROM v_trend GROUP BY ALL""")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tradelift.functions import columns as K
 from tradelift.operators import rfm as R
 from tradelift.plans.fixtures import txn
 from tradelift.plans.registry import query, view
@@ -61,7 +62,7 @@ def _(spark, sf):
 
 @query("rfm_outlets", """
 SELECT "Outlet_ID", "Final_State", first_order, last_order, unique_order_days, orders_count,
-       round(aov + 3e-7, 4) AS "AOV", recency_days AS "Recency_days", r_label AS "R_label", active_days,
+       CAST(round(CAST(aov AS DECIMAL(38,8)), 4) AS DOUBLE) AS "AOV", recency_days AS "Recency_days", r_label AS "R_label", active_days,
        round(orders_per_day, 6) AS orders_per_day, f_label AS "F_label", m_label AS "M_label",
        segment AS "RFM_Segment", round(total_net, 4) AS "Total_Net_Amt"
 FROM v_rfm
@@ -69,7 +70,7 @@ FROM v_rfm
 def _(spark, sf):
     return outlets(spark, sf).select(
         "Outlet_ID", "Final_State", "first_order", "last_order", "unique_order_days", "orders_count",
-        F.round(F.col("AOV") + 3e-7, 4).alias("AOV"), F.col("Recency_days").cast("bigint").alias("Recency_days"), "R_label",
+        K.half_up("AOV", 4).alias("AOV"), F.col("Recency_days").cast("bigint").alias("Recency_days"), "R_label",
         F.col("active_days").cast("bigint").alias("active_days"), F.round("orders_per_day", 6).alias("orders_per_day"),
         "F_label", "M_label", "RFM_Segment", F.round("Total_Net_Amt", 4).alias("Total_Net_Amt"))
 
@@ -119,12 +120,12 @@ def _(spark, sf):
 
 
 @query("monetary_split", """
-SELECT "Outlet_ID", round(aov + 3e-7, 4) AS "AOV", m_label AS "M_label", CASE WHEN m_label = 'High' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "M_cluster_id"
+SELECT "Outlet_ID", CAST(round(CAST(aov AS DECIMAL(38,8)), 4) AS DOUBLE) AS "AOV", m_label AS "M_label", CASE WHEN m_label = 'High' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "M_cluster_id"
 FROM v_rfm
 """)
 def _(spark, sf):
     base = R.recency_frequency(txn(spark, sf, *FACT), PARAMS)
-    return R.monetary_split(base).select("Outlet_ID", F.round(F.col("AOV") + 3e-7, 4).alias("AOV"), "M_label", "M_cluster_id")
+    return R.monetary_split(base).select("Outlet_ID", K.half_up("AOV", 4).alias("AOV"), "M_label", "M_cluster_id")
 
 
 @query("rfm_segment", """
@@ -170,13 +171,13 @@ def _(spark, sf):
 
 @query("export_outlets", """
 SELECT "Outlet_ID", "Final_State" AS "State", segment AS "RFM_Segment", round(total_net, 4) AS "Total_Net_Amt",
-       orders_count AS "Orders", round(aov + 3e-7, 4) AS "AOV", recency_days AS "Recency_Days",
+       orders_count AS "Orders", CAST(round(CAST(aov AS DECIMAL(38,8)), 4) AS DOUBLE) AS "AOV", recency_days AS "Recency_Days",
        unique_order_days AS "Unique_Order_Days", round(orders_per_day, 6) AS "Orders_Per_Day",
        first_order AS "First_Order", last_order AS "Last_Order" FROM v_rfm
 """)
 def _(spark, sf):
     return R.export_outlets(outlets(spark, sf)).withColumns({
-        "Total_Net_Amt": F.round("Total_Net_Amt", 4), "AOV": F.round(F.col("AOV") + 3e-7, 4),
+        "Total_Net_Amt": F.round("Total_Net_Amt", 4), "AOV": K.half_up("AOV", 4),
         "Orders_Per_Day": F.round("Orders_Per_Day", 6), "Recency_Days": F.col("Recency_Days").cast("bigint")})
 
 

@@ -179,12 +179,12 @@ def _(spark, sf):
 @query("read_plan_grid", """
 SELECT scenario, month_no, CAST((month_no + 8) % 12 AS INTEGER) AS plan_idx, round(pct, 2) AS pct FROM (
   SELECT "Final_Outlet_Classification" AS scenario, CAST(month("Date") AS INTEGER) AS month_no,
-         round(sum("TotalDiscount") / sum("SalesValue_atBasicRate") * 100 + 3e-7, 2) AS pct FROM txn GROUP BY ALL)
+         CAST(round(CAST(sum("TotalDiscount") / sum("SalesValue_atBasicRate") * 100 AS DECIMAL(38,8)), 2) AS DOUBLE) AS pct FROM txn GROUP BY ALL)
 """)
 def _(spark, sf):
     sheet = txn(spark, sf, "Date", "Final_Outlet_Classification", "TotalDiscount", "SalesValue_atBasicRate").groupBy(
         F.date_format("Date", "MMMM").alias("Month")).pivot("Final_Outlet_Classification", ["OTHERGT", "SS", "WH"]).agg(
-        F.concat(F.round(F.sum("TotalDiscount") / F.sum("SalesValue_atBasicRate") * 100 + 3e-7, 2).cast("string"), F.lit("%")))
+        F.concat(K.half_up(F.sum("TotalDiscount") / F.sum("SalesValue_atBasicRate") * 100, 2).cast("string"), F.lit("%")))
     return I.read_plan_grid(sheet)
 
 
