@@ -133,6 +133,17 @@ def test_edit_distance():
         assert got == true if true <= most else got > most
 
 
+def test_simhashes_of_lines():
+    import xxhash
+    rng = random.Random(1)
+    texts = [[f"w{rng.randint(0, 50)}".encode() for _ in range(n)] for n in (0, 1, 2, 30, 254, 255, 256, 600, 0, 3)]
+    for words, got in zip(texts, lines.simhashes(texts)):
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        mask = (1 << 64) - 1
+        h += [(((a * 0x9E3779B97F4A7C15 + b) & mask) * 0xC2B2AE3D27D4EB4F) & mask for a, b in zip(h, h[1:])]
+        assert int(got) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
 def test_lines_against_brute_force(frame):
     rng = random.Random(7)
     base = [" ".join(f"w{rng.randint(0, 500):03d}x{chr(97 + rng.randrange(26)) * 3}" for _ in range(25)) for _ in range(30)]
@@ -148,7 +159,7 @@ def test_lines_against_brute_force(frame):
     rows += [(100, None), (101, ""), (102, "x" * 100000 + "\n" + "y " * 20000), (None, base[0]), (103, base[1] + "\n" + base[1])]
     texts = [(i, n, lines.normal(x).decode()) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")) if lines.normal(x)]
     known = sorted({t for *_, t in texts})
-    sims = lines.simhashes([k.encode() for k in known])
+    sims = lines.simhashes([k.encode().split() for k in known])
     top = list(range(len(known)))
 
     def find(x):

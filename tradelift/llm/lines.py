@@ -11,14 +11,14 @@ id and line number, stays; empty lines always stay.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradelift.llm.common import Groups, components, cut, forest, partitions, shared_path
+from tradelift.llm.common import components, cut, forest, partitions, shared_path
 
 RADIUS, SIMILAR = 3, 0.8
 #: First bit and width of the five blocks.
@@ -28,36 +28,49 @@ AT_ONCE = 1 << 18
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def normal(line: str) -> bytes:
-    return b" ".join(line.encode("utf-8", "replace").translate(_NORMAL).split())
+#: A byte's bits, each in a byte of its own, the highest first in memory.
+_SPREAD = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view(np.uint64).ravel()
+
+
+def normal_words(line: str) -> list[bytes]:
+    return line.encode("utf-8", "replace").translate(_NORMAL).split()
 
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """Fingerprints of normalised lines: majority bits of the hashes of words and neighbouring words; zero for an empty line."""
-    out, at = np.zeros(len(lines), np.uint64), 0
-    words = [x.split() for x in lines]
-    while at < len(lines):
+def normal(line: str) -> bytes:
+    return b" ".join(normal_words(line))
+
+
+def _bit_counts(keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set among the consecutive keys of every line. 255 keys at most are summed in bytes."""
+    parts = -(-size // 255)
+    line = np.repeat(np.arange(len(size)), parts)
+    within = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(np.cumsum(size) - size, parts) + 255 * within
+    counts = np.zeros((len(size), 64), np.int64)
+    if len(first):
+        lanes = _SPREAD[keys.astype(">u8").view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, first, axis=0).view(np.uint8)
+        own = np.flatnonzero(parts)
+        counts[own] = np.add.reduceat(sums, np.flatnonzero(within == 0), axis=0, dtype=np.int64) if (parts > 1).any() else sums
+    return counts
+
+
+def simhashes(words: list[list[bytes]]) -> np.ndarray:
+    """Fingerprints of lines given as words: majority bits of the hashes of words and neighbouring words; zero for no words."""
+    out, at = np.zeros(len(words), np.uint64), 0
+    while at < len(words):
         end, held = at, 0
-        while end < len(lines) and (held < AT_ONCE or end == at):
+        while end < len(words) and (held < AT_ONCE or end == at):
             held += len(words[end])
             end += 1
         size = np.array([len(w) for w in words[at:end]])
-        flat = [x for w in words[at:end] for x in w]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words[at:end])), np.uint64, int(size.sum()))
         of = np.repeat(np.arange(end - at), size)
         with np.errstate(over="ignore"):
-            pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        inside = of[:-1] == of[1:]
-        keys, owner = np.concatenate([h, pair[inside]]), np.concatenate([of, of[:-1][inside]])
-        order = np.argsort(owner, kind="stable")
-        keys, n = keys[order], np.bincount(owner, minlength=end - at)
-        have = np.flatnonzero(n)
-        if len(have):
-            bits = np.unpackbits(keys.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            first = np.concatenate([[0], np.cumsum(n[have])[:-1]])
-            counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-            major = counts * 2 > n[have][:, None]
-            out[at + have] = np.packbits(major, axis=1).view(">u8").ravel().astype(np.uint64)
+            pair = ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F))[of[:-1] == of[1:]]
+        pairs = np.maximum(size - 1, 0)
+        counts = _bit_counts(h, size) + _bit_counts(pair, pairs)
+        out[at:end] = np.packbits(counts * 2 > (size + pairs)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
         at = end
     return out
 
@@ -93,17 +106,17 @@ def _similar(a: str, b: str) -> bool:
 
 def _lines(batches):
     for pdf in batches:
-        docs, numbers, lines = [], [], []
+        docs, numbers, words = [], [], []
         for doc, text in zip(pdf.doc_id, pdf.text):
             if pd.isna(doc):
                 continue
             for i, line in enumerate((text or "").split("\n")):
-                if x := normal(line):
-                    docs.append(doc), numbers.append(i), lines.append(x)
-        digest = [xxhash.xxh3_128_digest(x) for x in lines]
-        halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                if w := normal_words(line):
+                    docs.append(doc), numbers.append(i), words.append(w)
+        lines = list(map(b" ".join, words))
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
         yield pd.DataFrame({"doc_id": np.array(docs, np.int64), "line": np.array(numbers, np.int32), "h1": halves[:, 0], "h2": halves[:, 1],
-                            "size": np.array([len(x) for x in lines], np.int32), "sim": simhashes(lines).view(np.int64)})
+                            "size": np.array(list(map(len, lines)), np.int32), "sim": simhashes(words).view(np.int64)})
 
 
 def _keys(sim: Column) -> Column:
@@ -112,28 +125,44 @@ def _keys(sim: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(k).cast("long"), 26) + F.shiftleft(part[i], 13) + part[j] for k, (i, j) in enumerate(combinations(range(5), 2))])
 
 
-def _near(batches):
-    """Of rows sorted by key, those with another one of the key within the radius."""
-    key, ids, sims = None, [], []
+def _owned(x, y, key: int):
+    """Whether fingerprints (integers or unsigned arrays) lie within the radius and the key's blocks are the first two that agree;
+    a candidate pair meets under several keys and is looked at under one."""
+    d, pair = x ^ y, list(combinations(range(5), 2))[key >> 26]
+    near = np.bitwise_count(d) <= RADIUS
+    for k in range(pair[1]):
+        at, width = BLOCKS[k]
+        if k not in pair:
+            near &= (d >> np.uint64(at)) & np.uint64((1 << width) - 1) != 0
+    return near
 
-    def found():
-        v = np.array(sims, np.int64).view(np.uint64)
-        for i in range(0, len(v), 256):
-            d = np.bitwise_count(v[i:i + 256, None] ^ v[None, :])
-            for j in np.flatnonzero((d <= RADIUS).sum(1) > 1):
-                yield key, ids[i + j]
 
-    for pdf in batches:
+def _near(batches):
+    """Of rows sorted by key, those with another one of the key that is theirs to look at. Most keys have one row, so whole
+    batches are cut where the key changes and the last run waits for the next batch."""
+    def found(key, ids, sims):
         out = []
-        for k, i, s in zip(pdf.key, pdf.id, pdf.sim):
-            if k != key:
-                if len(ids) > 1:
-                    out += found()
-                key, ids, sims = k, [], []
-            ids.append(i), sims.append(s)
-        yield pd.DataFrame(out, columns=["key", "id"], dtype=np.int64)
-    if len(ids) > 1:
-        yield pd.DataFrame(list(found()), columns=["key", "id"], dtype=np.int64)
+        for i in range(0, len(sims), 256):
+            near = _owned(sims[i:i + 256, None], sims[None, :], key)
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+            out.append(ids[i:i + 256][near.any(1)])
+        ids = np.concatenate(out)
+        return np.column_stack([np.full(len(ids), key), ids])
+
+    held = None
+    for pdf in chain(batches, [None]):
+        now = held if pdf is None else pdf if held is None else pd.concat([held, pdf])
+        if now is None or not len(now):
+            continue
+        key, ids, sims = now.key.to_numpy(), now.id.to_numpy(), now.sim.to_numpy().view(np.uint64)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        last = np.append(first[1:], len(key))
+        if pdf is not None:
+            held = now.iloc[first[-1]:]
+            first, last = first[:-1], last[:-1]
+        many = np.flatnonzero(last - first > 1)
+        out = [found(int(key[first[i]]), ids[first[i]:last[i]], sims[first[i]:last[i]]) for i in many]
+        yield pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["key", "id"])
 
 
 def _texts(batches):
@@ -147,19 +176,23 @@ def _texts(batches):
 
 
 def _linked(batches):
-    """Links between rows of a key whose lines are similar; only what joins two groups is given."""
-    key, seen, groups = None, [], Groups()
-
+    """Links between rows of a key whose lines are similar. One link into a group of linked rows is enough, so the
+    search of a group ends at the first."""
+    key, groups = None, []
     for pdf in batches:
         out = []
-        for k, i, sim, words in zip(pdf.key.tolist(), pdf.id.tolist(), pdf.sim.tolist(), pdf.words):
+        for k, i, sim, words in zip(pdf.key.tolist(), pdf.id.tolist(), pdf.sim.to_numpy().view(np.uint64), pdf.words):
             if k != key:
-                key, seen, groups = k, [], Groups()
-            for j, other, text in seen:
-                if ((sim ^ other) & 0xFFFFFFFFFFFFFFFF).bit_count() <= RADIUS and groups.find(i) != groups.find(j) and _similar(words, text):
-                    groups.join(i, j)
-                    out.append((i, j))
-            seen.append((i, sim, words))
+                key, groups = k, []
+            own, rest = [(i, sim, words)], []
+            for group in groups:
+                hit = next((j for j, other, text in group if _owned(sim, other, k) and _similar(words, text)), None)
+                if hit is None:
+                    rest.append(group)
+                else:
+                    out.append((i, hit))
+                    own = group + own if len(group) >= len(own) else own + group
+            groups = [*rest, own]
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
