@@ -124,6 +124,7 @@ def test_links_of_large_shards_are_all_found(spark):
     df = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for v, i in nodes.items()], "node bigint, fp binary")
     small = simhash.Scheme(3, 64, 2, simhash.EXACT.tables, simhash.EXACT.finer, shard_size=5)
     found = {r.node: r.component for r in common.components(simhash.links(df, small)).collect()}
+    assert found == {r.node: r.component for r in common.components(simhash.links(df, small, known_shards=0)).collect()}
     top = plain_components(values)
     want = defaultdict(list)
     for v, i in nodes.items():

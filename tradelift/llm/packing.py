@@ -26,7 +26,7 @@ from tradelift.llm.common import cut, partitions
 
 LIMIT, END = 4096, 1
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 # The normalizer and splitting pattern for which words can be encoded apart from each other.
 _NORMAL = ["NFC", "Replace", "Lowercase"]

@@ -194,43 +194,51 @@ def _fingerprints(words: int, bits: int):
     return run
 
 
-def _keys(bit: np.ndarray, tables, heads: list[bytes]) -> list[list[bytes]]:
-    """For every table the key of each row of bits: its head, the table's number and the bits that the table names."""
-    out = []
-    for i, t in enumerate(tables):
-        named = np.packbits(bit[:, list(t)], axis=1)
-        width, flat = named.shape[1], named.tobytes()
-        out.append([h + bytes((i,)) + flat[j * width:j * width + width] for j, h in enumerate(heads)])
-    return out
-
-
 def _bits(fps) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
 
 
-def _dealt(tables):
-    """Every node once for each table. Nodes and fingerprints stay Arrow columns; only keys are made."""
+def _dealt(tables, finer=(), large: frozenset = frozenset()):
+    """Every node once for each table, and where that names a large shard, once for each of the finer tables instead.
+    Nodes and fingerprints stay Arrow columns; only keys are made."""
+    def keyed(key: np.ndarray, batch, rows=None):
+        n = len(key)
+        ends = np.arange(n + 1, dtype=np.int32) * key.shape[1]
+        column = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(key).tobytes())])
+        node, fp = (batch.column(c) if rows is None else batch.column(c).take(pa.array(rows)) for c in ("node", "fp"))
+        return pa.RecordBatch.from_arrays([column, node, fp], ["key", "node", "fp"])
+
+    def named(bit, i, table, head=None):
+        parts = [np.full((len(bit), 1), i, np.uint8), np.packbits(bit[:, list(table)], axis=1)]
+        return np.hstack(parts if head is None else [head, *parts])
+
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            bit = _bits(batch.column("fp").to_pylist()) if n else None
-            for i, t in enumerate(tables if n else ()):
-                named = np.packbits(bit[:, list(t)], axis=1)
-                key = np.hstack([np.full((n, 1), i, np.uint8), named])
-                ends = np.arange(n + 1, dtype=np.int32) * key.shape[1]
-                column = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(key.tobytes())])
-                yield pa.RecordBatch.from_arrays([column, batch.column("node"), batch.column("fp")], ["key", "node", "fp"])
+            bit = _bits(batch.column("fp").to_pylist()) if batch.num_rows else None
+            for i, t in enumerate(tables if batch.num_rows else ()):
+                key = named(bit, i, t)
+                width, flat = key.shape[1], key.tobytes()
+                hot = np.fromiter((flat[j:j + width] in large for j in range(0, len(flat), width)), bool, len(key)) if large else np.zeros(len(key), bool)
+                if not hot.any():
+                    yield keyed(key, batch)
+                    continue
+                yield keyed(key[~hot], batch, np.flatnonzero(~hot))
+                for j, again in enumerate(finer[i]):
+                    yield keyed(named(bit[hot], j, again, key[hot]), batch, np.flatnonzero(hot))
     return run
 
 
 def _dealt_again(finer):
-    """Rows of large shards once for each of the finer tables, the others as they are."""
+    """Rows marked as large once for each of the finer tables, the others as they are."""
     def run(batches):
         for pdf in batches:
             yield pdf.loc[~pdf.large, ["key", "node", "fp"]]
             large = pdf[pdf.large]
             for i, rows in large.groupby(large.key.map(lambda k: k[0])):
-                for keys in _keys(_bits(rows.fp), finer[i], rows.key.tolist()):
+                bit = _bits(rows.fp)
+                for j, t in enumerate(finer[i]):
+                    part = np.packbits(bit[:, list(t)], axis=1)
+                    keys = [k + bytes((j,)) + x.tobytes() for k, x in zip(rows.key, part)]
                     yield pd.DataFrame({"key": keys, "node": rows.node.to_numpy(), "fp": rows.fp.to_numpy()})
     return run
 
@@ -253,20 +261,25 @@ def _searched(radius: int):
     return run
 
 
-#: Names of large shards of which a copy may go to every task; beyond it they are joined by shuffle.
-BROADCAST_SHARDS = 100_000
+#: Names of large shards that every task may hold; more are joined by shuffle.
+KNOWN_SHARDS = 100_000
 
 
-def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+def links(nodes: DataFrame, scheme: Scheme, known_shards: int = KNOWN_SHARDS) -> DataFrame:
     """Links (a, b) that join all `nodes` (node long, fp binary, both distinct) reachable from each other."""
     shape, n = "key binary, node bigint, fp binary", partitions(nodes.sparkSession)
-    dealt = nodes.select("node", "fp").mapInArrow(_dealt(scheme.tables), shape)
+    nodes = nodes.select("node", "fp")
+    dealt = nodes.mapInArrow(_dealt(scheme.tables), shape)
     sizes = dealt.select("key").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > scheme.shard_size)
     large = cut(sizes.select("key", F.lit(True).alias("large")))
-    few = large.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
-    told = dealt.join(F.broadcast(large) if few else large, "key", "left").select("key", "node", "fp", F.coalesce("large", F.lit(False)).alias("large"))
-    shards = told.mapInPandas(_dealt_again(scheme.finer), shape).repartition(n, "key").sortWithinPartitions("key", "node")
-    return forest(shards.mapInPandas(_searched(scheme.radius), "a bigint, b bigint"))
+    if large.limit(known_shards + 1).count() <= known_shards:
+        names = frozenset(bytes(r.key) for r in large.select("key").collect())
+        shards = nodes.mapInArrow(_dealt(scheme.tables, scheme.finer, names), shape)
+    else:
+        told = dealt.join(large, "key", "left").select("key", "node", "fp", F.coalesce("large", F.lit(False)).alias("large"))
+        shards = told.mapInPandas(_dealt_again(scheme.finer), shape)
+    ordered = shards.repartition(n, "key").sortWithinPartitions("key", "node")
+    return forest(ordered.mapInPandas(_searched(scheme.radius), "a bigint, b bigint"))
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
