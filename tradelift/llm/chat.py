@@ -1,7 +1,7 @@
 """Chat formatting by prefix-target expansion.
 
-A turn is written `### role ###`, a new line, its text, `</turn>` and a new line. In roles and texts every backslash, `#`
-and `<` is preceded by a backslash, so no text can hold a mark, and taking the backslashes off gives it back.
+A turn is written `### role ###`, a new line, its text, `</turn>` and a new line. In roles and texts a backslash, `#` and `<` are
+written as backslash and `s`, `h` or `l`, so no text can hold a mark, and putting the signs back gives the text.
 Every assistant turn becomes an example of its own: all turns before it are context, and only the
 reply's text is under the loss mask.
 
@@ -14,12 +14,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 OPEN, MIDDLE, END = "### ", " ###\n", "</turn>\n"
 
 
+#: Sign and what stands for it, the backslash first.
+ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
+
+
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\#<])", r"\\$1")
+    text = F.coalesce(text, F.lit(""))
+    for sign, written in ESCAPES:
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    for sign, written in ESCAPES[::-1]:
+        text = F.replace(text, F.lit(written), F.lit(sign))
+    return text
 
 
 def formatted(conversations: DataFrame, target: str = "assistant") -> DataFrame:
