@@ -22,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tradelift.llm.common import cut, partitions
+from tradelift.llm.common import cut, fresh, partitions
 
 BLOCK = 1024
 #: Blocks of a batch leave Python together; about this many bytes.
@@ -167,7 +167,8 @@ def text_sha256(text: pd.Series) -> pd.Series:
 
 def distinct(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: one of each text."""
-    found = groups(docs, size).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", text_sha256("text")).withColumn("__id", F.col("doc_id"))
-    stay = marked.join(found.select(F.col("__id").alias("__k"), F.col("__sha").alias("__s")), F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__sha") == F.col("__s")), "left_semi")
-    return stay.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    sha, key, text = fresh(docs, "__sha", "__key", "__text")
+    found = groups(docs, size).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(text))
+    marked = docs.withColumn(sha, text_sha256("text"))
+    stay = marked.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(text)), "left_semi")
+    return stay.dropDuplicates(["doc_id", sha]).select(*docs.columns)

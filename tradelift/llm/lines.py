@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradelift.llm.common import components, cut, forest, partitions, shared_path
+from tradelift.llm.common import components, cut, forest, fresh, partitions, shared_path
 
 RADIUS, SIMILAR = 3, 0.8
 #: First bit and width of the five blocks.
@@ -232,8 +232,9 @@ def decided(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with `text` less the dropped lines; a null text and a row with a null doc_id stay as they are."""
-    gone = decided(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__gone"))
+    own, numbers = fresh(docs, "__id", "__gone")
+    gone = decided(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias(own), F.col("dropped").alias(numbers))
     split = F.split(F.col("text"), "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
-    return out.select(*[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(numbers), i)), "\n")
+    out = docs.join(gone, docs["doc_id"] == F.col(own), "left")
+    return out.select(*[F.when(F.col(numbers).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns])

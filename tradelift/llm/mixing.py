@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tradelift.llm.common import cut
+from tradelift.llm.common import cut, fresh
 
 MARGINS = ("source", "lang", "topic")
 #: Target shares in proportion to actual shares to these powers, where a caller gives none.
@@ -121,6 +121,7 @@ def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Colu
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None, seed: int = 11, **parameters) -> DataFrame:
     """The rows of `docs`, with all their columns, that the sample keeps."""
     names = docs.columns
-    wide = docs.select(*names, (topic if topic is not None else topic_of(F.col("text"))).alias("__topic"), token_count(F.col("text")).alias("__tokens"))
-    out = _with_chance(wide, _chances(docs, targets, topic, **parameters), ("source", "lang", "__topic"))
-    return out.where(_draw(seed, "doc_id", "source", "lang", "__topic", "__tokens") < F.col("_chance")).select(*names)
+    kind, size = fresh(docs, "__topic", "__tokens")
+    wide = docs.select(*names, (topic if topic is not None else topic_of(F.col("text"))).alias(kind), token_count(F.col("text")).alias(size))
+    out = _with_chance(wide, _chances(docs, targets, topic, **parameters), ("source", "lang", kind))
+    return out.where(_draw(seed, "doc_id", "source", "lang", kind, size) < F.col("_chance")).select(*names)
