@@ -194,6 +194,21 @@ def test_toxicity_without_labels(frame, spark):
     assert toxicity.clean(frame([]), none).count() == 0 and toxicity.clean(frame(ODD), none).count() == len(ODD)
 
 
+def test_toxicity_scores_do_not_depend_on_the_bound(frame, spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(2400):
+        toxic = i % 8 == 0
+        rows.append((i, "rude" if rng.random() < (0.6 if toxic else 0.1) else "kind")), labels.append((i, int(toxic)))
+    docs, label = frame(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    odds = []
+    for most in (6000, 300):
+        score = {t: r.score for r, t in zip(toxicity.scored(docs, label, max_per_class=most).orderBy("doc_id").collect(), (t for _, t in rows))}
+        odds.append(np.array([np.log(score[t] / (1 - score[t])) for t in ("kind", "rude")]))
+    # the draw alone, all toxic rows and a fifth of the others, would move the odds by log(5.4) = 1.7
+    assert np.abs(odds[1] - odds[0]).max() < 0.8, odds
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_raking_meets_marginals(spark):

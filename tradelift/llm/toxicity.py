@@ -5,7 +5,7 @@ each counted once. Per-coordinate rates let rare slots move fast while L1 holds
 steady evidence at exactly zero, so the model is a short list of (slot, weight) that every task receives.
 
 Fitting takes a bounded sample of labelled rows, `max_per_class` of either label, chosen by a hash of the
-id; scores are therefore odds among the rows drawn. Scoring reads all rows and whole texts.
+id; the intercept is then moved by the two shares drawn, so scores stand for the labels' own odds at every size. Scoring reads all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -103,6 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     out = made.mapInPandas(_fitted(bits, alpha, beta, l1, l2, epochs), "slot bigint, weight double").toPandas()
     own = out.slot >= 0
     bias = float(out.weight[~own].sum()) if len(out) else -40.0
+    if len(share) == 2:
+        bias -= float(np.log(share[1] / share[0]))
     return Model(bits, out.slot[own].to_numpy(), out.weight[own].to_numpy(), bias)
 
 
