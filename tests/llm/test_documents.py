@@ -228,6 +228,19 @@ def test_raking_meets_marginals(spark):
     assert all((r.weight > 0) == (r.source == "a") for r in few)
 
 
+@pytest.mark.parametrize("odd", [("new", "x", "p"), (None, "x", "p"), ("a", None, "p"), (None, None, "p")])
+def test_a_rare_value_does_not_shrink_the_sample(spark, odd):
+    cells = [(s, l, t, n * m) for s, n in (("a", 60), ("b", 25), ("c", 15)) for l, m in (("x", 3000), ("y", 2000)) for t in "pq"]
+    schema = "source string, lang string, topic string, tokens bigint"
+    plain = mixing.rake(spark.createDataFrame(cells, schema)).collect()
+    out = mixing.rake(spark.createDataFrame([*cells, (*odd, 10)], schema)).collect()
+    total = sum(c[3] for c in cells)
+    assert abs(sum(r.weight for r in plain) - mixing.KEEP * total) < 1 and plain[0].gap <= 1e-5
+    assert abs(sum(r.weight for r in out) - mixing.KEEP * total) < 1e-3 * total
+    rare = next(r for r in out if r.tokens == 10)
+    assert rare.weight > 9.9 and all(r.weight <= r.tokens for r in out) and out[0].gap > 0.5
+
+
 def test_sample_follows_its_chances(frame):
     rng = random.Random(8)
     rows = [(i, words(rng, 20), rng.choice(["en", "en", "de", None]), rng.choice(["big"] * 6 + ["small", None])) for i in range(3000)]

@@ -16,8 +16,8 @@ from tradelift.llm.common import cut, fresh
 MARGINS = ("source", "lang", "topic")
 #: Target shares in proportion to actual shares to these powers, where a caller gives none.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-#: Part of the tokens that a sample keeps, beside the most that any single marginal would allow.
-KEEP = 0.9
+#: Part of the tokens that a sample keeps, whatever the rarest value.
+KEEP = 0.6
 #: Cells of which a copy may go to every task; beyond it they are joined by shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -34,38 +34,56 @@ def token_count(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")) + 1).cast("long")
 
 
+def _filled(values: DataFrame, budget: float) -> DataFrame:
+    """`values` (value, s tokens, raw share) with `share_to`, the budget in proportion to raw, and `to`, the same held to the tokens that
+    exist: a value that runs out gets all its tokens and the others share the rest in proportion."""
+    values = cut(values)
+    whole = level = budget / (values.agg(F.sum("raw")).first()[0] or 1.0)
+    while True:
+        runs_out = F.col("raw") * level >= F.col("s")
+        now = values.agg(F.sum(F.least(F.col("s").cast("double"), F.col("raw") * level)).alias("given"), F.sum(F.when(~runs_out, F.col("raw"))).alias("open")).first()
+        lack = budget - (now["given"] or 0.0)
+        if not now["open"] or lack <= 1e-12 * budget:
+            break
+        level += lack / now["open"]
+    return values.select("value", (F.col("raw") * whole).alias("share_to"), F.least(F.col("s").cast("double"), F.col("raw") * level).alias("to"))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: dict[str, float] | None = None, keep: float | None = None, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
-    """`cells` (source, lang, topic, tokens) with raked weights, `keep` of all tokens together; by default nine
-    tenths of the part at which the scarcest source, language or topic would be used up.
+    """`cells` (source, lang, topic, tokens) with raked weights, `keep` of all tokens together; by default KEEP of
+    the tokens whose source, language and topic have a share.
 
     `targets` maps a margin to {value: share}; a value it lacks gets share 0, and shares are scaled to the
-    values that occur. Margins without targets are tempered. No weight exceeds its cell's tokens. The column `gap` is the largest relative
-    distance of any marginal from its target, above the tolerance only if `max_rounds` ended the
-    raking, which happens where no weights can meet the targets."""
+    values that occur. Margins without targets are tempered. No weight exceeds its cell's tokens: a value too rare for its share gets
+    all its tokens and the others share the rest, so a rare value does not change how much is kept. The column `gap` is the largest relative
+    distance of any marginal from its share, so it is above the tolerance where a value runs out, where no weights
+    can meet the targets, or where `max_rounds` ended the raking."""
     targets, temper = targets or {}, TEMPER | (temper or {})
-    whole = Window.partitionBy(F.lit(1))
     total = cells.agg(F.sum("tokens").alias("all"), F.count("*").alias("n")).first()
     if not total["n"]:
         return cells.select(*MARGINS, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("gap"))
-    now, most = cells, None
+
+    def wanted(m):
+        out = F.lit(0.0)
+        for value, t in targets[m].items():
+            out = F.when(F.col(m).eqNullSafe(F.lit(value)), F.lit(float(t))).otherwise(out)
+        return out
+
+    some = F.lit(True)
+    for m in targets:
+        some = some & (wanted(m) > 0)
+    reach = cells.where(some).agg(F.sum("tokens")).first()[0] or 0
+    budget = float(KEEP * reach if keep is None else min(keep * total["all"], reach))
+    now = cells
     for m in MARGINS:
-        share = F.col("s") / F.lit(float(total["all"]))
-        if m in targets:
-            wanted = F.lit(0.0)
-            for value, t in targets[m].items():
-                wanted = F.when(F.col(m).eqNullSafe(F.lit(value)), F.lit(float(t))).otherwise(wanted)
-        else:
-            wanted = F.pow(share, F.lit(temper[m]))
-        values = cells.groupBy(m).agg(F.sum("tokens").alias("s")).withColumn("raw", wanted)
-        values = values.select(F.col(m).alias("value"), (F.col("raw") / F.sum("raw").over(whole)).alias(f"to_{m}"), F.when(F.col("raw") > 0, share * F.sum("raw").over(whole) / F.col("raw")).alias("room"))
-        room = values.agg(F.min("room").alias("room"))
-        most, values = room if most is None else most.unionByName(room), values.drop("room")
-        now = now.join(values, F.col(m).eqNullSafe(F.col("value")), "left").drop("value")
-    if keep is None:
-        keep = min(1.0, KEEP * most.agg(F.min("room")).first()[0])
-    budget = F.lit(keep * total["all"])
-    now = cut(now.select(*MARGINS, "tokens", *[(F.col(f"to_{m}") * budget).alias(f"to_{m}") for m in MARGINS], (F.col("tokens") * keep).alias("weight")))
+        raw = wanted(m) if m in targets else F.pow(F.col("s") / F.lit(float(total["all"])), F.lit(temper[m]))
+        values = cells.groupBy(m).agg(F.sum("tokens").alias("s")).withColumn("raw", raw)
+        values = _filled(values.select(F.col(m).alias("value"), "s", "raw"), budget)
+        now = now.join(values.withColumnsRenamed({"share_to": f"share_{m}", "to": f"to_{m}"}), F.col(m).eqNullSafe(F.col("value")), "left").drop("value")
+    part = budget / total["all"]
+    now = cut(now.select(*MARGINS, "tokens", *[f"{k}_{m}" for m in MARGINS for k in ("to", "share")], (F.col("tokens") * part).alias("weight")))
     for _ in range(0, max_rounds, 3):
+        now = now.withColumn("before", F.col("weight"))
         for last in (False, False, True):
             for m in MARGINS:
                 s = F.sum("weight").over(Window.partitionBy(m))
@@ -74,11 +92,15 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: dict[
                 if last:
                     now = now.withColumn(f"gap_{m}", F.when(F.col(f"to_{m}") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))
         now = cut(now.drop("factor"))
-        worst = now.agg(F.max(F.greatest(*[f"gap_{m}" for m in MARGINS]))).first()[0]
-        now = now.drop(*[f"gap_{m}" for m in MARGINS])
-        if worst <= tolerance:
+        state = now.agg(F.max(F.greatest(*[f"gap_{m}" for m in MARGINS])).alias("worst"), F.max(F.abs(F.col("weight") - F.col("before")) / F.col("tokens")).alias("moved")).first()
+        now = now.drop("before", *[f"gap_{m}" for m in MARGINS])
+        if state["worst"] <= tolerance or (state["moved"] or 0.0) <= 1e-3 * tolerance:
             break
-    return now.select(*MARGINS, "tokens", "weight", F.lit(float(worst)).alias("gap"))
+    gap = 0.0
+    for m in MARGINS:
+        far = now.groupBy(m).agg(F.sum("weight").alias("w"), F.first(f"share_{m}").alias("share"))
+        gap = max(gap, far.agg(F.max(F.when(F.col("share") > 0, F.abs(F.col("w") / F.col("share") - 1)))).first()[0] or 0.0)
+    return now.select(*MARGINS, "tokens", "weight", F.lit(float(gap)).alias("gap"))
 
 
 def _celled(docs: DataFrame, topic: Column | None) -> DataFrame:
@@ -90,7 +112,7 @@ def _chances(docs: DataFrame, targets, topic, **parameters) -> DataFrame:
     """The cells with `chance`, the probability that a document is kept."""
     cells = cut(_celled(docs, topic).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     raked = rake(cells, targets, **parameters)
-    return cut(raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("_chance")))
+    return cut(raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("_chance"), F.col("gap").alias("_gap")))
 
 
 def _with_chance(rows: DataFrame, chances: DataFrame, names=MARGINS) -> DataFrame:
@@ -108,14 +130,14 @@ def _draw(seed: int, *columns: str) -> Column:
 
 
 def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None, seed: int = 11, **parameters) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, chance and kept of every row of `docs`.
+    """doc_id, source, lang, topic, tokens, chance, kept and gap (of the raking, the same in all rows) of every row of `docs`.
 
     A null source, language or topic is a value of its own; a null text has one token. Rows that agree in
     id, source, language, topic and tokens are kept or left out together. Other columns are not read."""
     rows = _celled(docs, topic)
     out = _with_chance(rows, _chances(docs, targets, topic, **parameters))
     kept = _draw(seed, "doc_id", "source", "lang", "topic", "tokens") < F.col("_chance")
-    return out.select("doc_id", *MARGINS, "tokens", F.col("_chance").alias("chance"), kept.alias("kept"))
+    return out.select("doc_id", *MARGINS, "tokens", F.col("_chance").alias("chance"), kept.alias("kept"), F.col("_gap").alias("gap"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None, seed: int = 11, **parameters) -> DataFrame:
