@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import ODD  # noqa: F401  (tests/llm is on the path)
-from tradelift.llm import common, exact, mixing, packing, simhash, toxicity
+from tradelift.llm import common, exact, mixing, packing, simhash, similar, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -162,6 +162,52 @@ def test_near_copies_leave_one_and_clean_documents_stay(frame):
     assert sum(101 + 2 * k not in ids for k in range(20)) >= 18
 
 
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_near_copies_are_those_of_exact_similarity(frame, monkeypatch, rounds):
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "FULL", 0 if rounds > 1 else 10)
+    rng = random.Random(21)
+    run = " ".join(f"r{i}" for i in range(5))
+    rows = []
+    for i in range(120):  # changed words at a distance give similarities from 0.6 to 1
+        w = words(rng, 300, 0, 100000).split()
+        rows.append((1000 + 2 * i, " ".join(w)))
+        for k in rng.sample(range(0, 300, 5), rng.randint(0, 14)):
+            w[k] = "other"
+        rows.append((1001 + 2 * i, " ".join(w)))
+    base = words(rng, 200, 0, 100000).split()
+    for i in range(60):  # a family in which pairs lie on both sides of 0.8
+        w = list(base)
+        for k in rng.sample(range(200), 3):
+            w[k] = f"v{rng.randrange(1000)}"
+        rows.append((2000 + i, " ".join(w)))
+    rows += [(3000 + i, (run + " ") * 40 + words(rng, 100, 0, 100000)) for i in range(5)]  # a repeated run is one shingle
+    rows += [(7, base[0]), (7, "an id with two texts"), (8, "an id with two texts"), (9, None), (10, " "), (None, "no id"), (None, "no id")]
+    known = [plain_shingles(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if a is not None and b is not None and (known[i] == known[j] or 5 * len(known[i] & known[j]) >= 4 * len(known[i] | known[j])):
+                top[find(i)] = find(j)
+    first = {}
+    for i, (a, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), (a or 0, i)), (a or 0, i))
+    want = Counter(rows[i] for _, i in first.values())
+    assert Counter((r.doc_id, r.text) for r in simhash.representatives(frame(rows)).collect()) == want
+    assert simhash.representatives(frame([])).count() == 0
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_toxicity_learns_and_handles_odd_rows(frame, spark):

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tradelift.llm import similar
 from tradelift.llm.common import Groups, components, cut, forest, partitions
 
 SEED = 42
@@ -56,18 +57,8 @@ def _exact() -> Scheme:
     return Scheme(3, 64, 2, tuple(first), tuple(finer))
 
 
-def _similar(tables: int = 64, bits: int = 256, named: int = 20) -> Scheme:
-    rng = np.random.default_rng(7)
-    draw = lambda n, k, free: tuple(tuple(int(x) for x in rng.choice(free, k, replace=False)) for _ in range(n))
-    first = draw(tables, named, bits)
-    return Scheme(5, bits, 44, first, tuple(draw(12, 12, [b for b in range(bits) if b not in t]) for t in first), shard_size=20_000)
-
-
 #: Three-word shingles, 64 bits, at most two differing: complete.
 EXACT = _exact()
-#: Five-word shingles, similarity of about 0.8 and more: 256 bits estimate the similarity, and random tables find
-#: a pair at 0.8 with a chance of 0.91, at 0.85 of 0.98, at 0.9 of 0.999 or more, each pair apart.
-SIMILAR = _similar()
 
 
 def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
@@ -302,8 +293,6 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """The rows of `docs`, with all columns, that have the smallest doc_id of their class; rows without an
-    id stay. Of rows that repeat such an id one stays."""
-    gone = classes(docs.where("doc_id is not null"), scheme).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def representatives(docs: DataFrame) -> DataFrame:
+    """See `similar.representatives`: candidates by MinHash, links by the exact similarity of five-word shingles."""
+    return similar.representatives(docs)
