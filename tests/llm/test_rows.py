@@ -186,6 +186,15 @@ def test_lines_against_brute_force(frame):
     assert lines.decided(frame([])).count() == 0
 
 
+def test_lines_of_an_id_with_two_texts(frame):
+    line = " ".join(f"word{i}" for i in range(25))
+    rows = [(1, f"first alone\n{line}\nlast alone"), (1, "short"), (1, f"{line}\nother line"), (2, line + "\nsecond alone"), (3, "short\nmore")]
+    got = sorted((r.doc_id, r.text) for r in lines.deduplicated(frame(rows)).collect())
+    assert got == sorted([(1, "first alone\nlast alone"), (1, "short"), (1, f"{line}\nother line"), (2, "second alone"), (3, "more")])
+    near = [(1, "one\ntwo\n" + line), (1, "short"), (2, line + "x")]
+    assert sorted((r.doc_id, r.line) for r in lines.marked(frame(near)).collect()) == [(1, 0), (1, 0), (1, 1), (1, 2), (2, 0)]
+
+
 # ---------------------------------------------------------------- licences
 
 def test_licenses_against_brute_force(frame):

@@ -106,16 +106,16 @@ def _similar(a: str, b: str) -> bool:
 
 def _lines(batches):
     for pdf in batches:
-        docs, numbers, words = [], [], []
-        for doc, text in zip(pdf.doc_id, pdf.text):
+        docs, names, numbers, words = [], [], [], []
+        for doc, name, text in zip(pdf.doc_id, pdf.name, pdf.text):
             if pd.isna(doc):
                 continue
             for i, line in enumerate((text or "").split("\n")):
                 if w := normal_words(line):
-                    docs.append(doc), numbers.append(i), words.append(w)
+                    docs.append(doc), names.append(name), numbers.append(i), words.append(w)
         lines = list(map(b" ".join, words))
         halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"doc_id": np.array(docs, np.int64), "line": np.array(numbers, np.int32), "h1": halves[:, 0], "h2": halves[:, 1],
+        yield pd.DataFrame({"doc_id": np.array(docs, np.int64), "name": np.array(names, np.int64), "line": np.array(numbers, np.int32), "h1": halves[:, 0], "h2": halves[:, 1],
                             "size": np.array(list(map(len, lines)), np.int32), "sim": simhashes(words).view(np.int64)})
 
 
@@ -196,45 +196,54 @@ def _linked(batches):
         yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("name"), "text")
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), class_id and kept of every line of `docs` that is not empty when normalised.
+    """doc_id, name (of the text, a 64-bit hash), line (from 0), class_id and kept of every line of `docs` that is not empty when normalised.
 
     Lines end at a line feed. A null or empty text has no such line; rows with a null doc_id have none here, so they
-    lose nothing. Rows that repeat a doc_id and line number count apart but are kept or not together."""
+    lose nothing. Rows that repeat a doc_id and text count apart but are kept or not together; texts that share a
+    doc_id are told apart by name."""
     spark = docs.sparkSession
     n = partitions(spark)
     path = shared_path(spark, "lines")
-    docs.select("doc_id", "text").mapInPandas(_lines, "doc_id bigint, line int, h1 bigint, h2 bigint, size int, sim bigint").write.parquet(path)
+    _named(docs).mapInPandas(_lines, "doc_id bigint, name bigint, line int, h1 bigint, h2 bigint, size int, sim bigint").write.parquet(path)
     lines = spark.read.parquet(path)
     content = ["h1", "h2", "size"]
-    distinct = cut(lines.groupBy(*content).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim")).withColumn("id", F.monotonically_increasing_id()))
+    distinct = cut(lines.groupBy(*content).agg(F.min(F.struct("doc_id", "line", "name")).alias("first"), F.min("sim").alias("sim")).withColumn("id", F.monotonically_increasing_id()))
     dealt = distinct.select(F.explode(_keys(F.col("sim"))).alias("key"), "id", "sim")
     near = cut(dealt.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_near, "key bigint, id bigint"))
-    wanted = near.select("id").distinct().join(distinct.select("id", "first"), "id").select("first.doc_id", F.struct("first.line", "id").alias("w"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    once = docs.select("doc_id", "text").join(wanted, "doc_id")
+    wanted = near.select("id").distinct().join(distinct.select("id", "first"), "id").select("first.doc_id", "first.name", F.struct("first.line", "id").alias("w"))
+    wanted = wanted.groupBy("doc_id", "name").agg(F.collect_list("w").alias("wanted"))
+    once = _named(docs).join(wanted, ["doc_id", "name"])
     texts = once.mapInPandas(_texts, "id bigint, words string").join(distinct.select("id", "sim"), "id")
     met = near.join(texts, "id").repartition(n, "key").sortWithinPartitions("key", "id")
     classes = components(forest(met.mapInPandas(_linked, "a bigint, b bigint")))
     named = distinct.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("component", "id"))
     keep = cut(named.groupBy("class_id").agg(F.min("first").alias("keep")))
     named = cut(named.select(*content, "class_id").join(keep, "class_id"))
-    out = lines.select("doc_id", "line", *content).join(named, content)
-    return out.select("doc_id", "line", "class_id", (F.struct("doc_id", "line") == F.col("keep")).alias("kept"))
+    out = lines.select("doc_id", "name", "line", *content).join(named, content)
+    return out.select("doc_id", "name", "line", "class_id", (F.struct("doc_id", "line", "name") == F.col("keep")).alias("kept"))
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    rows = marked(docs).groupBy("doc_id", "name").agg(F.count("*").alias("lines"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.struct("line", "class_id")))).alias("gone"))
+    return rows.select("doc_id", "name", "lines", F.transform("gone", lambda x: x["line"]).alias("dropped"), F.transform("gone", lambda x: x["class_id"]).alias("classes"))
 
 
 def decided(docs: DataFrame) -> DataFrame:
-    """doc_id, dropped (sorted numbers of the lines that go) and classes (the group of each, in the same order) of every document with
-    an id that has lines."""
-    rows = marked(docs).groupBy("doc_id").agg(F.count("*").alias("lines"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.struct("line", "class_id")))).alias("gone"))
-    return rows.select("doc_id", "lines", F.transform("gone", lambda x: x["line"]).alias("dropped"), F.transform("gone", lambda x: x["class_id"]).alias("classes"))
+    """doc_id, lines (how many), dropped (sorted numbers of the lines that go) and classes (the group of each, in the same order) of every
+    document with an id that has lines; an id with several texts has a row for each."""
+    return _decided(docs).drop("name")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with `text` less the dropped lines; a null text and a row with a null doc_id stay as they are."""
-    own, numbers = fresh(docs, "__id", "__gone")
-    gone = decided(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias(own), F.col("dropped").alias(numbers))
+    own, name, numbers = fresh(docs, "__id", "__name", "__gone")
+    gone = _decided(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias(own), F.col("name").alias(name), F.col("dropped").alias(numbers))
     split = F.split(F.col("text"), "\n")
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(numbers), i)), "\n")
-    out = docs.join(gone, docs["doc_id"] == F.col(own), "left")
+    out = docs.join(gone, (docs["doc_id"] == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(name)), "left")
     return out.select(*[F.when(F.col(numbers).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns])
