@@ -146,6 +146,32 @@ def test_components_of_long_chains(spark):
     assert got == {i: min(g) for g in (ids[:60], ids[60:]) for i in g}
 
 
+def test_components_contract_the_graph(spark):
+    """A random chain, a star, a clique and small random groups, contracted to the end, against union-find."""
+    rng = random.Random(9)
+    chain = rng.sample(range(20_000), 10_000)
+    edges = list(zip(chain, chain[1:])) + [(30_000, 30_001 + i) for i in range(500)] + [(i, j) for i in range(31_000, 31_030) for j in range(31_000, i)]
+    edges += [(40_000 + rng.randrange(2000), 40_000 + rng.randrange(2000)) for _ in range(900)] + [(7, None), (None, None)]
+    rng.shuffle(edges)
+    df, rounds = spark.createDataFrame(edges, "a bigint, b bigint"), []
+    got = {r.node: r.component for r in common.components(df, at_once=0, rounds=rounds).collect()}
+    sets = common.Groups()
+    for a, b in edges:
+        if a != b and None not in (a, b):
+            sets.join(a, b)
+    assert got == {n: sets.find(n) for n in list(sets.top)}
+    assert len(rounds) <= 20 and all(b < a for a, b in zip(rounds, rounds[1:])), rounds
+    assert got == {r.node: r.component for r in common.components(df).collect()}
+    assert common.components(df.limit(0)).count() == 0
+
+
+def test_cut_frames_are_sized_by_their_files(spark):
+    df = common.cut(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    for _ in range(30):
+        df = common.cut(df.join(df.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("b").alias("b")).union(df.where("a = 999")))
+    assert df.count() == 1000 and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+
+
 def test_near_copies_leave_one_and_clean_documents_stay(frame):
     rng = random.Random(6)
     clean = [(i, words(rng, 250, 0, 100000)) for i in range(40)]
@@ -257,13 +283,57 @@ def test_toxicity_scores_do_not_depend_on_the_bound(frame, spark):
 
 # ---------------------------------------------------------------- mixing
 
-def test_raking_meets_marginals(spark):
+def plain_raking(cells, targets, keep):
+    """Weights by cell, raked in plain Python until nothing moves; a value that runs out gives all its tokens."""
+    budget = keep * sum(c[3] for c in cells)
+    to = []
+    for m, name in enumerate(mixing.MARGINS):
+        have = {}
+        for c in cells:
+            have[c[m]] = have.get(c[m], 0) + c[3]
+        raw = targets.get(name) or {v: (n / sum(have.values())) ** mixing.TEMPER[name] for v, n in have.items()}
+        got, open_ = {}, set(have)
+        while open_:
+            level = (budget - sum(got.values())) / sum(raw[v] for v in open_)
+            out = {v for v in open_ if raw[v] * level >= have[v]}
+            if not out:
+                got |= {v: raw[v] * level for v in open_}
+                break
+            got |= {v: have[v] for v in out}
+            open_ -= out
+        to.append(got)
+    w = {c[:3]: c[3] * keep for c in cells}
+    for _ in range(300):
+        for m in range(3):
+            have = {}
+            for c in cells:
+                have[c[m]] = have.get(c[m], 0) + w[c[:3]]
+            for c in cells:
+                w[c[:3]] = min(w[c[:3]] * to[m][c[m]] / have[c[m]], c[3])
+    return w
+
+
+def test_raking_where_a_source_runs_out(spark):
     rng = random.Random(2)
     cells = [(s, l, t, rng.randint(10, 1000)) for s in ["a", "b", None] for l in "xy" for t in "pq"]
+    cells = [(*c[:3], c[3] // 8 + 1 if c[0] == "b" else c[3]) for c in cells]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
+    want = {"source": {"a": 1, "b": 1, None: 1}}
+    out, plain = mixing.rake(df, want, keep=0.3).collect(), plain_raking(cells, want, 0.3)
+    b = sum(c[3] for c in cells if c[0] == "b")
+    assert out[0].gap > 0.05 and abs(sum(r.weight for r in out if r.source == "b") - b) < 1e-2 * b
+    assert all(abs(r.weight - plain[r.source, r.lang, r.topic]) < 1e-2 * r.tokens for r in out)
+
+
+def test_raking_meets_marginals(spark):
+    rng = random.Random(2)
+    cells = [(s, l, t, rng.randint(400, 1000)) for s in ["a", "b", None] for l in "xy" for t in "pq"]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
     total = sum(c[3] for c in cells)
     out = mixing.rake(df, {"source": {"a": 1, "b": 1, None: 1}}, keep=0.3).collect()
     w = np.array([r.weight for r in out])
+    plain = plain_raking(cells, {"source": {"a": 1, "b": 1, None: 1}}, 0.3)
+    assert all(abs(r.weight - plain[r.source, r.lang, r.topic]) < 1e-3 for r in out)
     assert out[0].gap <= 1e-6 and abs(w.sum() - 0.3 * total) < 1e-3 and all(r.weight <= r.tokens for r in out)
     for s in ("a", "b", None):
         assert abs(sum(r.weight for r in out if r.source == s) - 0.1 * total) < 1e-2

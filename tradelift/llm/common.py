@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,20 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of the session, spark.checkpoint.dir; only a session without
-    that setting, as in tests, gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """A new path below the shared folder of the session, spark.checkpoint.dir. Only a local session may lack
+    that setting, as in tests, and gets a temporary folder; a cluster without it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the shared folder of the session (spark.checkpoint.dir), so that a lost
-    executor rereads them and no later step runs what came before again. Only a session without
-    that setting, as in tests, gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows written as Parquet in the shared folder and read back, so that a lost executor rereads them and no later step
+    runs what came before again. Sizes of later plans come from the files; those of a checkpointed frame multiply with
+    every join of a loop until the driver can no longer hold the numbers."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -85,23 +90,55 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").repartition(partitions(edges.sparkSession), "a").mapInPandas(_joining, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b long): component is the smallest node reachable.
-
-    Each round links every node to the smallest label among itself and its neighbours, then lets
-    labels jump to the label of their label, until nothing changes. Grouping is a minimum, which
-    combines before the shuffle, and the joins are equi-joins with a unique side, so a node with
-    very many edges is split by the skew join."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        seen = (both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")))
-        near = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("low"))
-        far = near.join(labels.select(F.col("node").alias("low"), F.col("label").alias("far")), "low", "left")
-        least = F.least("low", F.coalesce("far", "low"))
-        new = cut(far.select("node", least.alias("label"), (F.col("label") != least).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
+#: Edges of a contracted graph that one task may join to groups; larger graphs are contracted further.
+AT_ONCE = 100_000
+
+
+def _grouped(batches):
+    groups = Groups()
+    for pdf in batches:
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            groups.join(a, b)
+    nodes = list(groups.top)
+    yield pd.DataFrame({"node": nodes, "label": [groups.find(n) for n in nodes]}, dtype=np.int64)
+
+
+def _step(work: DataFrame, turn: int) -> DataFrame:
+    """(node, label) of every node of `work`: the node of least hash among itself and its neighbours, and then that node's own label."""
+    both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    order = lambda n: F.struct(F.xxhash64(n, F.lit(turn)).alias("h"), F.col(n).alias("n"))
+    near = both.groupBy("a").agg(F.min(order("b")).alias("near"))
+    one = cut(near.select(F.col("a").alias("node"), F.least(order("a"), F.col("near"))["n"].alias("label")))
+    two = one.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    return cut(one.join(two, "label").select("node", F.col("far").alias("label")))
+
+
+def components(edges: DataFrame, at_once: int = AT_ONCE, rounds: list | None = None) -> DataFrame:
+    """(node, component) for every node of `edges` (a, b long) that has an edge to another: component is the smallest node reachable.
+
+    Each round gives every node a label near by, in an order drawn anew, and puts the labels in place of the nodes;
+    loops and repeats go, so the graph shrinks by a part of its nodes in every round, chains too. A graph of at most
+    `at_once` edges is joined in one task, which does not change the result. Then the labels are followed back.
+    Minimums combine before the shuffle and the joins have a unique side, so a node with very many edges is split
+    by the skew join. `rounds`, if given, receives the number of edges at the start of each round. Null ends have no edge."""
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    work = cut(edges.where("a <> b").select(*ends).distinct())
+    steps = []
+    while many := work.count():
+        if rounds is not None:
+            rounds.append(many)
+        if many <= at_once:
+            steps.append(cut(work.repartition(1).mapInPandas(_grouped, "node bigint, label bigint")))
+            break
+        step = _step(work, len(steps))
+        steps.append(step)
+        moved = work.join(step.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(step.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        work = cut(moved.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if not steps:
+        return work.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = steps.pop()
+    while steps:
+        later = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        found = cut(steps.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label")))
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(least, "label").select("node", "component")
