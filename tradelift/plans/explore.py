@@ -164,13 +164,17 @@ def _(spark, sf):
     return P.discount_histogram(variation(spark, sf), ["Sizes", "Slab", "Month"])
 
 
+_half5 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(38,10)), 5) AS DOUBLE)"
+
+
 @query("scheme_calendar", f"""
-SELECT "Month" AS period, "Sizes", "Slab", round(sum({Q_}), 4) AS volume, round(sum("Scheme_Discount" * {Q_}) / sum({Q_}), 5) AS base_scheme, round(sum("Staggered_qps" * {Q_}) / sum({Q_}), 5) AS qps_topup,
-  round((sum("Scheme_Discount" * {Q_}) + sum("Staggered_qps" * {Q_})) / sum({Q_}), 5) AS total_scheme FROM v_defined GROUP BY ALL
+SELECT "Month" AS period, "Sizes", "Slab", round(sum({Q_}), 4) AS volume, {_half5(f'sum("Scheme_Discount" * {Q_}) / sum({Q_})')} AS base_scheme, {_half5(f'sum("Staggered_qps" * {Q_}) / sum({Q_})')} AS qps_topup,
+  {_half5(f'(sum("Scheme_Discount" * {Q_}) + sum("Staggered_qps" * {Q_})) / sum({Q_})')} AS total_scheme FROM v_defined GROUP BY ALL
 """)
 def _(spark, sf):
     t = P.scheme_amounts(txn(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity", "Scheme_Discount", "Staggered_qps"))
-    return r(P.scheme_calendar(S.outlet_days(t, RULES)), 5, volume=4)
+    out = P.scheme_calendar(S.outlet_days(t, RULES))
+    return out.withColumns({"volume": F.round("volume", 4)} | {c: K.half_up(c, 5, 10) for c in ("base_scheme", "qps_topup", "total_scheme")})
 
 
 @query("pack_month_revenue", """SELECT "Month" AS period, "Sizes", round(sum("Quantity"), 4) AS volume, round(sum(dsp_amt), 4) AS gross_revenue, round(sum(clp_amt), 4) AS net_revenue FROM v_tb GROUP BY ALL""")
