@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tradelift.llm import chat, exact, licenses, lines, mixing, packing, simhash, topk, toxicity, urls
+from tradelift.llm import chat, collocations, exact, licenses, lines, mixing, packing, simhash, spelling, topk, toxicity, urls, warc
 from tradelift.llm.common import LOWER, UPPER, table
 
 
@@ -62,7 +62,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decided(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_url_filter, op4_simhash, op5_licenses, op6_chat_format, op7_mixing, op8_packing, op9_top_k, op10_line_dedup)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_url_filter, op4_simhash, op5_licenses, op6_chat_format, op7_mixing, op8_packing, op9_top_k, op10_line_dedup,
+                                  op11_collocations, op12_spelling, op13_warc)}
 ORACLES = {
     "op2_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
@@ -91,4 +104,24 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10""",
+    "op11_collocations": f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(unnest(pieces), '[\x20\x09]+'), lambda w: w <> '') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM p),
+g AS (SELECT lang, unnest(list_transform(range(1, least(4, len(w) - pos + 1) + 1), lambda k: w[pos:pos + k - 1])) AS g FROM i),
+f AS (SELECT lang, len(g) AS m, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 30),
+inner_ AS (SELECT lang, phrase, m, a, unnest(list_concat([array_to_string(g[x:x + 1], ' ') FOR x IN range(1, m)], [array_to_string(g[x:x + 2], ' ') FOR x IN range(1, m - 1)])) AS part FROM c),
+drop_ AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN inner_ l ON s.lang = l.lang AND s.phrase = l.part AND l.m > s.m AND 100 * CAST(l.a AS HUGEINT) >= 80 * CAST(s.a AS HUGEINT)),
+k AS (SELECT c.lang, c.phrase, c.a, unnest(range(1, m)) AS k, g, m FROM c ANTI JOIN drop_ USING (lang, phrase)),
+s AS (SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.g[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.g[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM b)
+SELECT o.lang, rank, phrase, a, l, r, n.n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM m""",
 }
