@@ -7,30 +7,46 @@ word gives its chunks, the other word its positional grams within a shift of one
 First there are two chunks, the halves, and the spoilt half has two chunks of its own: a key is a word less one of four spans. The span of a key
 that many words share is halved again until few share it or it holds one code point. Candidates are verified by their edit distance.
 
-Only DataFrame operations.
+Runs are counted batch by batch in Python, all else is DataFrame operations.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradelift.llm.common import LOWER, UPPER, cut
+from tradelift.llm.common import cut
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+#: A run slips where this number divides its hash.
+SLIP = 97
+#: Letters are A-Z (in lower case), a-z and U+00C0 to U+00FF.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 #: Words that share a key at most, unless its span is one code point.
 CROWD = 200
 
 
+def _counted(batches):
+    """Runs of a batch and their counts. A letter is one byte of Latin-1, and all else becomes a space."""
+    for batch in batches:
+        total: Counter = Counter()
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+            for w, n in Counter((text or "").encode("latin-1", "replace").translate(_LETTERS).split()).items():
+                h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), start)
+                if h % SLIP == 0:
+                    at = h % len(w)
+                    w = w[:at] + w[at + 1:]
+                total[w] += n
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in total], pa.string()), pa.array(total.values(), pa.int64())], ["run", "n"])
+
+
 def runs(docs: DataFrame) -> DataFrame:
-    """(run, n): lower-cased maximal runs of letters of all documents and how often they occur, each less one code point where 97 divides the crc32
+    """(run, n): lower-cased maximal runs of letters of all documents and how often they occur, each less one code point where SLIP divides the crc32
     of `<doc_id>:<run>`. Null texts have none; a null doc_id counts as empty there."""
-    said = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.explode(F.regexp_extract_all(F.col("text"), F.lit(RUN), 0)).alias("w"))
-    low = F.translate("w", UPPER, LOWER)
-    h = F.crc32(F.concat("d", F.lit(":"), "w").cast("binary"))
-    at = F.pmod(F.col("h"), F.char_length("w").cast("long")).cast("int")
-    typo = F.concat(F.substring(F.col("w"), F.lit(1), at), F.substring(F.col("w"), at + 2, F.char_length("w")))
-    slipped = said.select("d", low.alias("w")).select("w", h.alias("h"))
-    return slipped.select(F.when(F.col("h") % 97 == 0, typo).otherwise(F.col("w")).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(_counted, "run string, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, length: int = 5, count: int = 3) -> DataFrame:
