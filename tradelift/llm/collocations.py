@@ -25,7 +25,9 @@ from tradelift.llm.common import cut, shared_path
 #: Words of a phrase at most, and symbols that order an index.
 DEPTH = 4
 #: Bytes of text in a shard; a longer text is cut between pieces.
-SHARD = 1 << 23
+SHARD = 1 << 22
+#: Places of an index that are looked at together.
+AT_ONCE = 1 << 18
 #: Places of the tables of frequent words and pairs, as a power of two: 8 MB each, whatever the corpus.
 PLACES = 26
 #: A piece ends at `.,;:!?` and at line ends; words are parted by spaces and tabs; A-Z in lower case.
@@ -55,7 +57,17 @@ class Index:
         return pd.DataFrame({"left": self.first[wanted], "right": self.first[wanted], "n": self.counts[wanted]})
 
     def extended(self, at: pd.DataFrame, side: str) -> pd.DataFrame:
-        """Every extension of the intervals `at` by a word on a side: `of` (row of `at`), `word`, left, right and n."""
+        """Every extension of the intervals `at` by a word on a side: `of` (row of `at`), `word`, left, right and n. Intervals are looked at
+        in runs of some AT_ONCE places."""
+        ends = np.cumsum(at.n.to_numpy())
+        cuts = np.unique(np.searchsorted(ends, np.arange(AT_ONCE, int(ends[-1]) + AT_ONCE, AT_ONCE), "left") + 1) if len(ends) else []
+        parts, start = [], 0
+        for end in cuts:
+            parts.append(self._extended(at.iloc[start:end], side).assign(of=lambda x, start=start: x.of + start))
+            start = end
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["of", "word", "left", "right", "n"], dtype=np.int64)
+
+    def _extended(self, at: pd.DataFrame, side: str) -> pd.DataFrame:
         other = "right" if side == "left" else "left"
         bwt, before = self._occurred(side)
         n = at.n.to_numpy()
@@ -70,7 +82,7 @@ class Index:
         # in the other index the extensions of an interval follow each other in the order of their symbols
         begin = (np.cumsum(n) - n)[of]
         out = pd.DataFrame({"of": of, "word": word, side: self.first[word] + before[place], other: at[other].to_numpy()[of] + starts - begin, "n": size})
-        return out[out.word > 0].reset_index(drop=True)
+        return out[out.word > 0]
 
 
 def transform(symbols: np.ndarray, many: int) -> np.ndarray:
