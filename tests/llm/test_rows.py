@@ -95,7 +95,10 @@ def test_chat_round_trip(spark):
 
 # ---------------------------------------------------------------- vectors
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 150])
+def test_top_k_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "GROUP", 5)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)] + [(i, [0.5] * 8) for i in range(700, 900)]
     rows += [(1000, None), (1001, [float("nan")] * 8), (1002, [float("inf")] + [0.0] * 7), (1003, [None] * 8), (None, [0.1] * 8), (1100, [0.0] * 8), (1200, [1.0, 2.0]), (1201, [2.0, 1.0]), (1300, [])]
@@ -112,6 +115,26 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_reading_rules_out_nearly_all(spark):
+    """Of the candidates of a block few are scored after reading; large and repeated components give the same as plain products."""
+    v = np.array([r.v for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", topk.whole("embedding").alias("v")).where("v is not null").orderBy("vec_id").collect()])
+    lists, own = topk.Lists(np.arange(len(v)), v), np.arange(0, len(v), 25)
+    for bar in (None, np.array([np.sort(np.delete(v @ v[i], i))[-10] for i in own])):
+        lists.asked = lists.scored = 0
+        for i, (ids, score) in zip(own, lists.best(own, v[own], 10, bar)):
+            want = sorted((-int(x), j) for j, x in enumerate(v @ v[i]) if j != i)[:10]
+            assert [(-int(s), int(j)) for j, s in zip(ids, score)] == want
+        assert lists.asked == len(own) * (len(v) - 1) and lists.scored <= 0.05 * lists.asked, (lists.scored, lists.asked)
+    rng = np.random.default_rng(2)
+    big = rng.integers(-3, 4, (500, 6)) * 10 ** 8 + rng.integers(-1, 2, (500, 6))
+    lists = topk.Lists(np.arange(500), big)
+    for i, (ids, score) in zip(range(50), lists.best(np.arange(50), big[:50], 10)):
+        exact = big.astype(object) @ big[i].astype(object)
+        assert list(zip(score.tolist(), ids.tolist())) == [(-s, j) for s, j in sorted((-int(x), j) for j, x in enumerate(exact) if j != i)[:10]]
+    with pytest.raises(OverflowError):
+        topk.Lists(np.arange(3), np.full((3, 4), 1 << 40)).best(np.array([9]), np.full((1, 4), 1 << 40), 2)
+
+
 # ---------------------------------------------------------------- lines
 
 def edit(a, b):
