@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import ODD  # noqa: F401
@@ -78,7 +79,6 @@ def test_chat_round_trip(spark):
     for c, t, r, x in rows:
         want[c].append((t is not None, t or 0, r or "", x or ""))
     written = chat.formatted(df)
-    import pyspark.sql.functions as F
     back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in written.select("conv_id", chat.turns(F.col("formatted")).alias("turns")).collect()}
     assert back == {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in want.items()}
     loss = defaultdict(list)
@@ -103,7 +103,6 @@ def test_top_k_against_brute_force(spark, monkeypatch, block):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)] + [(i, [0.5] * 8) for i in range(700, 900)]
     rows += [(1000, None), (1001, [float("nan")] * 8), (1002, [float("inf")] + [0.0] * 7), (1003, [None] * 8), (None, [0.1] * 8), (1100, [0.0] * 8), (1200, [1.0, 2.0]), (1201, [2.0, 1.0]), (1300, [])]
     df = spark.createDataFrame([(i, v, 3, 1.0) for i, v in rows], "vec_id bigint, embedding array<float>, block int, score double")
-    import pyspark.sql.functions as F
     vectors = df.select("vec_id", topk.whole(F.col("embedding")).alias("v"), "block", "score")
     found = topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect()
     whole = {i: np.floor(np.array(v, np.float32).astype(float) * 1024).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
@@ -117,7 +116,7 @@ def test_top_k_against_brute_force(spark, monkeypatch, block):
 
 def test_reading_rules_out_nearly_all(spark):
     """Of the candidates of a block few are scored after reading; large and repeated components give the same as plain products."""
-    v = np.array([r.v for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", topk.whole("embedding").alias("v")).where("v is not null").orderBy("vec_id").collect()])
+    v = np.array([r.v for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", topk.whole(F.col("embedding")).alias("v")).where("v is not null").orderBy("vec_id").collect()])
     lists, own = topk.Lists(np.arange(len(v)), v), np.arange(0, len(v), 25)
     for bar in (None, np.array([np.sort(np.delete(v @ v[i], i))[-10] for i in own])):
         lists.asked = lists.scored = 0
