@@ -334,13 +334,15 @@ def anchor_vectors(cells: DataFrame) -> DataFrame:
     return d.drop("__last", "__avg", "__span", "__rank")
 
 
-def _uniform(seed: int, *parts) -> Column:
-    """A draw in [0, 1) that depends on its key alone, so any partitioning gives the same rows."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(2**53)).cast("double") / float(2**53)
+def uniform(seed: int, *parts) -> Column:
+    """A draw in [0, 1) that depends on its key alone, so any partitioning gives the same rows: the first 52 bits of the md5 of the
+    parts joined by `|`. Any SQL engine with md5 draws the same number."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
 def _whole(seed: int, low: Column, high: Column, *parts) -> Column:
-    return low + F.floor(_uniform(seed, *parts) * (high - low + 1))
+    return low + F.floor(uniform(seed, *parts) * (high - low + 1))
 
 
 def month_shift(pattern: Column, idx: Column, strength: Column) -> Column:
@@ -350,41 +352,87 @@ def month_shift(pattern: Column, idx: Column, strength: Column) -> Column:
             .when(pattern == "pulse", F.when(r == 1, 0).otherwise(strength)).otherwise(0))
 
 
+def _of_anchor(anchor: Column, cell: Column) -> Column:
+    out = cell[ANCHOR_KEYS[-1]]
+    for a in ANCHOR_KEYS[:-1]:
+        out = F.when(anchor == a, cell[a]).otherwise(out)
+    return out
+
+
+def _held(x: Column) -> Column:
+    return F.greatest(F.lit(float(LADDER_MIN)), F.least(F.lit(float(LADDER_MAX)), x))
+
+
+def packed_anchors(anchors: DataFrame) -> Column:
+    """The anchor cells as one array in the order of size, month and slab. A plan has some tens of cells, so the array is small."""
+    n = slab_number("Slab").alias("n")
+    return anchors.agg(F.array_sort(F.collect_list(F.struct("Sizes", "idx", n, "Slab", "period", *ANCHOR_KEYS)))).scalar()
+
+
 def draw_scenarios(families: DataFrame, anchors: DataFrame, seed: int, first: int = 0, last: int = 4) -> DataFrame:
-    """Candidate cells (plan, family, candidate, idx, period, Sizes, Slab, value): for every family the candidates numbered
-    from `first` to `last` times `allocated`, each an anchor moved by the family's pattern, noise and gaps. A
-    draw depends on the plan, family and number alone."""
+    """Candidates (plan, family, candidate, anchor, cells, drawn): for every family the candidates numbered from `first` to
+    `last` times `allocated`, each an anchor moved by the family's pattern, noise and gaps. `cells` are the anchor
+    cells in their order and `drawn` the candidate's values at them. A draw depends on the plan, family and number
+    alone. Numbers are dealt out before anything is drawn; a candidate is one row, and its draws need no shuffle."""
     ids = families.where("allocated > 0").select("*", F.explode(F.sequence(F.col("allocated") * first, F.col("allocated") * last - 1)).alias("candidate"))
+    # by number, since the few bytes of the ids would be joined into one task
+    ids = ids.repartition(int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")), *DRAWN)
     cand = [F.col("plan"), F.col("family"), F.col("candidate")]
-    u, run, pick = _uniform(seed, F.lit("anchor"), *cand), F.lit(0.0), F.lit(ANCHOR_KEYS[-1])
-    cuts = []
+    d = ids.withColumn("__u", uniform(seed, F.lit("anchor"), *cand)).withColumn("cells", packed_anchors(anchors))
+    run, pick, cuts = F.lit(0.0), F.lit(ANCHOR_KEYS[-1]), []
     for a in ANCHOR_KEYS:
         run = run + F.col("anchor_weights")[a]
         cuts.append((run, a))
     for c, a in reversed(cuts):
-        pick = F.when(u <= c, a).otherwise(pick)
-    names = anchors.columns
-    packed = anchors.agg(F.collect_list(F.struct(*names))).scalar()
-    d = ids.withColumn("anchor", pick).withColumn("c", F.explode(packed)).select(
-        *ids.columns, "anchor", *[F.col(f"c.{n}").alias(n) for n in names])
-    value = F.lit(None).cast("double")
-    for a in ANCHOR_KEYS:
-        value = F.when(F.col("anchor") == a, F.col(a)).otherwise(value)
-    cell = [*cand, F.col("Sizes"), F.col("idx")]
-    ladder = Window.partitionBy(*DRAWN, "Sizes", "idx").orderBy(slab_number("Slab"), "Slab")
-    d = d.repartition(*DRAWN).withColumn("__a", value).withColumn("__prev", F.lag("__a").over(ladder))
+        pick = F.when(F.col("__u") <= c, a).otherwise(pick)
+    d = d.withColumn("anchor", pick)
+    d = d.withColumn("__a", F.transform("cells", lambda c: F.struct(c["Sizes"].alias("Sizes"), c["idx"].alias("idx"), c["Slab"].alias("Slab"), _of_anchor(F.col("anchor"), c).alias("a"))))
     vol = F.col("volatility")
-    noise = F.when(vol > 0, _whole(seed, -vol, vol, F.lit("noise"), *cell)).otherwise(0)
-    bias = F.when(F.col("Sizes") == "12-ML", F.col("size_bias_12")).otherwise(F.col("size_bias_18"))
-    raw = F.col("__a") + bias + month_shift(F.col("month_pattern"), F.col("idx"), F.col("month_shift_strength")) + noise \
-        + _whole(seed, F.lit(-1), F.lit(1), F.lit("base"), *cell)
-    start = L.in_range(F.greatest(F.col("base_min"), F.least(F.col("base_max"), raw)))
-    gap = F.greatest(F.lit(1.0), half_even(F.col("__a") - F.col("__prev"))) + _whole(seed, F.lit(-1), F.lit(1), F.lit("gap"), *cell, F.col("Slab"))
-    gap = F.greatest(F.col("gap_min"), F.least(F.col("gap_max"), gap))
-    part = F.when(F.col("__prev").isNull(), start).otherwise(gap)
-    d = d.withColumn("__p", part.cast("double"))
-    d = d.withColumn("value", F.sum("__p").over(ladder.rowsBetween(Window.unboundedPreceding, 0)))
-    return L.enforce_ladder(d, [*DRAWN, "Sizes", "idx"]).select(*DRAWN, "anchor", *CELL, "period", "value")
+
+    def part(c, i):
+        """A ladder's first value, or the step to the next slab."""
+        cell, before = [*cand, c["Sizes"], c["idx"]], F.get("__a", i - 1)
+        noise = F.when(vol > 0, _whole(seed, -vol, vol, F.lit("noise"), *cell)).otherwise(0)
+        bias = F.when(c["Sizes"] == "12-ML", F.col("size_bias_12")).otherwise(F.col("size_bias_18"))
+        raw = c["a"] + bias + month_shift(F.col("month_pattern"), c["idx"], F.col("month_shift_strength")) + noise + _whole(seed, F.lit(-1), F.lit(1), F.lit("base"), *cell)
+        start = _held(F.greatest(F.col("base_min"), F.least(F.col("base_max"), raw)))
+        gap = F.greatest(F.lit(1.0), half_even(c["a"] - before["a"])) + _whole(seed, F.lit(-1), F.lit(1), F.lit("gap"), *cell, c["Slab"])
+        gap = F.greatest(F.col("gap_min"), F.least(F.col("gap_max"), gap))
+        first = ~(before["Sizes"].eqNullSafe(c["Sizes"]) & before["idx"].eqNullSafe(c["idx"])) | (i == 0)
+        return F.struct(first.alias("first"), F.when(first, start).otherwise(gap).cast("double").alias("part"))
+
+    state = "struct<run double, top double, out array<double>>"
+    empty = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("top"), F.array().alias("out")).cast(state)
+
+    def step(s, p):
+        run = F.when(p["first"], p["part"]).otherwise(s["run"] + p["part"])
+        top = F.when(p["first"], _held(run)).otherwise(F.greatest(s["top"], _held(run)))
+        return F.struct(run.alias("run"), top.alias("top"), F.concat(s["out"], F.array(F.round(top, 2))).alias("out"))
+
+    d = d.withColumn("__p", F.transform("__a", part))
+    return d.select(*DRAWN, "anchor", "cells", F.aggregate("__p", empty, step, lambda s: s["out"]).alias("drawn"))
+
+
+def _cells(packed: DataFrame, *keys: str) -> DataFrame:
+    """A row for every cell of packed candidates, with `value`."""
+    each = packed.select(*keys, F.explode(F.arrays_zip("cells", "drawn")).alias("c"))
+    return each.select(*keys, "c.cells.Sizes", "c.cells.Slab", "c.cells.idx", "c.cells.period", F.col("c.drawn").alias("value"))
+
+
+def _bounded(packed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Packed candidates inside the bounds; one whose bounds cross in any ladder goes."""
+    rows = L.enforce_bounded(_cells(packed, *DRAWN, "anchor").join(bounds, ["period", "Sizes", "Slab"], "left"), [*DRAWN, "Sizes", "idx"])
+    value = F.struct("Sizes", "idx", slab_number("Slab").alias("n"), "Slab", "value")
+    held = rows.groupBy(*DRAWN).agg(F.array_sort(F.collect_list(value)).alias("held"), F.bool_or(F.col("value").isNull()).alias("broken")).where("NOT broken")
+    return packed.join(held, DRAWN).withColumn("drawn", F.col("held.value")).drop("held", "broken")
+
+
+def _lively(packed: DataFrame) -> DataFrame:
+    """Packed candidates of whole points that are neither nearly flat, nor tiny, nor equal in all months."""
+    v = F.col("drawn")
+    months = F.array_distinct(F.col("cells.idx"))
+    shapes = F.array_distinct(F.transform(months, lambda m: F.filter(v, lambda x, i: F.get("cells", i)["idx"] == m)))
+    return packed.where((F.size(F.array_distinct(v)) > 2) & (F.array_max(v) > 6) & (F.array_max(v) - F.array_min(v) > 2) & (F.size(shapes) > 1))
 
 
 def drop_degenerate(values: DataFrame, key="scenario_id", decimals: int = 2, within=()) -> DataFrame:
@@ -421,34 +469,34 @@ def generate_scenarios(families: DataFrame, cells: DataFrame, seed: int = 7, bou
     degenerate scenarios and without two equal ones in a plan; `families` (plan, family, ..., allocated) carries how many
     each family should give.
 
-    Candidates are drawn in rounds, up to a hundred times the number asked for, until every plan has enough. What a
-    family lacks then comes from the plan's other families. A plan that still falls short raises ValueError."""
+    Candidates are drawn in rounds, up to a hundred times the number asked for, until every plan has enough; of equal candidates the
+    first round's, then the lowest number stays. What a family lacks then comes from the plan's other families. A plan
+    that still falls short raises ValueError. A candidate is one row with its values in an array; new candidates are
+    held against the signatures kept so far, and only chosen ones become cells."""
     families = cut(families)
     anchors = cut(anchor_vectors(cells))
     if bounds is not None:
         L.check_bounds(bounds)
-    ladder, kept, first = [*DRAWN, "Sizes", "idx"], None, 0
+    kept, first = None, 0
     wanted = families.groupBy("plan").agg(F.sum("allocated").alias("wanted"))
     for last in ROUNDS:
         draws = draw_scenarios(families, anchors, seed, first, last)
-        if bounds is not None:
-            draws = L.enforce_bounded(draws.join(bounds, ["period", "Sizes", "Slab"], "left"), ladder)
-            broken = F.bool_or(F.col("value").isNull()).over(Window.partitionBy(*DRAWN))
-            draws = draws.withColumn("__x", broken).where("NOT __x").drop("__x", "min_pct", "max_pct")
-        else:
-            draws = L.enforce_ladder(draws, ladder, whole=True)
-        all_drawn = cut(draws) if kept is None else kept.unionByName(cut(draws))
-        kept = cut(drop_degenerate(all_drawn, ["plan", "candidate", "family"], within=["plan"]))
-        have = kept.select(*DRAWN).distinct().groupBy("plan").agg(F.count("*").alias("have"))
+        draws = _bounded(draws, bounds) if bounds is not None else draws.withColumn("drawn", F.transform("drawn", lambda x: L.in_range(F.rint(x))))
+        draws = draws.withColumn("signature", F.array_join(F.transform("drawn", lambda x: x.cast("string")), ","))
+        new = draws.groupBy("plan", "signature").agg(F.min(F.struct("candidate", "family", "anchor", "drawn")).alias("k"))
+        new = _lively(new.select("plan", "k.family", "k.candidate", "k.anchor", "k.drawn", "signature").withColumn("cells", packed_anchors(anchors))).drop("cells")
+        kept = cut(new if kept is None else kept.unionByName(new.join(kept, ["plan", "signature"], "left_anti")))
+        have = kept.groupBy("plan").agg(F.count("*").alias("have"))
         short = wanted.join(have, "plan", "left").where(F.coalesce("have", F.lit(0)) < F.col("wanted")).orderBy("plan").limit(20).collect()
         if not short:
             break
         first = last
     if short:
         raise ValueError("too few distinct scenarios: " + ", ".join(f"{r.plan} has {r.have or 0} of {r.wanted}" for r in short))
-    ids = _ranked(kept.select(*DRAWN).distinct(), ["plan", "family"], "candidate").join(families.select("plan", "family", "allocated"), ["plan", "family"])
+    ids = _ranked(kept.select(*DRAWN), ["plan", "family"], "candidate").join(families.select("plan", "family", "allocated"), ["plan", "family"])
     own, spare = ids.where("rank <= allocated"), ids.where("rank > allocated")
     lack = wanted.join(own.groupBy("plan").agg(F.count("*").alias("have")), "plan", "left").select("plan", (F.col("wanted") - F.coalesce("have", F.lit(0))).alias("lack")).where("lack > 0")
     spare = _ranked(spare.drop("rank").withColumn("__turn", F.col("candidate") * F.lit(1000) + F.col("family")), ["plan"], "__turn", 512_000).join(lack, "plan").where(F.col("rank") <= F.col("lack"))
     chosen = own.select(*DRAWN).unionByName(spare.select(*DRAWN)).withColumn("scenario_id", F.format_string("%s-f%d-%06d", "plan", "family", "candidate"))
-    return kept.join(chosen, DRAWN).select("plan", "scenario_id", "family", "anchor", *CELL, "period", "value")
+    out = kept.join(chosen, DRAWN).withColumn("cells", packed_anchors(anchors))
+    return _cells(out, "plan", "scenario_id", "family", "anchor")
