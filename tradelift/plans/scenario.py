@@ -73,35 +73,40 @@ SELECT s.scenario_id, s.idx, s.period, s."Sizes", l."Slab", l.v AS value FROM (
     UNION ALL SELECT 'lowest_historical_promo_ladder', "Sizes", idx, period, latest, shallow FROM v_src) q) s
 JOIN v_lad l ON l."Sizes" = s."Sizes" AND l.period = s.source
 """)
-view("v_res", """
-SELECT i.scenario_id, c.*, greatest(coalesce(a.value, dflt), 0) AS pct FROM (SELECT DISTINCT scenario_id FROM v_anch) i CROSS JOIN v_cells c LEFT JOIN v_anch a USING (scenario_id, period, "Sizes", "Slab")
-""".replace("c.*, greatest(coalesce(a.value", "c.*, greatest(coalesce(a.value").replace("LEFT JOIN v_anch a USING (scenario_id, period, \"Sizes\", \"Slab\")",
-            "LEFT JOIN v_anch a ON a.scenario_id = i.scenario_id AND a.period = c.period AND a.\"Sizes\" = c.\"Sizes\" AND a.\"Slab\" = c.\"Slab\""))
-view("v_sq", """
-SELECT *, greatest(baseline + comp, 0) AS pre FROM (SELECT *, b1 * pct + b2 * lagp + b3 * oth AS comp FROM (
-  SELECT a.*, coalesce(lag(pct) OVER (PARTITION BY scenario_id, "Sizes", "Slab" ORDER BY idx), dlast) AS lagp, o.oth FROM v_res a
-  JOIN (SELECT x.scenario_id, x."Sizes", x."Slab", x.idx, sum(y.weight * y.pct) / sum(y.weight) AS oth FROM v_res x
-        JOIN v_res y ON x.scenario_id = y.scenario_id AND x."Sizes" = y."Sizes" AND x.idx = y.idx AND x."Slab" <> y."Slab" GROUP BY ALL) o USING (scenario_id, "Sizes", "Slab", idx)))
+def scored_views(mark: str, values: str) -> None:
+    """Views v_res, v_sq, v_pnl, v_sum and v_met, their names ended by `mark`, of the scenario values in the view `values`."""
+    view(f"v_res{mark}", f"""
+SELECT i.scenario_id, c.*, greatest(coalesce(a.value, dflt), 0) AS pct FROM (SELECT DISTINCT scenario_id FROM {values}) i CROSS JOIN v_cells c
+LEFT JOIN {values} a ON a.scenario_id = i.scenario_id AND a.period = c.period AND a."Sizes" = c."Sizes" AND a."Slab" = c."Slab"
 """)
-view("v_ref", """
-SELECT coalesce("Sizes", 'TOTAL') AS "Sizes", sum(q) AS rq, sum(g) AS rg, sum(n) AS rn, sum(n - q * cogs) AS rp, sum(inv) AS ri, sum(q * ml) AS rml FROM (
-  SELECT "Sizes", CASE "Sizes" WHEN '12-ML' THEN 6.0 ELSE 8.0 END AS cogs, CASE "Sizes" WHEN '12-ML' THEN 12.0 ELSE 18.0 END AS ml, sum("Quantity") AS q, sum(dsp_amt) AS g, sum(clp_amt) AS n, sum(scheme) AS inv FROM v_db
-  WHERE "Slab" <> 'slab0' AND "Month" IN (SELECT CAST(period - INTERVAL 12 MONTH AS DATE) FROM v_cells) GROUP BY 1) GROUP BY ROLLUP ("Sizes")
+    view(f"v_sq{mark}", f"""
+SELECT *, greatest(baseline + comp, 0) AS pre FROM (SELECT *, b1 * pct + b2 * lagp + b3 * oth AS comp FROM (
+  SELECT a.*, coalesce(lag(pct) OVER (PARTITION BY scenario_id, "Sizes", "Slab" ORDER BY idx), dlast) AS lagp, o.oth FROM v_res{mark} a
+  JOIN (SELECT x.scenario_id, x."Sizes", x."Slab", x.idx, sum(y.weight * y.pct) / sum(y.weight) AS oth FROM v_res{mark} x
+        JOIN v_res{mark} y ON x.scenario_id = y.scenario_id AND x."Sizes" = y."Sizes" AND x.idx = y.idx AND x."Slab" <> y."Slab" GROUP BY ALL) o USING (scenario_id, "Sizes", "Slab", idx)))
 """)
-view("v_pnl", """
+    view(f"v_pnl{mark}", f"""
 SELECT *, CASE "Sizes" WHEN '12-ML' THEN 12.0 ELSE 18.0 END AS ml, pre AS fin_q, baseline * dsp AS brg, pre * dsp AS srg, baseline * clp AS brn, pre * clp AS srn, baseline * clp - baseline * cogs AS bp, pre * clp - pre * cogs AS sp,
-  baseline * dsp * dflt / 100 AS bi, pre * dsp * pct / 100 AS si, pre * dsp * greatest(pct - dflt, 0) / 100 AS sip FROM v_sq
+  baseline * dsp * dflt / 100 AS bi, pre * dsp * pct / 100 AS si, pre * dsp * greatest(pct - dflt, 0) / 100 AS sip FROM v_sq{mark}
 """)
-view("v_sum", """
+    view(f"v_sum{mark}", f"""
 SELECT s.*, rq, rg, rn, rp, ri, rml FROM (SELECT scenario_id, coalesce("Sizes", 'TOTAL') AS "Sizes", sum(baseline) AS bq, sum(pre) AS pq, sum(fin_q) AS fq, sum(fin_q * ml) AS fml, sum(baseline * ml) AS bml, sum(brg) AS brg, sum(srg) AS srg, sum(brn) AS brn, sum(srn) AS srn,
-  sum(bp) AS bp, sum(sp) AS sp, sum(bi) AS bi, sum(si) AS si, sum(sip) AS sip FROM v_pnl GROUP BY GROUPING SETS ((scenario_id, "Sizes"), (scenario_id))) s JOIN v_ref USING ("Sizes")
+  sum(bp) AS bp, sum(sp) AS sp, sum(bi) AS bi, sum(si) AS si, sum(sip) AS sip FROM v_pnl{mark} GROUP BY GROUPING SETS ((scenario_id, "Sizes"), (scenario_id))) s JOIN v_ref USING ("Sizes")
 """)
-view("v_met", """
+    view(f"v_met{mark}", f"""
 SELECT *, coalesce(CASE WHEN srn > 0 AND rn > 0 THEN sp / srn * 100 - rp / rn * 100 END, CASE WHEN abs(rp) > 1e-9 THEN (sp - rp) / abs(rp) * 100 ELSE 0 END) AS margin, CASE WHEN srn > 0 THEN si / srn * 100 END AS cts,
-  CASE WHEN ri > 0 THEN (si - ri) / ri * 100 END AS invp, CASE WHEN rq > 0 THEN (fq - rq) / rq * 100 ELSE 0 END AS vq, CASE WHEN rml > 0 THEN (fml - rml) / rml * 100 ELSE 0 END AS vml, CASE WHEN rg > 0 THEN (srg - rg) / rg * 100 ELSE 0 END AS vr FROM v_sum
+  CASE WHEN ri > 0 THEN (si - ri) / ri * 100 END AS invp, CASE WHEN rq > 0 THEN (fq - rq) / rq * 100 ELSE 0 END AS vq, CASE WHEN rml > 0 THEN (fml - rml) / rml * 100 ELSE 0 END AS vml, CASE WHEN rg > 0 THEN (srg - rg) / rg * 100 ELSE 0 END AS vr FROM v_sum{mark}
 """)
 
 
+view("v_ref", """
+SELECT coalesce("Sizes", 'TOTAL') AS "Sizes", sum(q) AS rq, sum(g) AS rg, sum(n) AS rn, sum(n - q * cogs) AS rp, sum(inv) AS ri, sum(q * ml) AS rml FROM (
+  SELECT "Sizes", CASE "Sizes" WHEN '12-ML' THEN 6.0 ELSE 8.0 END AS cogs, CASE "Sizes" WHEN '12-ML' THEN 12.0 ELSE 18.0 END AS ml, sum("Quantity") AS q, sum(dsp_amt) AS g, sum(clp_amt) AS n, sum(scheme) AS inv FROM v_db
+  WHERE "Slab" <> 'slab0' AND "Month" IN (SELECT CAST(period - INTERVAL 12 MONTH AS DATE) FROM v_cells) GROUP BY 1) GROUP BY ROLLUP ("Sizes")
+""")
+scored_views("", "v_anch")
+
+
 @query("plan_cells", """
 SELECT "Sizes", "Slab", idx, period, round(dflt, 4) AS default_pct, round(baseline, 3) AS baseline_qty, round(dsp, 4) AS base_price, round(clp, 4) AS clp_price, cogs::DOUBLE AS cogs_per_unit, round(weight, 6) AS weight,
   round(greatest(baseline + b1 * dflt + b2 * dlag + b3 * odflt, 0), 3) AS default_world_qty FROM v_cells
@@ -374,6 +379,15 @@ def _wide_sql(f, i):
     return f"struct_pack({', '.join(f'{k} := {v}' for k, v in new.items())})"
 
 
+def _settled_sql(raw):
+    """The three families of every plan of `raw` (plan, family, f), set apart where two are alike."""
+    step = f"SELECT plan, max(f) FILTER (family = 0) AS f0, max(f) FILTER (family = 1) AS f1, max(f) FILTER (family = 2) AS f2 FROM ({raw}) GROUP BY plan"
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        step = (f"SELECT * EXCLUDE (w) REPLACE (CASE WHEN {_like_sql(f'f{i}', f'f{j}')} < {FM.SIMILAR} THEN f{j} WHEN {_like_sql(f'f{i}', 'w')} >= {FM.SIMILAR} THEN {_default_sql(j)} ELSE w END AS f{j}) "
+                f"FROM (SELECT *, {_wide_sql(f'f{j}', j)} AS w FROM ({step}))")
+    return f"SELECT plan, unnest([0, 1, 2]) AS family, unnest([f0, f1, f2]) AS f FROM ({step})"
+
+
 def _families_sql():
     rng = lambda k, e: f"CAST(greatest({FM.RANGES[k][0]}, least({FM.RANGES[k][1]}, {e})) AS INTEGER)"
     mix = [f"(s % {i + 2} + {i} * k % 3)" for i in range(4)]
@@ -386,13 +400,9 @@ def _families_sql():
           ['flat', 'up', 'down', 'wave', 'flat'][(s + k) % 5 + 1] AS pat FROM (
           SELECT "Final_State", CAST(regexp_extract("Final_State", '[0-9]+') AS INTEGER) AS s, CAST(regexp_extract("Slab", '[0-9]+') AS INTEGER) AS k, sum(scheme) / sum(dsp_amt) * 100 AS d, sum("Quantity") AS q
           FROM v_tb WHERE "Slab" <> 'slab0' GROUP BY ALL)))"""
-    step = f"SELECT plan, max(f) FILTER (family = 0) AS f0, max(f) FILTER (family = 1) AS f1, max(f) FILTER (family = 2) AS f2 FROM ({raw}) GROUP BY plan"
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        step = (f"SELECT * EXCLUDE (w) REPLACE (CASE WHEN {_like_sql(f'f{i}', f'f{j}')} < {FM.SIMILAR} THEN f{j} WHEN {_like_sql(f'f{i}', 'w')} >= {FM.SIMILAR} THEN {_default_sql(j)} ELSE w END AS f{j}) "
-                f"FROM (SELECT *, {_wide_sql(f'f{j}', j)} AS w FROM ({step}))")
     fields = ", ".join(f"f.{k}" for k in _NUMBERS) + ", f.month_pattern, " + ", ".join(f"round(f.{a}, 6) AS {a}" for a in C.ANCHOR_KEYS)
     return f"""SELECT plan, family, f.name, round(f.priority_weight / sum(f.priority_weight) OVER (PARTITION BY plan), 6) AS priority_weight, {fields}
-FROM (SELECT plan, unnest([0, 1, 2]) AS family, unnest([f0, f1, f2]) AS f FROM ({step}))"""
+FROM ({_settled_sql(raw)})"""
 
 
 @query("scenario_families", _families_sql())
@@ -407,7 +417,59 @@ def generated(spark, sf, count):
     return b, C.generate_scenarios(fam, b.cells, seed=11)
 
 
-@query("generate_scenarios")
+def _draw_sql(*parts):
+    """The draw of a key in [0, 1): 52 bits of the md5 of the seed and the parts."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '11', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _whole_sql(low, high, *parts):
+    return f"({low} + floor({_draw_sql(*parts)} * ({high} - ({low}) + 1)))"
+
+
+_CAND, _SPOT = ["plan", "family", "candidate"], ["plan", "family", "candidate", '"Sizes"', "idx"]
+_SHARES = [" + ".join(["0.0", *[f"f.{a}" for a in C.ANCHOR_KEYS[:i + 1]]]) for i in range(3)]
+view("v_alloc", f"""
+SELECT plan, family, f, CAST(1 + fl + CASE WHEN row_number() OVER (PARTITION BY plan ORDER BY part - fl DESC, family DESC) <= 1000 - sum(1 + fl) OVER (PARTITION BY plan) THEN 1 ELSE 0 END AS INTEGER) AS allocated
+FROM (SELECT *, floor(part) AS fl FROM (SELECT *, w / sum(w) OVER (PARTITION BY plan) * (1000 - count(*) OVER (PARTITION BY plan)) AS part FROM (
+  SELECT *, f.priority_weight / sum(f.priority_weight) OVER (PARTITION BY plan) AS w FROM (
+    {_settled_sql("SELECT 'default' AS plan, unnest([0, 1, 2]) AS family, unnest([" + ", ".join(_default_sql(i) for i in range(3)) + "]) AS f")}))))
+""")
+view("v_av", _AV)
+view("v_drawn", f"""
+SELECT plan, family, candidate, allocated, anchor, "Sizes", "Slab", idx, round_even(round(max(least(30.0, greatest(5.0, run))) OVER w, 2), 0) AS value FROM (
+  SELECT *, sum(part) OVER w AS run FROM (
+    SELECT *, CASE WHEN prev IS NULL THEN least(30.0, greatest(5.0, greatest(f.base_min, least(f.base_max, a + CASE "Sizes" WHEN '12-ML' THEN f.size_bias_12 ELSE f.size_bias_18 END
+      + CASE f.month_pattern WHEN 'up' THEN idx * f.month_shift_strength WHEN 'down' THEN -idx * f.month_shift_strength WHEN 'wave' THEN [0, 1, -1][idx % 3 + 1] * f.month_shift_strength
+        WHEN 'pulse' THEN [1, 0, 1][idx % 3 + 1] * f.month_shift_strength ELSE 0 END
+      + CASE WHEN f.volatility > 0 THEN {_whole_sql("-f.volatility", "f.volatility", "'noise'", *_SPOT)} ELSE 0 END + {_whole_sql("-1", "1", "'base'", *_SPOT)}))))
+      ELSE greatest(f.gap_min, least(f.gap_max, greatest(1, round_even(a - prev, 0)) + {_whole_sql("-1", "1", "'gap'", *_SPOT, '"Slab"')})) END AS part FROM (
+      SELECT *, lag(a) OVER w AS prev FROM (
+        SELECT c.*, "Sizes", "Slab", idx, CASE anchor {" ".join(f"WHEN '{a}' THEN v.{a}" for a in C.ANCHOR_KEYS)} END AS a FROM (
+          SELECT *, CASE {" ".join(f"WHEN u <= {x} THEN '{a}'" for x, a in zip(_SHARES, C.ANCHOR_KEYS))} ELSE '{C.ANCHOR_KEYS[-1]}' END AS anchor FROM (
+            SELECT *, {_draw_sql("'anchor'", *_CAND)} AS u FROM (SELECT *, unnest(range(0, 4 * allocated)) AS candidate FROM v_alloc))) c CROSS JOIN v_av v)
+      WINDOW w AS (PARTITION BY plan, family, candidate, "Sizes", idx ORDER BY "Slab")))
+  WINDOW w AS (PARTITION BY plan, family, candidate, "Sizes", idx ORDER BY "Slab"))
+WINDOW w AS (PARTITION BY plan, family, candidate, "Sizes", idx ORDER BY "Slab")
+""")
+view("v_gkept", """
+SELECT plan, signature, unnest(arg_min({'family': family, 'candidate': candidate, 'allocated': allocated}, (candidate, family))) FROM (
+  SELECT plan, family, candidate, any_value(allocated) AS allocated, list(value ORDER BY "Sizes", idx, "Slab") AS signature, count(DISTINCT value) AS u, max(value) AS hi, min(value) AS lo FROM v_drawn GROUP BY ALL)
+JOIN (SELECT plan, family, candidate, count(DISTINCT s) AS shapes FROM (SELECT plan, family, candidate, idx, list(value ORDER BY "Sizes", "Slab") AS s FROM v_drawn GROUP BY ALL) GROUP BY ALL) USING (plan, family, candidate)
+WHERE u > 2 AND hi > 6 AND hi - lo > 2 AND shapes > 1 GROUP BY plan, signature
+""")
+view("v_gchosen", """
+SELECT plan, family, candidate FROM (
+  SELECT *, row_number() OVER (PARTITION BY plan, own ORDER BY candidate * 1000 + family) AS turn, 1000 - count(*) FILTER (own) OVER (PARTITION BY plan) AS lack FROM (
+    SELECT *, row_number() OVER (PARTITION BY plan, family ORDER BY candidate) <= allocated AS own FROM v_gkept)) WHERE own OR turn <= lack
+""")
+view("v_gen", """
+SELECT plan, printf('%s-f%d-%06d', plan, family, candidate) AS scenario_id, family, anchor, "Sizes", "Slab", idx, (SELECT max(period) FROM v_cells c WHERE c.idx = d.idx) AS period, value
+FROM v_drawn d JOIN v_gchosen USING (plan, family, candidate)
+""")
+scored_views("_g", "v_gen")
+
+
+@query("generate_scenarios", """SELECT plan, scenario_id, family, anchor, "Sizes", "Slab", idx, period, value FROM v_gen""")
 def _(spark, sf):
     return generated(spark, sf, 1000)[1]
 
@@ -431,12 +493,17 @@ def _(spark, sf):
                                  F.bool_and((F.size("v") == n) & (F.col("n") == n)).alias("cells_once"), F.bool_and("inside").alias("in_range"), F.bool_and("up").alias("rising"))
 
 
-@query("score_generated")
+@query("score_generated", """
+SELECT scenario_id, "Sizes", round(bq, 3) AS baseline_qty, round(fq, 3) AS final_qty, round(fml, 2) AS final_ml, round(srg, 2) AS scenario_revenue_gross, round(sp, 2) AS scenario_profit, round(si, 2) AS scenario_investment, round(rq, 3) AS reference_qty,
+  round(vq, 5) AS vs_reference_volume_pct, round(vml, 5) AS vs_reference_ml_pct, round(vr, 5) AS vs_reference_revenue_gross_pct, round(margin, 5) AS net_margin_points, round(cts, 5) AS cts_pct, round(invp, 5) AS investment_pct FROM v_met_g
+""")
 def _(spark, sf):
     b, g = generated(spark, sf, 1000)
     g = cut(g)
-    s = C.score_scenarios(b.cells, g.select("scenario_id", "period", "Sizes", "Slab", "value"), b.reference)
-    return r(C.scenario_metrics(C.scenario_summary(s, b.reference)), 4)
+    s = C.scenario_metrics(C.scenario_summary(C.score_scenarios(b.cells, g.select("scenario_id", "period", "Sizes", "Slab", "value"), b.reference), b.reference))
+    return r(s.select("scenario_id", "Sizes", "baseline_qty", "final_qty", "final_ml", "scenario_revenue_gross", "scenario_profit", "scenario_investment", "reference_qty", "vs_reference_volume_pct",
+                      "vs_reference_ml_pct", "vs_reference_revenue_gross_pct", "net_margin_points", "cts_pct", "investment_pct"), 5, baseline_qty=3, final_qty=3, final_ml=2,
+             scenario_revenue_gross=2, scenario_profit=2, scenario_investment=2, reference_qty=3)
 
 
 view("v_many", """
