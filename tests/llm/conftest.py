@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns whose names the operators use themselves.
-CLASHING = "score double, kept boolean, key string, node bigint, label bigint, name bigint, block int, salt int, h bigint, topic string, tokens bigint, rank int, fp binary, __id bigint"
+CLASHING = "score double, kept boolean, key string, node bigint, label bigint, name bigint, block int, salt int, h bigint, topic string, tokens bigint, rank int, fp binary, __id bigint, _chance double, _source string, _topic string, _gap double, before int, component bigint"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + CLASHING
 
 

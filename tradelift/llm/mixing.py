@@ -108,18 +108,19 @@ def _celled(docs: DataFrame, topic: Column | None) -> DataFrame:
                        token_count(F.col("text")).alias("tokens"))
 
 
-def _chances(docs: DataFrame, targets, topic, **parameters) -> DataFrame:
-    """The cells with `chance`, the probability that a document is kept."""
+def _chances(docs: DataFrame, wide: DataFrame, targets, topic, **parameters) -> tuple[DataFrame, list[str]]:
+    """The cells with the probability that a document is kept and the gap, and the names of these columns, which `wide` lacks."""
     cells = cut(_celled(docs, topic).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     raked = rake(cells, targets, **parameters)
-    return cut(raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("_chance"), F.col("gap").alias("_gap")))
+    names = fresh(wide, *[f"_{m}" for m in MARGINS], "_chance", "_gap")
+    return cut(raked.select(*[F.col(m).alias(n) for m, n in zip(MARGINS, names)], (F.col("weight") / F.col("tokens")).alias(names[3]), F.col("gap").alias(names[4]))), names
 
 
-def _with_chance(rows: DataFrame, chances: DataFrame, names=MARGINS) -> DataFrame:
+def _with_chance(rows: DataFrame, chances: DataFrame, names: list[str], own=MARGINS) -> DataFrame:
     few = chances.count() <= BROADCAST_CELLS
     on = None
-    for m, n in zip(MARGINS, names):
-        c = F.col(n).eqNullSafe(F.col(f"_{m}"))
+    for n, m in zip(names, own):
+        c = F.col(m).eqNullSafe(F.col(n))
         on = c if on is None else on & c
     return rows.join(F.broadcast(chances) if few else chances, on, "left")
 
@@ -135,15 +136,17 @@ def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Colu
     A null source, language or topic is a value of its own; a null text has one token. Rows that agree in
     id, source, language, topic and tokens are kept or left out together. Other columns are not read."""
     rows = _celled(docs, topic)
-    out = _with_chance(rows, _chances(docs, targets, topic, **parameters))
-    kept = _draw(seed, "doc_id", "source", "lang", "topic", "tokens") < F.col("_chance")
-    return out.select("doc_id", *MARGINS, "tokens", F.col("_chance").alias("chance"), kept.alias("kept"), F.col("_gap").alias("gap"))
+    chances, names = _chances(docs, rows, targets, topic, **parameters)
+    out = _with_chance(rows, chances, names)
+    kept = _draw(seed, "doc_id", "source", "lang", "topic", "tokens") < F.col(names[3])
+    return out.select("doc_id", *MARGINS, "tokens", F.col(names[3]).alias("chance"), kept.alias("kept"), F.col(names[4]).alias("gap"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None, seed: int = 11, **parameters) -> DataFrame:
     """The rows of `docs`, with all their columns, that the sample keeps."""
-    names = docs.columns
+    columns = docs.columns
     kind, size = fresh(docs, "__topic", "__tokens")
-    wide = docs.select(*names, (topic if topic is not None else topic_of(F.col("text"))).alias(kind), token_count(F.col("text")).alias(size))
-    out = _with_chance(wide, _chances(docs, targets, topic, **parameters), ("source", "lang", kind))
-    return out.where(_draw(seed, "doc_id", "source", "lang", kind, size) < F.col("_chance")).select(*names)
+    wide = docs.select(*columns, (topic if topic is not None else topic_of(F.col("text"))).alias(kind), token_count(F.col("text")).alias(size))
+    chances, names = _chances(docs, wide, targets, topic, **parameters)
+    out = _with_chance(wide, chances, names, ("source", "lang", kind))
+    return out.where(_draw(seed, "doc_id", "source", "lang", kind, size) < F.col(names[3])).select(*columns)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tradelift.llm.common import cut, partitions
+from tradelift.llm.common import cut, fresh, partitions
 
 LIMIT, END = 4096, 1
 #: Distinct words whose ids a worker remembers.
@@ -216,19 +216,19 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int
     return p.runs
 
 
-def _looked_up(sent):
+def _looked_up(sent, salt: str, place: str):
     def run(batches):
         starts, sequence, offset = sent.value
         for pdf in batches:
             at = np.empty(len(pdf), np.int64)
-            length, rank = pdf.length.to_numpy(), pdf["rank"].to_numpy()
+            length, rank = pdf.length.to_numpy(), pdf[place].to_numpy()
             for j in np.unique(length):
                 own = length == j
                 first, where = starts[j]
                 at[own] = where[np.searchsorted(first, rank[own], "right") - 1]
             pdf["sequence_id"] = sequence[at] + rank
             pdf["offset"] = offset[at]
-            yield pdf.drop(columns=["rank", "salt"])
+            yield pdf.drop(columns=[place, salt])
     return run
 
 
@@ -237,8 +237,9 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     interchangeable; their rank comes from groups of a length and a hash, so that no length meets in one task."""
     spark = parts.sparkSession
     salts = max(64, partitions(spark))
-    dealt = cut(parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
-    sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    salt, place, earlier = fresh(parts, "salt", "rank", "before")
+    dealt = cut(parts.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
+    sizes = dealt.groupBy("length", F.col(salt).alias("salt")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = cut(sizes.select("length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     counts = {r.length: r.n for r in first.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -250,8 +251,8 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     starts = {k: (np.array(a), np.array(b)) for k, (a, b) in starts.items()}
     sequence = np.array([r[2] - r[1] for r in runs], np.int64)
     sent = spark.sparkContext.broadcast((starts, sequence, np.array([r[4] for r in runs], np.int64)))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = dealt.join(first.drop("n"), ["length", "salt"]).withColumn("rank", F.row_number().over(within) - 1 + F.col("before")).drop("before")
-    ranked = ranked.select(*dealt.columns, "rank")
+    within = Window.partitionBy("length", salt).orderBy("doc_id", "piece")
+    ranked = dealt.join(first.select("length", F.col("salt").alias(salt), F.col("before").alias(earlier)), ["length", salt])
+    ranked = ranked.withColumn(place, F.row_number().over(within) - 1 + F.col(earlier)).select(*dealt.columns, place)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInPandas(_looked_up(sent), shape)
+    return ranked.mapInPandas(_looked_up(sent, salt, place), shape)

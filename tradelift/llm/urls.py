@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tradelift.llm.common import ascii_lower, partitions
 
-#: Pages sampled to place the bounds of buckets. The result does not depend on it.
+#: Pages sampled to place the bounds of buckets: at least about so many, less than twice as many. The result does not depend on it.
 SAMPLE = 4000
 
 
@@ -99,7 +99,9 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     n = partitions(spark)
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("key", key_of(F.col("host"))).withColumn("tie", F.xxhash64("page_id", "path"))
-    sample = base.select("key", "tie").orderBy(F.xxhash64("tie", F.lit(5)), "key").limit(SAMPLE)
+    # about SAMPLE pages by a threshold of their hash, so that no task sends more than its share
+    every = max(1, pages.count() // SAMPLE)
+    sample = base.select("key", "tie").where(F.pmod(F.xxhash64("tie", F.lit(5)), F.lit(every)) == 0).distinct()
     keys = sorted((r.key, r.tie) for r in sample.collect())
     many = 4 * n
     bounds = sorted({keys[len(keys) * i // many] for i in range(1, many)}) if keys else []
