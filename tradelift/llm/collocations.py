@@ -25,9 +25,9 @@ from tradelift.llm.common import cut, shared_path
 #: Words of a phrase at most, and symbols that order an index.
 DEPTH = 4
 #: Bytes of text in a shard; a longer text is cut between pieces.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Places of an index that are looked at together.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 #: Places of the tables of frequent words and pairs, as a power of two: 8 MB each, whatever the corpus.
 PLACES = 26
 #: A piece ends at `.,;:!?` and at line ends; words are parted by spaces and tabs; A-Z in lower case.
@@ -198,7 +198,7 @@ def _among(table: np.ndarray, h: np.ndarray, places: int) -> np.ndarray:
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 
-def _phrases(lang: str, names: pa.Array, ids: list[np.ndarray], n: np.ndarray, at_once: int = 1 << 17):
+def _phrases(lang: str, names: pa.Array, ids: list[np.ndarray], n: np.ndarray, at_once: int = 1 << 15):
     for i in range(0, len(n), at_once):
         part = [names.take(pa.array(w[i:i + at_once] - 1)) for w in ids]
         size = len(part[0])
@@ -210,6 +210,7 @@ def _read(batch: pa.RecordBatch):
     for i in range(batch.num_rows):
         blobs = [np.frombuffer(pa.CompressedInputStream(pa.BufferReader(batch.column(c)[i].as_buffer()), "zstd").read(), np.int32) for c in ("forward", "backward") if c in batch.schema.names]
         yield batch.column("lang")[i].as_py(), batch.column("words")[i].values, batch.column("counts")[i].values.to_numpy(), blobs
+        pa.default_memory_pool().release_unused()
 
 
 def _pairs(known, places: int):
