@@ -169,16 +169,6 @@ def step_scope(txn: DataFrame, rfm: DataFrame, segments=(), outlet_classes=(), o
     return kept, every_slab
 
 
-def _options(named_values) -> DataFrame:
-    """(option, value) rows from (name, one-column frame) pairs: a distinct per dimension, so no
-    value list is ever gathered in one row."""
-    out = None
-    for name, df in named_values:
-        part = df.toDF("value").where("value IS NOT NULL AND value <> ''").distinct().select(F.lit(name).alias("option"), "value")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def filter_options(df: DataFrame) -> DataFrame:
     """Distinct values of the six filter dimensions in one pass over the fact."""
     dims = {"states": F.col("Final_State"), "categories": F.col("Category"), "subcategories": F.col("Subcategory"),
@@ -207,20 +197,51 @@ def cascading_options(df: DataFrame, f: Filters) -> DataFrame:
     return _long_distinct(df, conds)
 
 
+def outlet_profile(txn: DataFrame, rules: SlabRules, outlet_classes=()) -> DataFrame:
+    """One row per outlet from one pass over the fact: its classes, its slabs, and the slabs of its rows of the chosen
+    classes taken alone (all rows without a choice). The sets are as short as the lists of classes and slabs."""
+    group, choice = outlet_group("Final_Outlet_Classification"), group_labels(outlet_classes)
+    chosen = group.isin(*choice) if choice else F.lit(True)
+    if rules.mode == "define":
+        q = F.coalesce("Quantity", F.lit(0.0))
+        grains = txn.groupBy("Outlet_ID", "Sizes", month_of("Date").alias("Month")).agg(
+            F.sum(q).alias("q"), F.sum(F.when(chosen, q)).alias("chosen_q"), F.max(chosen).alias("has"), F.collect_set(group).alias("groups"))
+        known = F.col("Month").isNotNull() & F.col("Sizes").isNotNull()
+        slab = slab_of("Sizes", F.when(known, F.col("q")), rules)
+        chosen_slab = F.when(F.col("has"), slab_of("Sizes", F.when(known, F.col("chosen_q")), rules))
+    else:
+        grains = txn.groupBy("Outlet_ID", "Slab", group.alias("group")).agg(F.max(chosen).alias("has")).withColumn("groups", F.array("group"))
+        slab, chosen_slab = F.col("Slab"), F.when(F.col("has"), F.col("Slab"))
+    return grains.where("Outlet_ID IS NOT NULL").groupBy("Outlet_ID").agg(
+        F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"), F.collect_set(slab).alias("slabs"),
+        F.collect_set(chosen_slab).alias("chosen_slabs"))
+
+
 def discount_options(txn: DataFrame, rfm: DataFrame, segments=(), outlet_classes=(), slabs=(),
                      rules: SlabRules = SlabRules()) -> DataFrame:
     """Segments (all), classes under the segments, slabs under segments and classes, and the number
-    of outlets the full choice matches."""
-    inside = rfm.where(F.col("RFM_Segment").isin(*segments)) if segments else rfm
-    by_segment = semi_outlets(txn, inside)
-    groups = group_labels(outlet_classes)
-    by_class = by_segment.where(outlet_group("Final_Outlet_Classification").isin(*groups)) if groups else by_segment
-    lists = _options([
-        ("rfm_segments", rfm.select("RFM_Segment")),
-        ("outlet_classifications", by_segment.select(outlet_group("Final_Outlet_Classification"))),
-        ("slabs", assign_slabs(by_class, rules).where(allowed_slab("Slab")).select("Slab")),
-    ])
-    scope, _ = step_scope(txn, rfm, segments, outlet_classes, (), slabs, rules)
-    count = scope.agg(F.count_distinct("Outlet_ID").cast("string").alias("value")).select(
-        F.lit("matching_outlets").alias("option"), "value")
-    return lists.unionByName(count)
+    of outlets the full choice matches. All four come from the outlets' profiles, so the fact is read once."""
+    d = rfm.select("Outlet_ID", "RFM_Segment").join(outlet_profile(txn, rules, outlet_classes), "Outlet_ID", "left")
+    inside = F.col("groups").isNotNull()
+    if segments:
+        inside = inside & F.coalesce(F.col("RFM_Segment").isin(*segments), F.lit(False))
+    groups, match = group_labels(outlet_classes), F.filter("slabs", lambda s: allowed_slab(s))
+    if slabs:
+        match = F.filter(match, lambda s: s.isin(*slabs))
+    match = inside & (F.size(match) > 0)
+    if groups:
+        match = match & F.arrays_overlap("groups", F.array(*[F.lit(g) for g in groups]))
+
+    def pairs(option, values):
+        return F.transform(values, lambda v: F.struct(F.lit(option).alias("option"), v.cast("string").alias("value")))
+
+    none = F.array().cast("array<string>")
+    listed = F.concat(
+        pairs("rfm_segments", F.array("RFM_Segment")), pairs("outlet_classifications", F.when(inside, F.col("groups")).otherwise(none)),
+        pairs("slabs", F.when(inside, F.filter("chosen_slabs", lambda s: allowed_slab(s))).otherwise(none)),
+        pairs("matching_outlets", F.when(match, F.array(F.lit("1"))).otherwise(none)))
+    found = d.select(F.explode(listed).alias("p")).select("p.option", "p.value").where("value IS NOT NULL AND value <> ''")
+    counted = found.withColumn("outlets", F.lit(1)).unionByName(
+        txn.sparkSession.range(1).select(F.lit("matching_outlets").alias("option"), F.lit("1").alias("value"), F.lit(0).alias("outlets")))
+    return counted.groupBy("option", "value").agg(F.sum("outlets").alias("outlets")).select(
+        "option", F.when(F.col("option") == "matching_outlets", F.col("outlets").cast("string")).otherwise(F.col("value")).alias("value"))

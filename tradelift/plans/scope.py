@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tradelift.functions import columns as K
-from tradelift.operators import scope as S
-from tradelift.plans import rfm as PR
+from tradelift.operators import scope as S, store as ST
+from tradelift.plans import registry, rfm as PR
 from tradelift.plans.fixtures import table, txn
 from tradelift.functions.lineage import work_dir
 from tradelift.plans.registry import query, view
@@ -383,3 +383,41 @@ def _(spark, sf):
     from tradelift.operators.frame import slab_order
     t = S.assign_slabs(txn(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity"), RULES)
     return slab_order(t.groupBy("Slab").agg(F.count("*").alias("n")))
+
+
+def stored(spark, sf, *columns):
+    """The fact as an outlet store. The bound on an outlet's rows is low, so that large outlets of the driver data lie apart."""
+    folder = work_dir(spark, "store")
+    ST.write_store(txn(spark, sf, *columns), folder, hot_rows=120)
+    return ST.open_store(spark, folder)
+
+
+@query("stored_grain_back_join", registry.ORACLES["grain_back_join"])
+def _(spark, sf):
+    return ST.grain_back_join(stored(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity")).groupBy("Outlet_ID", "Month", "Sizes").agg(
+        F.count("*").alias("lines"), F.min("Monthly_Quantity").alias("month_quantity"))
+
+
+@query("stored_assign_slabs", registry.ORACLES["assign_slabs"])
+def _(spark, sf):
+    return ST.assign_slabs(stored(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity"), RULES).groupBy("Sizes", "Slab").agg(
+        F.count("*").alias("lines"), F.count_distinct("Outlet_ID").alias("outlets"), F.sum("Quantity").alias("quantity"))
+
+
+@query("stored_step_scope", registry.ORACLES["step_scope"])
+def _(spark, sf):
+    store = stored(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity", "Final_Outlet_Classification")
+    scope, every = ST.step_scope(store, PR.outlets(spark, sf), SEGS, ("SS",), (), ("slab1", "slab3"), RULES)
+    parts = scope.select(F.lit("scope").alias("part"), "Sizes", "Slab", "Quantity").unionByName(every.select(F.lit("all_slabs").alias("part"), "Sizes", "Slab", "Quantity"))
+    return parts.groupBy("part", "Sizes", "Slab").agg(F.count("*").alias("n"), F.sum("Quantity").alias("quantity"))
+
+
+@query("outlet_profile", """
+SELECT "Outlet_ID", string_agg(DISTINCT CASE "Final_Outlet_Classification" WHEN 'WH' THEN 'WH' ELSE 'OtherGT' END, ',') AS groups,
+  string_agg(DISTINCT "Slab", ',' ORDER BY "Slab") AS slabs,
+  coalesce(string_agg(DISTINCT CASE WHEN "Final_Outlet_Classification" = 'WH' THEN "Slab" END, ',' ORDER BY CASE WHEN "Final_Outlet_Classification" = 'WH' THEN "Slab" END), '') AS chosen_slabs
+FROM v_defined GROUP BY 1
+""")
+def _(spark, sf):
+    p = S.outlet_profile(txn(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity", "Final_Outlet_Classification"), RULES, ("WH",))
+    return p.select("Outlet_ID", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("groups", "slabs", "chosen_slabs")])
