@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -451,3 +452,30 @@ def test_export_is_ordered(spark):
                               "Outlet_ID string, Final_State string, RFM_Segment string, Total_Net_Amt double, orders_count int, AOV double, Recency_days int, unique_order_days int, orders_per_day double, first_order date, last_order date")
     got = [r.Total_Net_Amt for r in R.export_outlets(d).collect()]
     assert got == sorted(got, reverse=True)
+
+
+def test_long_series_are_carried_across_batches(spark):
+    """100,000 rows of one series and one short series: equal to a plain loop, in linear time, with any batch size."""
+    rng = random.Random(3)
+    v = [None if rng.random() < 0.1 else round(rng.random() * 12, 2) for _ in range(100_000)]
+    d = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)] + [("b", i, x) for i, x in enumerate(v[:5])], "k string, i int, v double")
+    want, base = [], None
+    for x in v:
+        new = x if x is not None else base or 0.0
+        if base is not None and (0 < new - base < 2.5 or 0 < base - new < 4.0):
+            new = base
+        want.append((new, base is not None and abs(new - base) > 1e-9))
+        base = new
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "999")
+    try:
+        start = time.time()
+        got = Q.base_hysteresis(d, ["k"], "i", "v", 2.5, 4.0, out="b", moved="m").orderBy("k", "i").collect()
+        assert time.time() - start < 60
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [(r.b, r.m) for r in got if r.k == "a"] == want and [(r.b, r.m) for r in got if r.k == "b"] == want[:5]
+    assert [r.v for r in got if r.k == "a"] == v
+    assert Q.base_hysteresis(d.where("false"), ["k"], "i", "v").count() == 0
+    none = spark.createDataFrame([("a", i, None) for i in range(4)], "k string, i int, v double")
+    assert [(r.base, r.moved) for r in Q.rolling_base(none, ["k"], "i", "v").collect()] == [(None, False)] * 4

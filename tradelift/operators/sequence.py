@@ -1,11 +1,15 @@
 """Operators that walk a calendar-ordered series per group.
 
-Windows are partitioned by the group; the folds gather one group's series in an array, which the
-calendar bounds (days or months), never the number of transactions."""
+Windows are partitioned by the group; what depends on the row before's result is a pass over sorted rows that carries
+its state from batch to batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tradelift.functions.columns import clip, round_step
 
@@ -76,20 +80,29 @@ def segment_median_min(df: DataFrame, keys, order, value: str, out: str = "candi
     return d.groupBy(*keys).agg(F.least(*[F.median(F.when(p, F.col(value))) for p in parts]).alias(out))
 
 
-def _fold(df: DataFrame, keys, order, fields, zero, step, outputs) -> DataFrame:
-    """Runs `step(state, row)` along each group; `outputs` names the fields a step's row yields.
-    All other columns travel with their row."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(F.col(order).alias("__o"), *[F.col(f).alias(f"__f_{f}") for f in fields],
-                   F.struct(*rest).alias("__row"))
-    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__s"))
-    walked = F.aggregate("__s", zero, step)["out"]
-    return (
-        series.withColumn("__w", walked)
-        .select(*keys, F.explode(F.arrays_zip("__s", "__w")).alias("z"))
-        .select(*keys, *[F.col(f"z.__s.__row.{c}").alias(c) for c in rest],
-                *[F.col(f"z.__w.{o}").alias(name) for o, name in outputs.items()])
-    )
+def _carry(df: DataFrame, keys, order, fields, start, step, outputs: dict[str, T.DataType]) -> DataFrame:
+    """Adds `outputs` by a pass over rows sorted by group and order. `step(state, *fields)` gives the next state and the
+    row's outputs; `start` is the state before a group's first row. The state goes from one Arrow batch to the next, so
+    a task holds a batch and one state however long a series is. All other columns pass through as they are."""
+    keys, fields = list(keys), list(fields)
+    schema = T.StructType([*df.schema, *[T.StructField(c, t) for c, t in outputs.items()]])
+    types = [to_arrow_type(t) for t in outputs.values()]
+
+    def run(batches):
+        group, state = None, start
+        for batch in batches:
+            ids = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
+            made = []
+            for at, *values in zip(ids, *[batch.column(f).to_pylist() for f in fields]):
+                if at != group:
+                    group, state = at, start
+                state, row = step(state, *values)
+                made.append(row)
+            added = [pa.array(c, t) for c, t in zip(zip(*made), types)] if made else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
+
+    parts = df.repartition(*keys) if keys else df.coalesce(1)
+    return parts.sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def base_hysteresis(df: DataFrame, keys, order, value: str, up: float = 1.0, down: float = 1.0,
@@ -97,20 +110,17 @@ def base_hysteresis(df: DataFrame, keys, order, value: str, up: float = 1.0, dow
     """Carries a base along the series. It moves only by a step of at least `up` or `down`; the
     result lies in 0..100. A missing value keeps the base (0 before the first)."""
     up, down = max(0.0, up), max(0.0, down)
-    zero = F.struct(F.lit(None).cast("double").alias("prev"),
-                    F.array().cast("array<struct<base:double,moved:boolean>>").alias("out"))
 
-    def step(s, e):
-        prev = s["prev"]
-        cand = F.coalesce(e[f"__f_{value}"], prev, F.lit(0.0))
-        stay = ((cand > prev) & (cand - prev < up)) | ((cand < prev) & (prev - cand < down))
-        nxt = F.when(F.coalesce(stay, F.lit(False)), prev).otherwise(cand)
-        jump = F.coalesce(F.abs(nxt - prev) > 1e-9, F.lit(False))
-        item = F.struct(clip(nxt, 0, 100).alias("base"), jump.alias("moved"))
-        return F.struct(nxt.alias("prev"), F.array_append(s["out"], item).alias("out"))
+    def step(base, value):
+        new = value if value is not None else 0.0 if base is None else base
+        if base is not None and -down < new - base < up:
+            new = base
+        return new, (min(max(new, 0.0), 100.0), base is not None and abs(new - base) > 1e-9)
 
-    outputs = {"base": out} | ({"moved": moved} if moved else {})
-    return _fold(df, list(keys), order, [value], zero, step, outputs)
+    d = df.withColumn("__from", F.col(value).cast("double"))
+    d = _carry(d, keys, order, ["__from"], None, step, {"__base": T.DoubleType(), "__moved": T.BooleanType()}).drop("__from")
+    d = d.withColumn(out, F.col("__base"))
+    return (d.withColumn(moved, F.col("__moved")) if moved else d).drop("__base", "__moved")
 
 
 def rolling_base(df: DataFrame, keys, order, value: str, rolling: int = 12, validation: int = 8, up: float = 1.0,
@@ -131,25 +141,23 @@ def rolling_base(df: DataFrame, keys, order, value: str, rolling: int = 12, vali
     window = F.greatest(F.lit(3), F.least(F.lit(rolling), F.col("__n")))
     start = F.max(F.when(F.col("__i") == F.least(window, F.col("__n")), F.col("__cand"))).over(_whole(keys))
     d = d.withColumn("__start", start).withColumn("__cool", F.greatest(F.lit(1), window).cast("int"))
-    zero = F.struct(F.lit(None).cast("double").alias("base"), F.lit(None).cast("int").alias("last"),
-                    F.array().cast("array<struct<base:double,moved:boolean>>").alias("out"))
-
-    def step(s, e):
-        base, i = F.coalesce(s["base"], e["__f___start"]), e["__f___i"]
-        cand, fut = e["__f___cand"], e["__f___fut"]
-        need = F.ceil(F.size(fut) * F.lit(0.6))
-        ready = (F.size(fut) >= validation) & (i - F.coalesce(s["last"], 1 - e["__f___cool"]) >= e["__f___cool"])
-        rise = (cand >= base + up) & (F.size(F.filter(fut, lambda v: v >= base + up * 0.6)) >= need)
-        fall = (cand <= base - down) & (F.size(F.filter(fut, lambda v: v <= base - down * 0.6)) >= need)
-        jump = ready & (rise | fall)
-        nxt = F.when(jump, cand).otherwise(base + clip(cand - base, -drift, drift))
-        item = F.struct(clip(nxt, 0, 100).alias("base"), jump.alias("moved"))
-        return F.struct(nxt.alias("base"), F.when(jump, i).otherwise(s["last"]).alias("last"),
-                        F.array_append(s["out"], item).alias("out"))
-
-    folded = _fold(d, keys, order, ["__start", "__i", "__cand", "__fut", "__cool"], zero, step,
-                   {"base": out, "moved": moved})
-    return folded.drop("__x", "__cand", "__fut", "__i", "__n", "__start", "__cool")
+
+    def step(state, first, i, cand, future, cool):
+        base, last = (first, 1 - cool) if state is None else state
+        if None in (base, cand):  # nothing known in the whole series
+            return (base, last), (base, False)
+        need = math.ceil(len(future) * 0.6)
+        ready = len(future) >= validation and i - last >= cool
+        rise = cand >= base + up and sum(v >= base + up * 0.6 for v in future) >= need
+        fall = cand <= base - down and sum(v <= base - down * 0.6 for v in future) >= need
+        jump = ready and (rise or fall)
+        base = cand if jump else base + min(max(cand - base, -drift), drift)
+        return (base, i if jump else last), (min(max(base, 0.0), 100.0), jump)
+
+    d = _carry(d, keys, order, ["__start", "__i", "__cand", "__fut", "__cool"], None, step,
+               {"__base": T.DoubleType(), "__moved": T.BooleanType()})
+    d = d.withColumn(out, F.col("__base")).withColumn(moved, F.col("__moved"))
+    return d.drop("__x", "__cand", "__fut", "__i", "__n", "__start", "__cool", "__base", "__moved")
 
 
 def regimes(df: DataFrame, keys, order, value="base_discount_pct", step: float = 0.5) -> DataFrame:
