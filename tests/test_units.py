@@ -479,3 +479,13 @@ def test_long_series_are_carried_across_batches(spark):
     assert Q.base_hysteresis(d.where("false"), ["k"], "i", "v").count() == 0
     none = spark.createDataFrame([("a", i, None) for i in range(4)], "k string, i int, v double")
     assert [(r.base, r.moved) for r in Q.rolling_base(none, ["k"], "i", "v").collect()] == [(None, False)] * 4
+
+
+def test_outlet_months_count_invoices_once(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("a", day, "12-ML", "x", 5.0), ("a", day, "12-ML", "x", 5.0), ("a", dt.date(2024, 1, 9), "12-ML", "x", 1.0), ("a", day, "12-ML", "y", None),
+            ("a", day, "12-ML", None, 30.0), ("a", dt.date(2024, 2, 1), "12-ML", "x", 2.0), (None, day, "12-ML", "z", 50.0)]
+    d = spark.createDataFrame(rows, "Outlet_ID string, Date date, Sizes string, Bill_No string, Quantity double")
+    got = {(r.Outlet_ID, r.Month): (r.Slab, r.Quantity, r.rows, r.invoices)
+           for r in S.outlet_months(d, SlabRules("define", per_size={"12-ML": (8.0, 32.0)}), ("Quantity",)).collect()}
+    assert got == {("a", day): ("slab2", 41.0, 5, 2), ("a", dt.date(2024, 2, 1)): ("slab0", 2.0, 1, 1), (None, day): ("slab0", 50.0, 1, 1)}

@@ -151,13 +151,15 @@ def slab_mix(outlet_months: DataFrame) -> DataFrame:
 
 
 def outlet_discount_variation(df: DataFrame) -> DataFrame:
-    """Every outlet of every size-slab-month cell: its discount, and how far it is from the cell's.
+    """Every outlet of every size-slab-month cell: its discount, and how far it is from the cell's. Invoices are added up
+    where the rows have their number, as those of scope.outlet_months do.
 
     Cell rates are aggregated and joined back, so a cell with very many outlets is never one task."""
     keys = ["Sizes", "Slab", "Month"]
     by = df.groupBy(*keys, "Outlet_ID").agg(
         F.sum(SALES).alias("sales_value"), F.sum(DISC).alias("total_discount"), F.sum(QTY).alias("quantity"),
-        F.sum("rows").alias("rows") if "rows" in df.columns else F.count(QTY).alias("rows"))
+        F.sum("rows").alias("rows") if "rows" in df.columns else F.count(QTY).alias("rows"),
+        *([F.sum("invoices").alias("invoices")] if "invoices" in df.columns else []))
     cell = by.groupBy(*keys).agg(F.sum("sales_value").alias("__s"), F.sum("total_discount").alias("__d"))
     cell = cell.select(*keys, ratio("__d", "__s", 100.0).alias("cell_discount_pct"))
     out = by.where("sales_value > 0").join(cell, keys)
@@ -167,9 +169,10 @@ def outlet_discount_variation(df: DataFrame) -> DataFrame:
 
 
 def variation_cells(variation: DataFrame) -> DataFrame:
-    """Outlets, invoices, rows and the mean absolute deviation of every size-slab-month cell."""
+    """Outlets, rows, invoices where known (each outlet's own), and the mean absolute deviation of every size-slab-month cell."""
+    known = [c for c in ("rows", "invoices") if c in variation.columns]
     return variation.groupBy("Sizes", "Slab", "Month").agg(
-        F.count("*").alias("outlets"), F.sum("rows").alias("rows"), F.avg("abs_deviation_pp").alias("mean_abs_deviation_pp"))
+        F.count("*").alias("outlets"), *[F.sum(c).alias(c) for c in known], F.avg("abs_deviation_pp").alias("mean_abs_deviation_pp"))
 
 
 def ranked_variation(variation: DataFrame, n: int = 100) -> DataFrame:

@@ -300,7 +300,8 @@ TWO_PACK_SIGNS = {
 
 
 def two_pack_model(size_months: DataFrame, signs: dict[str, int] = TWO_PACK_SIGNS, floor: float = 0.1):
-    """(model rows, coefficients) of total millilitres on both packs' residual, base, lag and MRP."""
+    """(model rows, coefficients) of total millilitres on both packs' residual, base, lag and MRP. The coefficients come
+    with the sign each feature is held to, and with the number and percent of months whose baseline was clipped at zero."""
     rows = stage1_residual(size_months, ["Sizes"])
     cols = ["quantity", "residual_store", "base_discount_pct", "lag1_base_discount_pct", "mrp_weighted"]
     d = pair_sizes(rows, cols).withColumns({
@@ -316,7 +317,10 @@ def two_pack_model(size_months: DataFrame, signs: dict[str, int] = TWO_PACK_SIGN
         "raw_baseline_ml": predict_quantity(signs, quiet)})
     m = m.withColumn("non_discount_baseline_ml", F.greatest("raw_baseline_ml", F.lit(0.0))).withColumn(
         "discount_impact_ml", F.col("predicted_volume_ml") - F.col("non_discount_baseline_ml"))
-    return m, coefs
+    clips = m.groupBy("model").agg(F.count_if(F.col("raw_baseline_ml") <= 0).alias("baseline_zero_clip_months"), F.count("*").alias("__n"))
+    clips = clips.withColumn("baseline_zero_clip_pct", F.col("baseline_zero_clip_months") / F.col("__n") * 100.0).drop("__n")
+    held = {f"constraint_{x}": F.lit(">=0" if s > 0 else "<=0" if s < 0 else "none") for x, s in signs.items()}
+    return m, coefs.join(clips, "model").withColumns(held)
 
 
 def ols_inference(df: DataFrame, keys, x: str, y: str) -> DataFrame:

@@ -150,6 +150,21 @@ def outlet_days(df: DataFrame, rules: SlabRules, keys=()) -> DataFrame:
     return days.withColumn("Slab", slab_of("Sizes", F.sum("Quantity").over(w), rules))
 
 
+def outlet_months(df: DataFrame, rules: SlabRules, measures=("Quantity", "SalesValue_atBasicRate", "TotalDiscount")) -> DataFrame:
+    """Sums, rows and distinct invoices per outlet, size, slab and month. Rows shrink to one per invoice first, so the
+    invoices are counted without copying rows and an outlet with very many of them is spread; rows without an invoice
+    number count as rows only. In mode "define" the slab follows from the month's own quantity."""
+    grain = ["Outlet_ID", "Sizes", "Month"] + ([] if rules.mode == "define" else ["Slab"])
+    bills = df.withColumn("Month", month_of("Date")).groupBy(*grain, "Bill_No").agg(
+        *[F.sum(c).alias(c) for c in measures], F.count("*").alias("rows"))
+    months = bills.groupBy(*grain).agg(
+        *[F.sum(c).alias(c) for c in measures], F.sum("rows").alias("rows"), F.count("Bill_No").alias("invoices"))
+    if rules.mode != "define":
+        return months
+    known = F.col("Outlet_ID").isNotNull() & F.col("Month").isNotNull()
+    return months.withColumn("Slab", slab_of("Sizes", F.when(known, F.coalesce("Quantity", F.lit(0.0))), rules))
+
+
 def step_scope(txn: DataFrame, rfm: DataFrame, segments=(), outlet_classes=(), outlet_ids=(), slabs=(),
                rules: SlabRules = SlabRules()) -> tuple[DataFrame, DataFrame]:
     """(scope, scope over all slabs). A class choice keeps outlets having any row of that class."""

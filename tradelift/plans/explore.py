@@ -120,19 +120,19 @@ def _(spark, sf):
 
 
 def variation(spark, sf):
-    t = S.outlet_days(txn(spark, sf, *CORE, "Outlet_ID").withColumn("rows", F.lit(1)), RULES).where(K.allowed_slab("Slab"))
-    return P.outlet_discount_variation(t.withColumn("Month", K.month_of("Date")))
+    t = S.outlet_months(txn(spark, sf, *CORE, "Outlet_ID", "Bill_No"), RULES)
+    return P.outlet_discount_variation(t.where(K.allowed_slab("Slab")))
 
 
 view("v_var", f"""
 SELECT v.*, round(td / s * 100, 2) AS pct, cd / cs * 100 AS cell FROM (
-  SELECT "Sizes", "Slab", "Month", "Outlet_ID", sum({SV}) AS s, sum({TD}) AS td, sum({Q_}) AS q, count(*) AS n FROM v_defined WHERE "Slab" <> 'slab0' GROUP BY ALL) v
+  SELECT "Sizes", "Slab", "Month", "Outlet_ID", sum({SV}) AS s, sum({TD}) AS td, sum({Q_}) AS q, count(*) AS n, count(DISTINCT "Bill_No") AS invoices FROM v_defined WHERE "Slab" <> 'slab0' GROUP BY ALL) v
 JOIN (SELECT "Sizes", "Slab", "Month", sum({SV}) AS cs, sum({TD}) AS cd FROM v_defined WHERE "Slab" <> 'slab0' GROUP BY ALL) USING ("Sizes", "Slab", "Month")
 """)
 
 
 @query("outlet_discount_variation", """
-SELECT "Sizes", "Slab", "Month", "Outlet_ID", round(s, 4) AS sales_value, round(td, 4) AS total_discount, round(q, 4) AS quantity, n AS rows, round(cell, 6) AS cell_discount_pct, pct AS outlet_discount_pct,
+SELECT "Sizes", "Slab", "Month", "Outlet_ID", round(s, 4) AS sales_value, round(td, 4) AS total_discount, round(q, 4) AS quantity, n AS rows, invoices, round(cell, 6) AS cell_discount_pct, pct AS outlet_discount_pct,
   round(pct - cell, 2) AS deviation_pp, abs(round(pct - cell, 2)) AS abs_deviation_pp FROM v_var
 """)
 def _(spark, sf):
@@ -140,12 +140,12 @@ def _(spark, sf):
 
 
 @query("variation_cells", """
-SELECT "Sizes", "Slab", "Month", count(*) AS outlets, CAST(sum(n) AS BIGINT) AS rows, round(sum(abs(round(pct - cell, 2))), 2) AS abs_deviation_pp FROM v_var WHERE s > 0 GROUP BY ALL
+SELECT "Sizes", "Slab", "Month", count(*) AS outlets, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(invoices) AS BIGINT) AS invoices, round(sum(abs(round(pct - cell, 2))), 2) AS abs_deviation_pp FROM v_var WHERE s > 0 GROUP BY ALL
 """)
 def _(spark, sf):
     v = P.variation_cells(variation(spark, sf))
     # the sum, since a mean of figures with two decimals is often a tie when rounded
-    return v.select("Sizes", "Slab", "Month", "outlets", "rows", F.round(F.col("mean_abs_deviation_pp") * F.col("outlets"), 2).alias("abs_deviation_pp"))
+    return v.select("Sizes", "Slab", "Month", "outlets", "rows", "invoices", F.round(F.col("mean_abs_deviation_pp") * F.col("outlets"), 2).alias("abs_deviation_pp"))
 
 
 @query("ranked_variation", """

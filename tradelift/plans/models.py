@@ -199,6 +199,22 @@ def _(spark, sf):
     return r(m.select("period", "combined_volume_ml", "predicted_volume_ml", "non_discount_baseline_ml", "r2"), 2, r2=6)
 
 
+_PACK = list(zip(X.TWO_PACK_SIGNS.items(), range(8)))
+
+
+@query("two_pack_coefficients", f"""
+SELECT {", ".join(f"round(any_value(b{i}), 3) AS coef_{x}, '{'>=0' if s > 0 else '<=0'}' AS constraint_{x}" for (x, s), i in _PACK)},
+  count(*) FILTER (WHERE intercept + b0*r12 + b1*r18 + b6*p12 + b7*p18 <= 0) AS baseline_zero_clip_months,
+  round(count(*) FILTER (WHERE intercept + b0*r12 + b1*r18 + b6*p12 + b7*p18 <= 0) * 100.0 / count(*), 6) AS baseline_zero_clip_pct
+FROM v_pair m JOIN v_pfit USING (one)
+""")
+def _(spark, sf):
+    _m, coefs = X.two_pack_model(M.size_month_frame(total_days(spark, sf)))
+    names = [x for x in X.TWO_PACK_SIGNS]
+    return coefs.select(*[F.round(f"coef_{x}", 3).alias(f"coef_{x}") for x in names], *[f"constraint_{x}" for x in names],
+                        "baseline_zero_clip_months", F.round("baseline_zero_clip_pct", 6).alias("baseline_zero_clip_pct"))
+
+
 @query("pair_sizes", """
 SELECT a.period, round(a.quantity, 4) AS quantity_12, round(b.quantity, 4) AS quantity_18 FROM v_size a JOIN v_size b USING (period) WHERE a."Sizes" = '12-ML' AND b."Sizes" = '18-ML'
 """)
