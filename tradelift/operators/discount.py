@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tradelift.functions.columns import fmt_g, month_of, number, period_of, positive_ratio, ratio, round_step, total
 from tradelift.functions.lineage import cut
-from tradelift.operators import sequence as Q
+from tradelift.operators import sequence as Q, sketches
 from tradelift.schema import BaseParams
 
 
@@ -37,9 +37,16 @@ def discount_basis(df: DataFrame) -> DataFrame:
         "dsp_sales": qty * dsp, "clp_sales": qty * clp})
 
 
-def _entity_rollup(df: DataFrame, groups, sales: str, discount: str) -> DataFrame:
+def _entity_rollup(df: DataFrame, groups, sales: str, discount: str, lg_k: int | None = None) -> DataFrame:
     """Outlets, invoices, lines and sums per group. Counting distinct in two levels (invoice, then
-    outlet) keeps every shuffle small and needs no row expansion."""
+    outlet) keeps every shuffle small and needs no row expansion. With `lg_k` both counts are estimates by
+    sketches and the fact is aggregated once, with one row per group and task in the shuffle."""
+    if lg_k is not None:
+        return df.groupBy(*groups).agg(
+            sketches.estimate("Outlet_ID", lg_k).alias("outlets"),
+            sketches.estimate(sketches.key_of("Outlet_ID", "Bill_No", "Date"), lg_k).alias("invoices"),
+            F.sum("Quantity").alias("quantity"), F.count("Quantity").alias("lines"), F.sum(sales).alias("sales_value"),
+            F.sum(discount).alias("total_discount"), F.min("Quantity").alias("min_qty"), F.max("Quantity").alias("max_qty"))
     bills = df.groupBy(*groups, "Outlet_ID", "Bill_No", "Date").agg(
         F.sum("Quantity").alias("q"), F.count("Quantity").alias("lines"), F.sum(sales).alias("s"),
         F.sum(discount).alias("d"), F.min("Quantity").alias("lo"), F.max("Quantity").alias("hi"))
@@ -68,8 +75,9 @@ def _rates(df: DataFrame):
     }
 
 
-def slab_summary(basis: DataFrame, sales="dsp_sales", discount="scheme_amount") -> DataFrame:
-    r = _entity_rollup(basis, ["Sizes", "Slab"], sales, discount)
+def slab_summary(basis: DataFrame, sales="dsp_sales", discount="scheme_amount", lg_k: int | None = None) -> DataFrame:
+    """Totals, rates and shares per size and slab. Outlets and invoices are exact unless `lg_k` is given (`sketches`)."""
+    r = _entity_rollup(basis, ["Sizes", "Slab"], sales, discount, lg_k)
     return r.withColumns(_rates(r) | {
         "slab_label": slab_label(),
         "invoice_contribution_pct": F.round(positive_ratio("invoices", total("invoices"), 100.0, 0.0), 2),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tradelift.functions.columns import allowed_slab, fiscal_label, fmt_g, month_of, outlet_group, positive_ratio, ratio, total
-from tradelift.operators import sequence as Q
+from tradelift.operators import sequence as Q, sketches
 from tradelift.operators.fit import constrained_ridge
 
 SALES, QTY, DISC = "SalesValue_atBasicRate", "Quantity", "TotalDiscount"
@@ -125,18 +125,21 @@ def subcat_sections(df: DataFrame, k: int = 12) -> DataFrame:
         "volume_pct": positive_ratio("quantity", "__q", 100.0, 0.0)}).drop("__s", "__q")
 
 
-def scope_summary(df: DataFrame) -> DataFrame:
+def scope_summary(df: DataFrame, lg_k: int | None = None) -> DataFrame:
     """Rows, distinct outlets, bills, products and brands, span and totals.
 
     One pass yields (name, value) pairs that combine before they shuffle, a second the plain totals; a
-    direct multi-column distinct count would copy every row once per column."""
+    direct multi-column distinct count would copy every row once per column. With `lg_k` the distinct counts
+    are estimates by sketches (`sketches`), in one pass."""
     named = {"total_outlets": "Outlet_ID", "total_bills": "Bill_No", "distinct_products": "Sku_Code", "distinct_brands": "Brand"}
+    totals = [F.count("*").alias("total_rows"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"),
+              F.sum(SALES).alias("total_sales_value"), F.sum(QTY).alias("total_quantity")]
+    if lg_k is not None:
+        return df.agg(*totals, *[sketches.estimate(c, lg_k).alias(n) for n, c in named.items()]).withColumn("days", F.datediff("last_date", "first_date"))
     pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).cast("string").alias("v")) for n, c in named.items()])
     seen = df.select(F.explode(pairs).alias("p")).select("p.n", "p.v").where("v IS NOT NULL").distinct().groupBy("n").agg(F.count("*").alias("k"))
     counts = seen.agg(F.struct(*[F.coalesce(F.max(F.when(F.col("n") == n, F.col("k"))), F.lit(0)).alias(n) for n in named])).scalar()
-    plain = df.agg(F.count("*").alias("total_rows"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"),
-                   F.sum(SALES).alias("total_sales_value"), F.sum(QTY).alias("total_quantity"))
-    return plain.select("*", *[counts[n].alias(n) for n in named], F.datediff("last_date", "first_date").alias("days"))
+    return df.agg(*totals).select("*", *[counts[n].alias(n) for n in named], F.datediff("last_date", "first_date").alias("days"))
 
 
 def slab_mix(outlet_months: DataFrame) -> DataFrame:

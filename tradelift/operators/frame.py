@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tradelift.functions.columns import month_of, positive_ratio, ratio, slab_number
-from tradelift.operators import discount as D, sequence as Q
+from tradelift.operators import discount as D, ranking, sequence as Q
 from tradelift.schema import BaseParams
 
 GROUP = ["Sizes", "Slab"]
@@ -13,9 +13,8 @@ GROUP = ["Sizes", "Slab"]
 
 def slab_order(df: DataFrame, slab: str = "Slab") -> DataFrame:
     """Adds the position of each slab when ordered by the number in its text."""
-    n = slab_number(slab)
-    return df.withColumn("position", F.row_number().over(
-        Window.partitionBy(F.lit(1)).orderBy(F.coalesce(n, F.lit(2**31 - 1)), F.lower(slab))))
+    keyed = df.withColumns({"__number": F.coalesce(slab_number(slab), F.lit(2**31 - 1)), "__text": F.lower(slab)})
+    return ranking.numbered(keyed, [("__number", False, False), ("__text", False, False)], "position").drop("__number", "__text")
 
 
 def month_totals(outlet_days: DataFrame, keys=GROUP, discount="scheme_amount", sales="dsp_sales") -> DataFrame:

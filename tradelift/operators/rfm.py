@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tradelift.functions.columns import positive_ratio, total
 from tradelift.functions.lineage import cut
+from tradelift.operators import ranking, sketches
 from tradelift.schema import SEGMENTS, RfmParams
 
 ORDER_KEYS = ["Outlet_ID", "Date", "Bill_No", "Final_State"]
@@ -27,8 +28,9 @@ def order_level(txn: DataFrame) -> DataFrame:
     )
 
 
-def _outlet_level(txn: DataFrame) -> DataFrame:
-    """One pass over the fact: order statistics and plain totals per outlet and state."""
+def _outlet_level(txn: DataFrame, lg_k: int | None = None) -> DataFrame:
+    """One pass over the fact: order statistics and plain totals per outlet and state. With `lg_k` the order days
+    are an estimate by a sketch."""
     orders = txn.groupBy(*ORDER_KEYS).agg(
         F.sum("Net_Amt").alias("net"), F.sum("SalesValue_atBasicRate").alias("sales")
     )
@@ -37,7 +39,7 @@ def _outlet_level(txn: DataFrame) -> DataFrame:
     return orders.groupBy("Outlet_ID", "Final_State").agg(
         F.min(day).alias("first_order"),
         F.max(day).alias("last_order"),
-        F.count_distinct(day).alias("unique_order_days"),
+        (F.count_distinct(day) if lg_k is None else sketches.estimate(F.datediff(day, F.lit("1970-01-01")), lg_k)).alias("unique_order_days"),
         F.count(day).alias("orders_count"),
         F.avg(net).alias("AOV"),
         F.max("Date").alias("any_last"),
@@ -114,7 +116,7 @@ def recency_frequency(txn: DataFrame, params: RfmParams = RfmParams()) -> DataFr
     Total_Net_Amt and Total_Sales are the outlet's totals over all its states, Scope_Sales the whole
     scope's."""
     # The fact is read once: everything below works on one row per outlet and state.
-    level = cut(_outlet_level(txn))
+    level = cut(_outlet_level(txn, params.sketch_bits))
     scope = level.agg(F.struct(F.max("any_last").alias("newest"), F.sum("state_sales").alias("sales"))).scalar()
     outlet = Window.partitionBy("Outlet_ID")
     recency = F.datediff(scope["newest"], F.col("last_order"))
@@ -220,22 +222,27 @@ def outlet_search(rfm: DataFrame, term: str) -> DataFrame:
     return rfm.where(hit)
 
 
-def _ordering(sort_key: str, descending: bool):
+def _order(sort_key: str, descending: bool):
     c = SORT_KEYS.get((sort_key or "").lower(), "Total_Net_Amt")
-    first = F.desc_nulls_last(c) if descending else F.asc_nulls_last(c)
-    return [first, F.asc("Outlet_ID"), F.asc("Final_State")]
+    return [(c, descending, True), ("Outlet_ID", False, False), ("Final_State", False, False)]
+
+
+def _ordering(sort_key: str, descending: bool):
+    return ranking.sort_columns(_order(sort_key, descending))
 
 
 def sort_page(rfm: DataFrame, sort_key="total_net_amt", descending=True, page=1, page_size=20) -> DataFrame:
     """One page of the listing; the page number is clamped to the last page.
 
-    Counting is one aggregate; the page itself is a top-(offset + size), never a full sort."""
+    The listing is computed once and counted; the page is found by order statistics (`ranking.page`), so a page deep in
+    a long listing sorts and moves about the rows of the page."""
     size = max(1, int(page_size))
+    rfm = cut(rfm)
     n = rfm.count()
     pages = max(1, -(-n // size))
     number = min(max(1, int(page)), pages)
     return (
-        rfm.orderBy(*_ordering(sort_key, descending)).offset((number - 1) * size).limit(size)
+        ranking.page(rfm, _order(sort_key, descending), (number - 1) * size, size, n)
         .withColumn("total_rows", F.lit(n)).withColumn("total_pages", F.lit(pages))
         .withColumn("page", F.lit(number))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradelift.functions.columns import delta_pct, delta_pct_abs, half_even, positive_ratio, slab_number
 from tradelift.functions.lineage import cut
-from tradelift.operators import forecast as O, ladder as L, sequence as Q
+from tradelift.operators import forecast as O, ladder as L, ranking, sequence as Q
 from tradelift.operators.fit import OTHER
 from tradelift.schema import LADDER_MAX, LADDER_MIN
 
@@ -242,12 +242,10 @@ def scenario_thresholds(metrics: DataFrame, min_volume=None, min_pack_volume: di
 
 
 def rank_scenarios(totals: DataFrame, metric: str = "revenue") -> DataFrame:
-    """`rank` from 1 by the metric, then revenue, margin and volume, all falling; ties by scenario id. Scenarios of one
-    request, of which there are thousands at most, are ranked in one task."""
+    """`rank` from 1 by the metric, then revenue, margin and volume, all falling; ties by scenario id."""
     by = {"volume": "vs_reference_ml_pct", "profit": "net_margin_points", "revenue": "vs_reference_revenue_gross_pct"}
     cols = [by[metric], by["revenue"], by["profit"], by["volume"]]
-    order = Window.partitionBy(F.lit(1)).orderBy(*[F.desc_nulls_last(c) for c in dict.fromkeys(cols)], F.asc("scenario_id"))
-    return totals.withColumn("rank", F.row_number().over(order))
+    return ranking.numbered(totals, [*[(c, True, True) for c in dict.fromkeys(cols)], ("scenario_id", False, False)])
 
 
 def cell_bounds(values: DataFrame, bounds: DataFrame) -> DataFrame:

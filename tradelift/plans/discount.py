@@ -1,9 +1,12 @@
 """Slab, period, base depth and month frame queries."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tradelift.functions import columns as K
-from tradelift.operators import discount as D, frame as M, scope as S, sequence as Q
+from tradelift.functions.lineage import cut
+from tradelift.operators import discount as D, frame as M, scope as S, sequence as Q, sketches
 from tradelift.plans.fixtures import txn
 from tradelift.plans.registry import query, view
 from tradelift.plans.scope import RULES
@@ -113,6 +116,32 @@ def _(spark, sf):
     return r(D.slab_summary(D.discount_basis(txn(spark, sf, *BASIS, "Bill_No", "Slab"))))
 
 
+@query("approx_slab_summary", """
+SELECT "Sizes", "Slab", count(DISTINCT "Outlet_ID") AS outlets, count(DISTINCT "Outlet_ID" || '|' || "Bill_No" || '|' || "Date") AS invoices, round(sum("Quantity"), 4) AS quantity,
+  round(sum(dsp_amt), 4) AS sales_value, TRUE AS outlets_within, TRUE AS invoices_within
+FROM v_tb GROUP BY "Sizes", "Slab"
+""")
+def _(spark, sf):
+    basis = D.discount_basis(txn(spark, sf, *BASIS, "Bill_No", "Slab"))
+    near = D.slab_summary(basis, lg_k=sketches.LG_K).select("Sizes", "Slab", F.col("outlets").alias("o"), F.col("invoices").alias("i"), "quantity", "sales_value")
+    both = D.slab_summary(basis).select("Sizes", "Slab", "outlets", "invoices").join(near, ["Sizes", "Slab"])
+    return r(both.select("Sizes", "Slab", "outlets", "invoices", "quantity", "sales_value",
+                         sketches.within("o", "outlets").alias("outlets_within"), sketches.within("i", "invoices").alias("invoices_within")))
+
+
+@query("merged_month_sketches", """
+SELECT "Sizes", count(*) AS rows, count(DISTINCT "Outlet_ID") AS outlets, TRUE AS within, TRUE AS same
+FROM txn WHERE "Date" >= DATE '1994-03-01' AND "Date" < DATE '1996-08-01' GROUP BY 1
+""")
+def _(spark, sf):
+    t = txn(spark, sf, "Date", "Sizes", "Outlet_ID")
+    months = cut(sketches.month_sketches(t, {"o": "Outlet_ID"}, ["Sizes"]))
+    near = sketches.merged(months, ["o"], ["Sizes"], dt.date(1994, 3, 1), dt.date(1996, 7, 1))
+    whole = t.where("Date >= DATE '1994-03-01' AND Date < DATE '1996-08-01'").groupBy("Sizes").agg(
+        F.count_distinct("Outlet_ID").alias("outlets"), sketches.estimate("Outlet_ID").alias("w"))
+    return near.join(whole, "Sizes").select("Sizes", "rows", "outlets", sketches.within("o", "outlets").alias("within"), (F.col("o") == F.col("w")).alias("same"))
+
+
 @query("slab_label", """
 SELECT "Slab", "Slab" || ' (Qty ' || CAST(CAST(min("Quantity") AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(max("Quantity") AS BIGINT) AS VARCHAR) || ')' AS label FROM v_defined GROUP BY 1
 """)

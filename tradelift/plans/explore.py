@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tradelift.functions import columns as K
-from tradelift.operators import discount as D, explore as P, frame as M, scope as S
+from tradelift.operators import discount as D, explore as P, frame as M, scope as S, sketches
 from tradelift.plans.discount import BASIS, defined_days, month_frame, r
 from tradelift.plans.fixtures import txn
 from tradelift.plans.registry import query, view
@@ -110,6 +110,18 @@ def _(spark, sf):
     return r(P.scope_summary(txn(spark, sf, "Date", "Outlet_ID", "Bill_No", "Sku_Code", "Brand", P.SALES, P.QTY)), 2)
 
 
+@query("approx_scope_summary", """
+SELECT count(*) AS total_rows, count(DISTINCT "Outlet_ID") AS total_outlets, count(DISTINCT "Bill_No") AS total_bills, count(DISTINCT "Sku_Code") AS distinct_products,
+  TRUE AS outlets_within, TRUE AS bills_within, TRUE AS products_within FROM txn
+""")
+def _(spark, sf):
+    t = txn(spark, sf, "Date", "Outlet_ID", "Bill_No", "Sku_Code", "Brand", P.SALES, P.QTY)
+    named = {"total_outlets": "outlets_within", "total_bills": "bills_within", "distinct_products": "products_within"}
+    near = P.scope_summary(t, sketches.LG_K).select("total_rows", *[F.col(c).alias(f"near_{c}") for c in named])
+    both = P.scope_summary(t).select("total_rows", *named).join(near, "total_rows")
+    return both.select("total_rows", *named, *[sketches.within(f"near_{c}", c).alias(w) for c, w in named.items()])
+
+
 @query("slab_mix", """
 SELECT "Sizes", "Slab", count(*) AS outlet_months, count(DISTINCT "Outlet_ID") AS unique_outlets, round(sum(mq), 4) AS quantity, round(sum(mq) / sum(sum(mq)) OVER (PARTITION BY "Sizes") * 100, 2) AS quantity_pct
 FROM (SELECT DISTINCT "Sizes", "Outlet_ID", "Month", "Slab", mq FROM v_defined WHERE "Slab" <> 'slab0') GROUP BY 1, 2

@@ -1,9 +1,12 @@
 """Segmentation queries."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tradelift.functions import columns as K
-from tradelift.operators import rfm as R
+from tradelift.functions.lineage import cut
+from tradelift.operators import ranking, rfm as R, sketches
 from tradelift.plans.fixtures import txn
 from tradelift.plans.registry import query, view
 from tradelift.schema import RfmParams
@@ -169,6 +172,34 @@ def _(spark, sf):
                     *[F.col(c).cast("bigint").alias(c) for c in ("total_rows", "total_pages", "page")])
 
 
+@query("numbered_outlets", """
+SELECT "Outlet_ID", "Final_State", row_number() OVER (ORDER BY recency_days DESC NULLS LAST, "Outlet_ID", "Final_State") AS place FROM v_rfm
+""")
+def _(spark, sf):
+    order = [("Recency_days", True, True), ("Outlet_ID", False, False), ("Final_State", False, False)]
+    return ranking.numbered(outlets(spark, sf), order, "place").select("Outlet_ID", "Final_State", "place")
+
+
+@query("deep_page", """
+SELECT "Outlet_ID", "Final_State", orders_count FROM v_rfm
+QUALIFY row_number() OVER (ORDER BY orders_count, "Outlet_ID", "Final_State") BETWEEN count(*) OVER () // 2 + 1 AND count(*) OVER () // 2 + 20
+""")
+def _(spark, sf):
+    # A low bound of rows to sort, so that the tables of every scale are narrowed.
+    rows = cut(outlets(spark, sf).select("Outlet_ID", "Final_State", "orders_count"))
+    n = rows.count()
+    return ranking.page(rows, [("orders_count", False, True), ("Outlet_ID", False, False), ("Final_State", False, False)], n // 2, 20, n, direct=100)
+
+
+@query("approx_order_days", """
+SELECT "Outlet_ID", "Final_State", unique_order_days, TRUE AS within FROM v_rfm
+""")
+def _(spark, sf):
+    keys = ["Outlet_ID", "Final_State"]
+    near = R.rfm_outlets(txn(spark, sf, *FACT), replace(PARAMS, sketch_bits=sketches.LG_K)).select(*keys, F.col("unique_order_days").alias("days"))
+    return outlets(spark, sf).join(near, keys).select(*keys, "unique_order_days", sketches.within("days", "unique_order_days").alias("within"))
+
+
 @query("export_outlets", """
 SELECT "Outlet_ID", "Final_State" AS "State", segment AS "RFM_Segment", round(total_net, 4) AS "Total_Net_Amt",
        orders_count AS "Orders", CAST(round(CAST(aov AS DECIMAL(38,8)), 4) AS DOUBLE) AS "AOV", recency_days AS "Recency_Days",

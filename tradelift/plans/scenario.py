@@ -248,7 +248,7 @@ SELECT scenario_id, CAST(row_number() OVER (ORDER BY margin DESC NULLS LAST, vr
 """)
 def _(spark, sf):
     t = C.rank_scenarios(Base(spark, sf).metrics().where("Sizes = 'TOTAL'"), "profit")
-    return r(t.select("scenario_id", "rank", "net_margin_points", F.col("vs_reference_revenue_gross_pct").alias("revenue_pct")), 5)
+    return r(t.select("scenario_id", F.col("rank").cast("int").alias("rank"), "net_margin_points", F.col("vs_reference_revenue_gross_pct").alias("revenue_pct")), 5)
 
 
 @query("cell_bounds", """

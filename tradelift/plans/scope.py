@@ -382,7 +382,7 @@ FROM (SELECT "Slab", count(*) AS n FROM v_defined GROUP BY 1)
 def _(spark, sf):
     from tradelift.operators.frame import slab_order
     t = S.assign_slabs(txn(spark, sf, "Outlet_ID", "Date", "Sizes", "Quantity"), RULES)
-    return slab_order(t.groupBy("Slab").agg(F.count("*").alias("n")))
+    return slab_order(t.groupBy("Slab").agg(F.count("*").alias("n"))).withColumn("position", F.col("position").cast("int"))
 
 
 def stored(spark, sf, *columns):

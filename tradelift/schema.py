@@ -56,6 +56,8 @@ class Filters:
 class RfmParams:
     recency_days: int = 90
     frequency_threshold: int = 20
+    #: Register bits of a sketch that estimates the order days of an outlet; None counts them.
+    sketch_bits: int | None = None
 
     def __post_init__(self):
         if self.recency_days < 0 or self.frequency_threshold < 1:
