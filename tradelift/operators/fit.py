@@ -18,6 +18,8 @@ OTHER = "other_slabs_weighted_base_discount_pct"
 CROSS_SIGNS = {"residual_store": 1, "base_discount_pct": 1, "lag1_base_discount_pct": -1, OTHER: -1}
 TACTICAL_SIGNS = {"residual_store": 1, "base_discount_pct": 1, "tactical_discount_pct": 1, "lag1_base_discount_pct": -1}
 MIN_MONTHS = 3
+#: Bounded coefficients up to which a fit tries every set of them.
+ENUMERATED = 6
 
 
 def standardize(cov, cxy, mean):
@@ -33,7 +35,68 @@ def standardize(cov, cxy, mean):
 def solve_signed(C, c, lam, signs):
     """Minimises w'(C + lam I)w - 2c'w with w_i >= 0, <= 0 or free by signs[i], for B problems.
 
-    The optimum solves the free system of some set of coordinates held at zero. Every such set is
+    Up to `ENUMERATED` bounded coordinates every set of them is tried, beyond that sets are improved step by step. Both end at the
+    optimum, which is one point where lam > 0; where lam is 0 and columns depend on each other, at one of the optima."""
+    return (_enumerated if np.count_nonzero(signs) <= ENUMERATED else _active)(C, c, lam, signs)
+
+
+def _on_set(M, c, free, singular):
+    """Solutions of the systems restricted to the free coordinates of each problem, zero elsewhere."""
+    A, rhs = M * free[:, :, None] * free[:, None, :], c * free
+    w = np.empty_like(c)
+    if (~singular).any():
+        k = ~singular
+        w[k] = np.linalg.solve(A[k] + np.eye(c.shape[1]) * (1.0 - free[k])[:, None, :], rhs[k][..., None])[..., 0]
+    if singular.any():
+        w[singular] = np.einsum("bij,bj->bi", np.linalg.pinv(A[singular], rcond=1e-12, hermitian=True), rhs[singular])
+    return w
+
+
+def _active(C, c, lam, signs):
+    """Active sets, all problems side by side: one batched solve a step. A coordinate that would lower the objective most is
+    set free; if that drives others past their bound, the step stops at the first bound met and those coordinates are held again. A
+    problem ends when no held coordinate would help. The objective falls with every set left, so no set comes twice."""
+    sign = np.asarray(signs, dtype=float)
+    bounded, turn = sign != 0, np.where(sign < 0, -1.0, 1.0)
+    p = len(sign)
+    M, c = (C + lam[:, None, None] * np.eye(p)) * turn[:, None] * turn, c * turn
+    w, free = np.zeros_like(c), np.repeat((~bounded).astype(float)[None], len(c), axis=0)
+    barred, added = np.zeros(c.shape, dtype=bool), np.full(len(c), -1)
+    level = 1e-12 * np.maximum(1.0, np.abs(c).max(axis=1, initial=0.0))
+    live = np.arange(len(c))
+    for _ in range(100 * (p + 1)):
+        if not len(live):
+            return w * turn
+        z = _on_set(M[live], c[live], free[live], lam[live] <= 0)
+        past = bounded & (free[live] > 0) & (z <= 0)
+        stuck = past.any(axis=1)
+        k, zk, over = live[stuck], z[stuck], past[stuck]
+        if len(k):
+            gap = np.where(over, w[k] - zk, 1.0)
+            part = np.where(over, np.where(gap > 0, w[k] / np.where(gap > 0, gap, 1.0), 0.0), np.inf)
+            step = part.min(axis=1)
+            w[k] += step[:, None] * (zk - w[k])
+            leave = over & (part <= step[:, None])
+            w[k] = np.where(leave, 0.0, w[k])
+            free[k] = np.where(leave, 0.0, free[k])
+            # What was freed last and is held again at once gained nothing but rounding: not tried again until the point moves.
+            barred[k] = (barred[k] & (step <= 0)[:, None]) | (leave & (np.arange(p) == added[k][:, None]) & (step <= 0)[:, None])
+        k = live[~stuck]
+        done = np.zeros(len(live), dtype=bool)
+        if len(k):
+            w[k] = z[~stuck]
+            gain = np.where(bounded & (free[k] == 0) & ~barred[k], c[k] - np.einsum("bij,bj->bi", M[k], w[k]), -np.inf)
+            top = gain.argmax(axis=1)
+            more = gain[np.arange(len(k)), top] > level[k]
+            free[k[more], top[more]] = 1.0
+            added[k[more]] = top[more]
+            done[~stuck] = ~more
+        live = live[~done]
+    raise ArithmeticError(f"{len(live)} signed regressions did not settle")
+
+
+def _enumerated(C, c, lam, signs):
+    """The optimum solves the free system of some set of coordinates held at zero. Every such set is
     tried at once for all problems and the best result that obeys the signs is taken."""
     B, p = c.shape
     M = C + lam[:, None, None] * np.eye(p)
@@ -44,14 +107,7 @@ def solve_signed(C, c, lam, signs):
     for held in product([0.0, 1.0], repeat=len(bounded)):
         free = np.ones(p)
         free[bounded] = 1.0 - np.asarray(held)
-        rhs = c * free
-        A = M * free[:, None] * free[None, :]
-        w = np.empty((B, p))
-        if (~singular).any():
-            k = ~singular
-            w[k] = np.linalg.solve(A[k] + np.diag(1.0 - free), rhs[k][..., None])[..., 0]
-        if singular.any():
-            w[singular] = np.einsum("bij,bj->bi", np.linalg.pinv(A[singular], rcond=1e-12, hermitian=True), rhs[singular])
+        w = _on_set(M, c, np.repeat(free[None], B, axis=0), singular)
         f = np.einsum("bi,bij,bj->b", w, M, w) - 2.0 * np.einsum("bi,bi->b", c, w)
         ok = (w * sign >= -1e-10).all(axis=1) & (f < best_f - 1e-13 * np.maximum(1.0, np.abs(best_f, where=np.isfinite(best_f), out=np.ones(B))))
         best[ok], best_f[ok] = w[ok], f[ok]
