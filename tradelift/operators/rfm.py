@@ -48,23 +48,33 @@ def _outlet_level(txn: DataFrame, lg_k: int | None = None) -> DataFrame:
     )
 
 
+#: Cells of the log scale per unit, as a power of two, and bits of a cell's number inside its block.
+CELL_BITS, BLOCK_BITS = 20, 10
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    """Adds the means on both sides of a cut after (ln, ls) of (tn, ts), and the part of the variance between them, times tn squared."""
+    rn = F.col("tn") - F.col("ln")
+    return df.withColumns({"lm": F.col("ls") / F.col("ln"), "rm": F.when(rn > 0, (F.col("ts") - F.col("ls")) / rn)}).withColumn(
+        "between", F.col("ln") * rn * F.pow(F.col("rm") - F.col("lm"), F.lit(2.0)))
+
+
 def monetary_cut(outlets: DataFrame, value: str = "AOV") -> DataFrame:
     """One row (n, threshold, median) that splits log1p(value) into two clusters.
 
     In one dimension the best two clusters are the two sides of one cut, so every cut is scored
-    from prefix counts and sums. Outlets first collapse into cells 2^-20 wide on the log scale
-    (values that agree to one part in a million share a cell), cells are cumulated inside blocks
-    2^-10 wide, and blocks in one window. Cells and blocks are bounded by the value range, not by
+    from prefix counts and sums. Outlets first collapse into cells 2^-20 wide on the log scale, cells are cumulated inside
+    blocks 2^-10 wide, and blocks in one window. Cells and blocks are bounded by the value range, not by
     the number of outlets: a block has at most 1,024 cells and there are some ten thousand blocks.
-    The threshold lies halfway between the cluster means, where nearest-centre assignment changes.
+    Cuts inside a cell are scored too wherever they could beat the best cut between cells: from a cell's ends follows a bound on
+    what its inner cuts can reach, and only cells that pass it are opened, value by value. Equal values always stay
+    together; of cuts alike in score the lowest is taken. The threshold lies halfway between the cluster means, where
+    nearest-centre assignment changes. The median counts below ten outlets only and is null otherwise.
     """
-    x = F.log1p(F.when(F.col(value) > -1, F.col(value)))
-    cells = (
-        outlets.select(F.col(value).alias("v"), x.alias("x")).where("v IS NOT NULL")
-        .groupBy(F.floor(F.coalesce(F.col("x"), F.lit(-1.0)) * 1048576).alias("cell"))
-        .agg(F.count("*").alias("n"), F.sum(F.coalesce("x", F.lit(-1.0))).alias("s"), F.sum("v").alias("v"))
-        .withColumn("block", F.shiftright("cell", 10))
-    )
+    x = F.coalesce(F.log1p(F.when(F.col(value) > -1, F.col(value))), F.lit(-1.0))
+    known = outlets.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), x.alias("x")).withColumn("cell", F.floor(F.col("x") * (1 << CELL_BITS)))
+    cells = known.groupBy("cell").agg(
+        F.count("*").alias("n"), F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("block", F.shiftright("cell", BLOCK_BITS))
     blocks = cells.groupBy("block").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     every = Window.partitionBy(F.lit(1))
     prior = every.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,28 +84,37 @@ def monetary_cut(outlets: DataFrame, value: str = "AOV") -> DataFrame:
         F.sum("n").over(every).alias("tn"), F.sum("s").over(every).alias("ts"),
     )
     inside = Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    ln, ls = F.col("cn") + F.col("bn"), F.col("cs") + F.col("bs")
-    rn = F.col("tn") - ln
-    scored = (
-        cells.withColumns({"cn": F.sum("n").over(inside), "cs": F.sum("s").over(inside)}).join(blocks, "block")
-        .withColumns({"ln": ln, "rn": rn, "lm": ls / ln, "rm": F.when(rn > 0, (F.col("ts") - ls) / rn)})
-        .withColumn("between", F.col("ln") * F.col("rn") * F.pow(F.col("rm") - F.col("lm"), F.lit(2.0)))
-    )
-    return scored.agg(
-        F.max("tn").alias("n"),
-        F.max_by((F.col("lm") + F.col("rm")) / 2, F.struct("between", -F.col("cell"))).alias("threshold"),
-        F.percentile(F.when(F.col("tn") < 10, F.col("v") / F.col("n")), F.lit(0.5), F.col("n")).alias("median"),
-    )
+    ends = cut(_scored(cells.join(blocks, "block").withColumns({
+        "ln": F.sum("n").over(inside) + F.col("bn"), "ls": F.sum("s").over(inside) + F.col("bs")})))
+    best = ends.agg(F.coalesce(F.max("between"), F.lit(0.0))).scalar()
+    # With D = ls - ln * mean a cut scores (D * tn)^2 / (ln * rn). Inside a cell D moves from one end's to the other's, turning at most
+    # once, by less than the cell's width for each row; ln * rn is least at an end.
+    off = lambda ln, ls: F.abs(ls - ln * F.col("ts") / F.col("tn"))
+    ln0, ls0 = F.col("ln") - F.col("n"), F.col("ls") - F.col("s")
+    reach = F.greatest(off(F.col("ln"), F.col("ls")), off(ln0, ls0)) + F.col("n") * 2.0 ** -CELL_BITS
+    weight = F.least((ln0 + 1) * (F.col("tn") - ln0 - 1), (F.col("ln") - 1) * (F.col("tn") - F.col("ln") + 1))
+    bound = F.pow(reach * F.col("tn"), F.lit(2.0)) / F.greatest(weight, F.lit(1))
+    open_cells = ends.where((F.col("lo") < F.col("hi")) & (bound >= best)).select("cell", ln0.alias("n0"), ls0.alias("s0"), "tn", "ts")
+    values = known.join(open_cells, "cell").groupBy("cell", "x").agg(
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n0", "s0", "tn", "ts")])
+    upto = Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    inner = _scored(values.withColumns({
+        "ln": F.sum("n").over(upto) + F.col("n0"), "ls": F.sum(F.col("x") * F.col("n")).over(upto) + F.col("s0")}))
+    taken = ["tn", "lm", "rm", "between"]
+    few = known.limit(10).agg(F.percentile("v", F.lit(0.5))).scalar()
+    out = ends.select(*taken, F.col("hi").alias("x")).unionByName(inner.select(*taken, "x")).agg(
+        F.max("tn").alias("n"), F.max_by((F.col("lm") + F.col("rm")) / 2, F.struct("between", -F.col("x"))).alias("threshold"))
+    return out.withColumn("median", F.when(F.col("n") < 10, few))
 
 
 def monetary_split(outlets: DataFrame) -> DataFrame:
     """Adds M_label and M_cluster_id. Under ten valued outlets the median decides."""
-    cut = monetary_cut(outlets).select(F.struct("n", "threshold", "median").alias("cut")).scalar()
+    split = monetary_cut(outlets).select(F.struct("n", "threshold", "median").alias("split")).scalar()
     aov = F.col("AOV")
-    clustered = F.coalesce(cut["n"], F.lit(0)) >= 10
+    clustered = F.coalesce(split["n"], F.lit(0)) >= 10
     # A value at or below -1 has no logarithm and stays on the low side.
     x = F.log1p(F.when(aov > -1, aov))
-    high = F.when(clustered, F.coalesce(x > cut["threshold"], F.lit(False))).otherwise(aov >= cut["median"])
+    high = F.when(clustered, F.coalesce(x > split["threshold"], F.lit(False))).otherwise(aov >= split["median"])
     return outlets.withColumn(
         "M_label", F.when(aov.isNull(), None).when(high, "High").otherwise("Low")
     ).withColumn(
