@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tradelift.functions.lineage import cut
 
 #: Keys that a narrowing step draws (expected number), and rows that are sorted without another one.
-DRAWN, DIRECT = 4_000, 10_000
+DRAWN, DIRECT = 4_000, 50_000
 #: Bits of a monotonic id that number the rows of one partition.
 ROW_BITS = 33
 
