@@ -342,14 +342,15 @@ def wh_share(df: DataFrame, keys=("Final_State", "Sizes", "Slab")) -> DataFrame:
 
 
 def discount_corr(df: DataFrame, keys, target: str, features) -> DataFrame:
-    """Correlation of each feature with the target per group; nothing for flat or single rows."""
+    """Correlation of each feature with the target per group; nothing for flat or single rows. Spark's own `corr` divides by the
+    deviations of a flat group before any condition on its result, which is an error under ANSI rules."""
     t = F.col(target).cast("double")
     aggs = []
     for f in features:
         x = F.when(t.isNotNull(), F.col(f).cast("double"))
         y = F.when(F.col(f).isNotNull(), t)
         live = (F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= 2) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
-        aggs.append(F.when(live, F.corr(x, y)).alias(f"corr_{f}"))
+        aggs.append(F.when(live, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(f"corr_{f}"))
     return df.groupBy(*keys).agg(*aggs)
 
 
