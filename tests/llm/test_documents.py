@@ -188,6 +188,31 @@ def test_near_copies_leave_one_and_clean_documents_stay(frame):
     assert sum(101 + 2 * k not in ids for k in range(20)) >= 18
 
 
+def test_stage_of_near_copies_links_by_fingerprint(frame, spark):
+    import corpus_pipeline
+    rng = random.Random(12)
+    rows = []
+    for k in range(25):
+        w = words(rng, 300, 0, 100000).split()
+        for i in range(4):
+            rows.append((100 + 4 * k + rng.randrange(4), " ".join(w)))
+            w[rng.randrange(len(w))] = "other"
+    run = " ".join(f"r{i}" for i in range(5))
+    rows += [(3000 + i, (run + " ") * 300 + words(rng, 20, 0, 100000)) for i in range(5)]  # alike in fingerprint, not in their sets of shingles
+    rows += [(7, "one"), (7, "an id with two texts"), (8, "an id with two texts"), (9, None), (10, " "), (None, "no id"), (None, "no id"), (11, "same"), (11, "same")]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    top = plain_components({v for v, (i, _) in zip(fps, rows) if i is not None})
+    first = {}
+    for i, ((a, _), v) in enumerate(zip(rows, fps)):
+        if a is not None:
+            first[top[v]] = min(first.get(top[v], (a, i)), (a, i))
+    want = Counter([rows[i] for _, i in first.values()] + [r for r in rows if r[0] is None])
+    assert 30 < sum(want.values()) < len(rows)
+    out = corpus_pipeline.drop_near_copies(spark, frame(rows), "")
+    assert out.columns == frame([]).columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    assert corpus_pipeline.drop_near_copies(spark, frame([]), "").count() == 0
+
+
 def plain_shingles(text):
     w = (text or "").lower().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tradelift.llm import similar
-from tradelift.llm.common import Groups, components, cut, forest, partitions
+from tradelift.llm.common import Groups, components, cut, forest, fresh, partitions
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -293,6 +293,21 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def distinct(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """The rows of `docs`, with all columns, that have the smallest doc_id of their class, one for each class of `classes`; rows without an id stay.
+    Rows are numbered once, so rows that repeat an id, with equal or other texts, are told apart; the number stands for the id in `classes`."""
+    (row,) = fresh(docs, "__row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = cut(classes(numbered.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text"), scheme).select(F.col("doc_id").alias("row"), "component_id"))
+    ids = numbered.where("doc_id is not null").select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    # rows alone in their class are most of all and need no minimum
+    shared = found.groupBy("component_id").agg(F.count("*").alias("many")).where("many > 1").select("component_id")
+    several = cut(found.join(shared, "component_id").join(ids, "row"))
+    keep = several.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("keep"))
+    gone = several.join(keep, "component_id").where("row <> keep.row").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """See `similar.representatives`: candidates by MinHash, links by the exact similarity of five-word shingles."""
     return similar.representatives(docs)
