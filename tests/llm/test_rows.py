@@ -1,11 +1,13 @@
 """Operators on pages, conversations, vectors, lines and licence notices."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,48 @@ def test_lines_against_brute_force(frame):
     assert lines.decided(frame([])).count() == 0
 
 
+def test_rows_of_small_and_large_keys_meet():
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        key = (k % 10) << 26 | k
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 1, 2, 3, lines.SMALL, lines.SMALL + 1, 300 if k % 40 == 0 else 4])):
+            sim = base if rng.random() < 0.5 else rng.getrandbits(64)
+            for _ in range(rng.randrange(5)):
+                sim ^= 1 << rng.randrange(64)
+            rows.append((key, len(rows), sim))
+    rows.sort(key=lambda r: r[0])
+    want = set()
+    for key, group in itertools.groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        want |= {(key, a[1]) for a in group for b in group if a[1] != b[1] and lines._owned(np.uint64(a[2]), np.uint64(b[2]), key)}
+    columns = [np.array(c, np.uint64).view(np.int64) for c in zip(*rows)]
+    for step in (1, 7, 1000, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i:i + step]) for c in columns], ["key", "id", "sim"]) for i in range(0, len(rows), step)]
+        got = [x for b in lines._near(iter(batches)) for x in zip(*b.to_pydict().values())]
+        assert len(got) == len(want) and set(got) == want
+    assert want and not list(lines._near(iter([])))
+
+
+def test_plain_edits_need_no_distance(monkeypatch):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(3000):
+        a = [rng.choice(["ab", "abc", "é", "xyz", "longer"]) for _ in range(rng.randint(1, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b) + 1)
+            b[i:i + rng.randint(0, 1)] = [rng.choice(["ab", "abd", "o"])] * rng.randint(0, 1)
+        pairs.append((" ".join(a), " ".join(b)))
+    for a, b in pairs:
+        longer = max(len(a), len(b))
+        assert lines._similar(a, b) == (lines.distance(a, b, longer) <= int(0.2 * longer + 1e-9))
+    monkeypatch.delattr(lines, "distance")
+    w = [f"word{i}" for i in range(20)]
+    assert all(lines._similar(" ".join(w), " ".join(x)) for x in (w[:9] + w[10:], w[:9] + ["new"] + w[9:], w[:2] + ["b"] + w[3:15] + ["c"] + w[16:]))
+
+
 def test_lines_of_an_id_with_two_texts(frame):
     line = " ".join(f"word{i}" for i in range(25))
     rows = [(1, f"first alone\n{line}\nlast alone"), (1, "short"), (1, f"{line}\nother line"), (2, line + "\nsecond alone"), (3, "short\nmore")]

@@ -12,9 +12,11 @@ id and line number, stays; empty lines always stay.
 from __future__ import annotations
 
 from itertools import chain, combinations
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +25,7 @@ from tradelift.llm.common import components, cut, forest, fresh, partitions, sha
 RADIUS, SIMILAR = 3, 0.8
 #: First bit and width of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+_PAIRS = list(combinations(range(5), 2))
 #: Words whose bits are counted at once.
 AT_ONCE = 1 << 18
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -98,10 +101,23 @@ def distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def _few_changes(a: str, b: str, most: int) -> bool:
+    """Whether replacing words in place shows that the distance is `most` at most; no answer otherwise."""
+    x, y = a.split(" "), b.split(" ")
+    return len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most
+
+
 def _similar(a: str, b: str) -> bool:
     longer = max(len(a), len(b))
     most = int((1 - SIMILAR) * longer + 1e-9)
-    return distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    # what both begin or end with takes no part in the distance
+    start = len(commonprefix((a, b)))
+    a, b = a[start:], b[start:]
+    end = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[:len(a) - end], b[:len(b) - end]
+    return max(len(a), len(b)) <= most or _few_changes(a, b, most) or distance(a, b, most) <= most
 
 
 def _lines(batches):
@@ -122,47 +138,67 @@ def _lines(batches):
 def _keys(sim: Column) -> Column:
     """The ten pairs of blocks: number of the pair above the values of its blocks."""
     part = [F.shiftrightunsigned(sim, at).bitwiseAND((1 << width) - 1) for at, width in BLOCKS]
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 26) + F.shiftleft(part[i], 13) + part[j] for k, (i, j) in enumerate(combinations(range(5), 2))])
+    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 26) + F.shiftleft(part[i], 13) + part[j] for k, (i, j) in enumerate(_PAIRS)])
+
+
+#: For every pair of blocks the masks of the earlier blocks, which must differ.
+_EARLIER = [[np.uint64((1 << BLOCKS[k][1]) - 1 << BLOCKS[k][0]) for k in range(pair[1]) if k not in pair] for pair in _PAIRS]
 
 
 def _owned(x, y, key: int):
     """Whether fingerprints (integers or unsigned arrays) lie within the radius and the key's blocks are the first two that agree;
     a candidate pair meets under several keys and is looked at under one."""
-    d, pair = x ^ y, list(combinations(range(5), 2))[key >> 26]
+    d = x ^ y
     near = np.bitwise_count(d) <= RADIUS
-    for k in range(pair[1]):
-        at, width = BLOCKS[k]
-        if k not in pair:
-            near &= (d >> np.uint64(at)) & np.uint64((1 << width) - 1) != 0
+    for mask in _EARLIER[key >> 26]:
+        near &= d & mask != 0
     return near
 
 
+#: Rows of a key up to which the rows of a batch are compared side by side, all keys at once.
+SMALL = 32
+
+
 def _near(batches):
-    """Of rows sorted by key, those with another one of the key that is theirs to look at. Most keys have one row, so whole
-    batches are cut where the key changes and the last run waits for the next batch."""
-    def found(key, ids, sims):
+    """Of rows sorted by key, those with another one of the key that is theirs to look at. Most keys have few rows, so whole
+    batches are cut where the key changes and the last run waits for the next batch. Rows of small keys are compared
+    with the next row, the one after and so on; larger keys apart."""
+    def found(key, sims):
         out = []
         for i in range(0, len(sims), 256):
             near = _owned(sims[i:i + 256, None], sims[None, :], key)
             near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-            out.append(ids[i:i + 256][near.any(1)])
-        ids = np.concatenate(out)
-        return np.column_stack([np.full(len(ids), key), ids])
+            out.append(near.any(1))
+        return np.concatenate(out)
 
     held = None
-    for pdf in chain(batches, [None]):
-        now = held if pdf is None else pdf if held is None else pd.concat([held, pdf])
-        if now is None or not len(now):
+    for batch in chain(batches, [None]):
+        own = None if batch is None else tuple(batch.column(c).to_numpy() for c in ("key", "id", "sim"))
+        now = held if own is None else own if held is None else tuple(map(np.concatenate, zip(held, own)))
+        if now is None or not len(now[0]):
             continue
-        key, ids, sims = now.key.to_numpy(), now.id.to_numpy(), now.sim.to_numpy().view(np.uint64)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        last = np.append(first[1:], len(key))
-        if pdf is not None:
-            held = now.iloc[first[-1]:]
-            first, last = first[:-1], last[:-1]
-        many = np.flatnonzero(last - first > 1)
-        out = [found(int(key[first[i]]), ids[first[i]:last[i]], sims[first[i]:last[i]]) for i in many]
-        yield pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["key", "id"])
+        first = np.flatnonzero(np.append(True, now[0][1:] != now[0][:-1]))
+        end = first[-1] if own is not None else len(now[0])
+        held = tuple(c[end:] for c in now)
+        key, ids, sims = (c[:end] for c in now)
+        sims = sims.view(np.uint64)
+        first = first[first < end]
+        size = np.diff(np.append(first, end))
+        hit, left = np.zeros(end, bool), np.repeat(np.where(size <= SMALL, size, 0), size) - (np.arange(end) - np.repeat(first, size))
+        for step in range(1, SMALL):
+            at = np.flatnonzero(left > step)
+            if not len(at):
+                break
+            at = at[np.bitwise_count(sims[at] ^ sims[at + step]) <= RADIUS]
+            kind = key[at] >> 26
+            for k in np.unique(kind).tolist():
+                i = at[kind == k]
+                i = i[_owned(sims[i], sims[i + step], k << 26)]
+                hit[i] = hit[i + step] = True
+        for i in np.flatnonzero(size > SMALL):
+            part = slice(first[i], first[i] + size[i])
+            hit[part] = found(int(key[first[i]]), sims[part])
+        yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(ids[hit])], ["key", "id"])
 
 
 def _texts(batches):
@@ -214,7 +250,7 @@ def marked(docs: DataFrame) -> DataFrame:
     content = ["h1", "h2", "size"]
     distinct = cut(lines.groupBy(*content).agg(F.min(F.struct("doc_id", "line", "name")).alias("first"), F.min("sim").alias("sim")).withColumn("id", F.monotonically_increasing_id()))
     dealt = distinct.select(F.explode(_keys(F.col("sim"))).alias("key"), "id", "sim")
-    near = cut(dealt.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_near, "key bigint, id bigint"))
+    near = cut(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_near, "key bigint, id bigint"))
     wanted = near.select("id").distinct().join(distinct.select("id", "first"), "id").select("first.doc_id", "first.name", F.struct("first.line", "id").alias("w"))
     wanted = wanted.groupBy("doc_id", "name").agg(F.collect_list("w").alias("wanted"))
     once = _named(docs).join(wanted, ["doc_id", "name"])
