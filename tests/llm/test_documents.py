@@ -213,6 +213,20 @@ def test_stage_of_near_copies_links_by_fingerprint(frame, spark):
     assert corpus_pipeline.drop_near_copies(spark, frame([]), "").count() == 0
 
 
+def test_copies_go_without_a_shuffle_of_texts(frame):
+    rows = [(i, f"text {i}") for i in range(300)] + [(1000 + i, f"TEXT {i}") for i in range(5)] + [(1000, "text 0"), (None, "text 7"), (None, "alone"), (None, "alone"), (2000, None), (2001, "")]
+    out = exact.distinct(frame(rows))
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    best = {}
+    for i, t in rows:
+        k = (t or "").lower()
+        best[k] = max(best.get(k, -1), -1 if i is None else i)
+    assert Counter((i, (t or "").lower()) for (i, t), n in kept.items() for _ in range(n)) == Counter((None if i < 0 else i, t) for t, i in best.items())
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def plain_shingles(text):
     w = (text or "").lower().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -166,9 +166,12 @@ def text_sha256(text: pd.Series) -> pd.Series:
 
 
 def distinct(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay: one of each text."""
-    sha, key, text = fresh(docs, "__sha", "__key", "__text")
-    found = groups(docs, size).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(text))
-    marked = docs.withColumn(sha, text_sha256("text"))
-    stay = marked.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(text)), "left_semi")
-    return stay.dropDuplicates(["doc_id", sha]).select(*docs.columns)
+    """The rows of `docs`, with all their columns, that stay: one of each text. Rows are numbered once and those that go are found by number, so whole rows are
+    not sorted; where few rows go, they are not shuffled either."""
+    row, sha, key, text = fresh(docs, "__row", "__sha", "__key", "__text")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = groups(numbered, size).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(text))
+    marked = cut(numbered.select(row, "doc_id", text_sha256("text").alias(sha)))
+    stay = marked.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(text)), "left_semi").groupBy("doc_id", sha).agg(F.min(row).alias(row))
+    gone = cut(marked.select(row).join(stay.select(row), row, "left_anti"))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
