@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,37 @@ def test_collocations_of_an_empty_table(frame):
     assert collocations.mined(frame([(1, "a", "en", "s")]).limit(0)).count() == 0
 
 
+def test_rare_phrases_are_not_written_out(frame, monkeypatch):
+    """Pairs of frequent words are many and mostly rare: counted by hash, only the frequent ones leave a task as words."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(100)) + ". over and over again", "en", "s") for i in range(20)]
+    many = len({p for _, t, *_ in rows for w in phrases_of(t) for p in zip(w, w[1:])})
+    docs, made = frame(rows).coalesce(2), []
+    kind = type(docs)
+    plain_map = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda *a, **b: made.append(plain_map(*a, **b)) or made[-1])
+    counted = {r.phrase: r.n for r in collocations.phrases(docs, 15)[0].where("words > 1").collect()}
+    monkeypatch.undo()
+    assert counted == {p: 20 for p in ("over and", "and over", "over again", "over and over", "and over again", "over and over again")}
+    assert many > 1500 and sum(m.count() for m in made if "phrase" in m.columns) <= 2 * len(counted)
+
+
+def test_counts_by_hash_are_packed_and_summed():
+    rng = np.random.default_rng(6)
+    top, total = (1 << collocations.WIDE) - 1, Counter()
+    keys = np.append(rng.integers(0, top, 40), [0, 1, top]).astype(np.uint64)
+    packs = []
+    for _ in range(5):
+        held = [(rng.choice(keys, 30), rng.integers(1, 4, 30)) for _ in range(3)]
+        for k, n in held:
+            total.update(dict(zip(*[x.tolist() for x in collocations._summed(k, n)])))
+        packs.append(collocations._packed(held, 20))
+    rows = pa.Table.from_batches(packs).to_pylist()
+    parts = {r["part"] for r in rows}
+    got = [h for p in parts for h in collocations._frequent(20)(pa.Table.from_pylist([r for r in rows if r["part"] == p], collocations._PACKED))["h"].to_pylist()]
+    assert sorted(got) == sorted(k for k, n in total.items() if n >= 20) and 5 < len(got) < len(total)
+
+
 def test_index_extends_both_ways():
     rng = np.random.default_rng(5)
     s = np.concatenate([[0], rng.integers(0, 5, 400), [0]]).astype(np.int32)

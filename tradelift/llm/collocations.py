@@ -9,6 +9,9 @@ and those to the right four-word ones. Counts of a phrase are summed over shards
 A phrase cannot occur more often than its parts, so longer phrases are only followed where all their words, then all their
 word pairs, are frequent somewhere in the whole language. What is frequent travels as bits at hashed places, a table of fixed size: a
 hash shared by chance costs time, never a phrase, since only summed counts decide.
+
+Most phrases are rare, and written out they would fill the disks of a shuffle. So phrases are counted by hash first, in sorted and packed
+lists of some three bytes a phrase; those of a frequent hash alone are then written out and counted by their own words.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ SHARD = 1 << 21
 AT_ONCE = 1 << 17
 #: Places of the tables of frequent words and pairs, as a power of two: 8 MB each, whatever the corpus.
 PLACES = 26
+#: Bits of the hash by which phrases are counted before they are written out, and how many of them, the highest, number the parts summed apart.
+WIDE, PARTS = 36, 10
+#: Hashes that a task holds before it packs them.
+HELD = 1 << 20
 #: A piece ends at `.,;:!?` and at line ends; words are parted by spaces and tabs; A-Z in lower case.
 _BYTES = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c in (9, 32) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -173,11 +180,6 @@ def _place(h: Column, places: int) -> Column:
     return h.bitwiseAND((1 << places) - 1)
 
 
-def _pair_hash(lang: str, a: Column, b: Column) -> Column:
-    h = F.xxhash64(lang, b)
-    return F.xxhash64(lang, a).bitwiseXOR(F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43)))
-
-
 def _table(hashes: DataFrame, places: int) -> np.ndarray:
     """Bits at the places of `hashes` (h), as bytes; of fixed size, whatever the number of rows."""
     place = _place(F.col("h"), places)
@@ -213,43 +215,112 @@ def _read(batch: pa.RecordBatch):
         pa.default_memory_pool().release_unused()
 
 
-def _pairs(known, places: int):
+def _followed(batch: pa.RecordBatch, known: list[np.ndarray], places: int):
+    """(lang, words, ids, n, h) of the phrases of each shard of a batch that may be frequent: of two words if only words are known, of two
+    to four otherwise, all of whose parts are among the known, and so the phrase if its like is known. `h` is the phrase's hash."""
+    for lang, names, counts, blobs in _read(batch):
+        one = np.append(np.uint64(0), _hashed(names.to_pylist(), lang))
+        turned = [one]
+        while len(turned) < DEPTH:
+            turned.append(_rotated(turned[-1]))
+        ok = np.append(False, _among(known[0], one[1:], places))
+
+        def hashed(ids):
+            h = turned[0][ids[0]]
+            for t, w in zip(turned[1:], ids[1:]):
+                h = h ^ t[w]
+            return h
+
+        def among(ids):
+            """Whether all words of phrases are known, and phrases as long themselves, where such are."""
+            own = np.logical_and.reduce([ok[w] for w in ids])
+            table = min(len(ids), 3) - 1
+            return own & _among(known[table], hashed(ids), places) if table < len(known) else own
+
+        def kept(at, ids, *parts):
+            own = np.logical_and.reduce([among(ids[p]) for p in (slice(None), *parts)])
+            ids = [w[own] for w in ids]
+            return at[own].reset_index(drop=True), ids
+
+        index = Index(blobs[0], blobs[1] if len(blobs) > 1 else None, len(counts) + 1)
+        single = np.flatnonzero(ok)
+        two = index.extended(index.words(single), "left")
+        two, ids = kept(two, [two.word.to_numpy(), single[two.of]])
+        yield lang, names, ids, two.n.to_numpy(), hashed(ids)
+        if len(known) > 1:
+            three = index.extended(two, "left")
+            three, ids = kept(three, [three.word.to_numpy(), *[w[three.of] for w in ids]], slice(0, 2))
+            yield lang, names, ids, three.n.to_numpy(), hashed(ids)
+            four = index.extended(three, "right")
+            four, ids = kept(four, [*[w[four.of] for w in ids], four.word.to_numpy()], slice(2, 4), slice(1, 4))
+            yield lang, names, ids, four.n.to_numpy(), hashed(ids)
+
+
+def _spread(numbers: np.ndarray) -> bytes:
+    """Numbers packed, their low bytes first."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def _joined(data: bytes, size: int) -> np.ndarray:
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * size), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, size).T).view("<u4").ravel()
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+
+
+_PACKED = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
+_REST = WIDE - PARTS
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> pa.RecordBatch:
+    """A row for each part that has hashes: how far each lies from the one before, and its count. No count above `least` matters."""
+    keys, n = _summed(*[np.concatenate(x) for x in zip(*held)])
+    n = np.minimum(n, least)
+    part = (keys >> np.uint64(_REST)).astype(np.int32)
+    rest = (keys & np.uint64((1 << _REST) - 1)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(part))
+    rows = [(int(part[i]), int(j - i), _spread(np.diff(rest[i:j], prepend=0)), _spread(n[i:j])) for i, j in zip(starts, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _PACKED)] if rows else [pa.array([], f.type) for f in _PACKED], schema=_PACKED)
+
+
+def _hashes(known, places: int, least: int):
+    """The phrases one step longer than those known, counted by hash."""
     def run(batches):
+        held = []
         for batch in batches:
-            for lang, names, counts, (forward,) in _read(batch):
-                index = Index(forward, None, len(counts) + 1)
-                ok = np.append(False, _among(known.value[0], _hashed(names.to_pylist(), lang), places))
-                own = np.flatnonzero(ok)
-                got = index.extended(index.words(own), "left")
-                got = got[ok[got.word]]
-                yield from _phrases(lang, names, [got.word.to_numpy(), own[got.of]], got.n.to_numpy())
+            for lang, names, ids, n, h in _followed(batch, known.value, places):
+                if len(ids) > len(known.value):
+                    held.append((h & np.uint64((1 << WIDE) - 1), n))
+                if sum(len(k) for k, _ in held) > HELD:
+                    yield _packed(held, least)
+                    held = []
+        if held:
+            yield _packed(held, least)
     return run
 
 
-def _longer(known, places: int):
-    """Phrases of three and four words all of whose words and pairs are among the frequent."""
+def _frequent(least: int):
+    """Hashes of a part that occur at least `least` times."""
+    def run(rows: pa.Table) -> pa.Table:
+        part, size, steps, counts = (rows.column(f.name).to_pylist() for f in _PACKED)
+        keys = np.concatenate([np.cumsum(_joined(s, k), dtype=np.int64) for s, k in zip(steps, size)])
+        keys, n = _summed(keys, np.concatenate([_joined(c, k) for c, k in zip(counts, size)]).astype(np.int64))
+        return pa.table({"h": pa.array(keys[n >= least] + (part[0] << _REST), pa.int64())})
+    return run
+
+
+def _written(known, places: int):
     def run(batches):
         for batch in batches:
-            for lang, names, counts, (forward, backward) in _read(batch):
-                h = np.append(np.uint64(0), _hashed(names.to_pylist(), lang))
-                turned = _rotated(h)
-                ok = np.append(False, _among(known.value[0], h[1:], places))
-                pair = lambda a, b: ok[a] & ok[b] & _among(known.value[1], h[a] ^ turned[b], places)
-                index = Index(forward, backward, len(counts) + 1)
-                one = np.flatnonzero(ok)
-                two = index.extended(index.words(one), "left")
-                ids = [two.word.to_numpy(), one[two.of]]
-                own = pair(*ids)
-                two, ids = two[own].reset_index(drop=True), [w[own] for w in ids]
-                three = index.extended(two, "left")
-                own = pair(three.word.to_numpy(), ids[0][three.of])
-                three = three[own].reset_index(drop=True)
-                ids = [three.word.to_numpy(), *[w[three.of] for w in ids]]
-                yield from _phrases(lang, names, ids, three.n.to_numpy())
-                four = index.extended(three, "right")
-                own = pair(ids[2][four.of], four.word.to_numpy())
-                four = four[own]
-                yield from _phrases(lang, names, [*[w[four.of] for w in ids], four.word.to_numpy()], four.n.to_numpy())
+            for lang, names, ids, n, _ in _followed(batch, known.value, places):
+                yield from _phrases(lang, names, ids, n)
     return run
 
 
@@ -261,19 +332,17 @@ def phrases(docs: DataFrame, least: int = 30, size: int = SHARD, places: int = P
     indexes(docs, size).write.option("compression", "lz4").parquet(path)
     index = spark.read.parquet(path)
     said = index.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
-    single = cut(said.groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
-    totals = single.groupBy("lang").agg(F.sum("n").alias("n"))
-    single = single.where(F.col("n") >= least).select("lang", "phrase", F.lit(1).alias("words"), "n")
+    totals = cut(said.groupBy("lang").agg(F.sum("n").alias("n")))
+    single = cut(said.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", F.lit(1).alias("words"), "n"))
     known = [_table(single.select(F.xxhash64("lang", "phrase").alias("h")), places)]
-    shape = "lang string, phrase string, words int, n bigint"
-    summed = lambda df: df.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    sent = spark.sparkContext.broadcast(known)
-    double = cut(summed(index.select("lang", "words", "counts", "forward").mapInArrow(_pairs(sent, places), shape)))
-    parts = F.split("phrase", " ")
-    known = [*known, _table(double.select(_pair_hash("lang", parts[0], parts[1]).alias("h")), places)]
+    for read in (index.select("lang", "words", "counts", "forward"), index):
+        sent = spark.sparkContext.broadcast(known)
+        packed = read.mapInArrow(_hashes(sent, places, least), "part int, size int, steps binary, counts binary")
+        known = [*known, _table(packed.groupBy("part").applyInArrow(_frequent(least), "h bigint"), places)]
     sent = spark.sparkContext.broadcast(known)
-    more = cut(summed(index.mapInArrow(_longer(sent, places), shape)))
-    return single.unionByName(double).unionByName(more), totals
+    several = index.mapInArrow(_written(sent, places), "lang string, phrase string, words int, n bigint")
+    several = cut(several.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    return single.unionByName(several), totals
 
 
 def mined(docs: DataFrame, least: int = 30, top: int = 2000, size: int = SHARD, places: int = PLACES) -> DataFrame:
