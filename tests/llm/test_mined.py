@@ -97,6 +97,38 @@ def test_counts_by_hash_are_packed_and_summed():
     assert sorted(got) == sorted(k for k, n in total.items() if n >= 20) and 5 < len(got) < len(total)
 
 
+def test_a_task_sends_words_and_phrases_once_for_all_its_shards(frame, monkeypatch):
+    """Every shard has the same frequent phrases: what a task sends for counting grows with their number, not with that of shards."""
+    same = ". ".join(f"left{i} right{i} end{i}" for i in range(30))
+    rows = [(i, f"{same}. only{i}", "en", "s") for i in range(40)]
+    docs, made = frame(rows).coalesce(2), []
+    kind = type(docs)
+    plain_map = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda *a, **b: made.append(plain_map(*a, **b)) or made[-1])
+    counted = {r.phrase: r.n for r in collocations.phrases(docs, 20, 300)[0].collect()}
+    monkeypatch.undo()
+    assert len(counted) == 30 * 6 and set(counted.values()) == {40}
+    index, sent = made[0].cache(), made[-1]
+    assert index.count() >= 40 and sent.count() <= 2 * 30 * 3
+
+
+@pytest.mark.parametrize("kept", [1, 300, 1 << 24])
+def test_lists_are_packed_and_summed(kept):
+    """Languages apart, counts beyond 32 bits, words of any characters, the same phrase in several batches."""
+    rng, names = np.random.default_rng(8), ["a", "a b", "é \x1cx ß", "x" * 5000, "日本 語 a b", "a\u2028b c", '"', "b"]
+    total, given = Counter(), []
+    for i in range(6):
+        some = [str(x) for x in rng.permutation(names)[:rng.integers(0, 8)]]
+        n = np.array([(1 << 33) + 1 if x == "b" else 2 for x in some], np.int64)
+        lang = ["en", "de"][i % 2]
+        total.update({(lang, x): int(k) for x, k in zip(some, n)})
+        given.append((lang, pa.array(some, pa.string()), n, collocations._hashed(some, lang)))
+    rows = [r for b in collocations._lists(lambda batch: [batch], kept)(given) for r in b.to_pylist()]
+    got = [r for p in {r["part"] for r in rows} for r in collocations._often(4, kept)(pa.Table.from_pylist([r for r in rows if r["part"] == p], collocations._LISTS)).to_pylist()]
+    assert plain((r["lang"], r["phrase"], r["words"], r["n"]) for r in got) == plain((lang, x, len(x.split(" ")), n) for (lang, x), n in total.items() if n >= 4)
+    assert 3 < len(got) < len(total)
+
+
 def test_index_extends_both_ways():
     rng = np.random.default_rng(5)
     s = np.concatenate([[0], rng.integers(0, 5, 400), [0]]).astype(np.int32)

@@ -11,7 +11,8 @@ word pairs, are frequent somewhere in the whole language. What is frequent trave
 hash shared by chance costs time, never a phrase, since only summed counts decide.
 
 Most phrases are rare, and written out they would fill the disks of a shuffle. So phrases are counted by hash first, in sorted and packed
-lists of some three bytes a phrase; those of a frequent hash alone are then written out and counted by their own words.
+lists of some three bytes a phrase; those of a frequent hash alone are then counted by their own words. Words and phrases that are
+counted by themselves travel in packed lists as well: a task merges those of its shards and sends a list for each part of their hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ PLACES = 26
 WIDE, PARTS = 36, 10
 #: Hashes that a task holds before it packs them.
 HELD = 1 << 20
+#: Bits of the hash that number the lists of words and phrases, and bytes of them that a task holds before it packs them.
+SHARES, KEPT = 8, 1 << 24
 #: A piece ends at `.,;:!?` and at line ends; words are parted by spaces and tabs; A-Z in lower case.
 _BYTES = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c in (9, 32) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -197,16 +200,6 @@ def _among(table: np.ndarray, h: np.ndarray, places: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- phrases of the shards
 
-_PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
-
-
-def _phrases(lang: str, names: pa.Array, ids: list[np.ndarray], n: np.ndarray, at_once: int = 1 << 15):
-    for i in range(0, len(n), at_once):
-        part = [names.take(pa.array(w[i:i + at_once] - 1)) for w in ids]
-        size = len(part[0])
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pc.binary_join_element_wise(*part, " "), pa.array(np.full(size, len(ids), np.int32)), pa.array(n[i:i + at_once], pa.int64())], schema=_PHRASES)
-
-
 def _read(batch: pa.RecordBatch):
     """lang, words, their counts and the transforms of each shard of a batch."""
     for i in range(batch.num_rows):
@@ -256,14 +249,14 @@ def _followed(batch: pa.RecordBatch, known: list[np.ndarray], places: int):
             yield lang, names, ids, four.n.to_numpy(), hashed(ids)
 
 
-def _spread(numbers: np.ndarray) -> bytes:
-    """Numbers packed, their low bytes first."""
-    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+def _spread(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of `width` bytes packed, their low bytes first."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), asbytes=True)
 
 
-def _joined(data: bytes, size: int) -> np.ndarray:
-    flat = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * size), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, size).T).view("<u4").ravel()
+def _joined(data: bytes, size: int, width: int = 4) -> np.ndarray:
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data, width * size), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, size).T).view(f"<u{width}").ravel()
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,14 +309,94 @@ def _frequent(least: int):
     return run
 
 
-def _written(known, places: int):
+_LISTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("size", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+
+def _counts(held: list[pa.Table]) -> pa.Table:
+    """phrase and the sum of its n, each phrase once."""
+    found = pa.concat_tables(held).group_by("phrase").aggregate([("n", "sum"), *[(c, "min") for c in held[0].column_names[2:]]])
+    return found.select(["phrase", "n_sum", *found.column_names[2:]]).rename_columns(held[0].column_names)
+
+
+def _listed(lang: str, held: list[pa.Table]) -> pa.RecordBatch:
+    """A row for each part that has phrases (phrase, n, part): its phrases in order, a line each, and their counts."""
+    found = _counts(held)
+    found = found.take(pc.sort_indices(found["phrase"]))
+    found = found.take(pa.array(np.argsort(found["part"].to_numpy(), kind="stable")))
+    part, n = found["part"].to_numpy(), found["n"].to_numpy()
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(part))
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(part)), pa.int32()), found["phrase"].combine_chunks()), "\n").cast(pa.binary())
+    pack = pa.Codec("zstd", 1)
+    rows = [(lang, int(part[i]), int(j - i), pack.compress(x.as_buffer(), asbytes=True), _spread(n[i:j], 8)) for i, j, x in zip(starts, ends, lines)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _LISTS)] if rows else [pa.array([], f.type) for f in _LISTS], schema=_LISTS)
+
+
+def _lists(found, kept: int):
+    """Lists of what `found` gives of a batch as (lang, phrases, n, h)."""
     def run(batches):
+        held: dict[str, list[pa.Table]] = {}
+        amount: dict[str, int] = {}
+
+        def out(lang):
+            amount.pop(lang)
+            return _listed(lang, held.pop(lang))
+
         for batch in batches:
-            for lang, names, ids, n, _ in _followed(batch, known.value, places):
-                yield from _phrases(lang, names, ids, n)
+            for lang, names, n, h in found(batch):
+                part = pa.array((h >> np.uint64(64 - SHARES)).astype(np.int32))
+                held.setdefault(lang, []).append(pa.table({"phrase": names, "n": pa.array(n, pa.int64()), "part": part}))
+                amount[lang] = amount.get(lang, 0) + held[lang][-1].nbytes
+                while sum(amount.values()) >= kept:
+                    yield out(max(amount, key=amount.get))
+        for lang in list(held):
+            yield out(lang)
+    return run
+
+
+def _single(batch: pa.RecordBatch):
+    for lang, names, counts, _ in _read(batch):
+        yield lang, names, counts, _hashed(names.to_pylist(), lang)
+
+
+def _several(known, places: int):
+    def run(batch):
+        for lang, names, ids, n, h in _followed(batch, known.value, places):
+            yield lang, pc.binary_join_element_wise(*[names.take(pa.array(w - 1)) for w in ids], " "), n, h
     return run
 
 
+def _often(least: int, kept: int = KEPT):
+    """(lang, phrase, words, n) of a part's phrases that occur at least `least` times. Lists are summed whenever `kept` bytes and twice the
+    last sum have come, so that a task holds distinct phrases, not all lists at once."""
+    def run(rows: pa.Table) -> pa.Table:
+        held: dict[str, list[pa.Table]] = {}
+        amount: dict[str, int] = {}
+        most: dict[str, int] = {}
+        for lang, size, names, counts in zip(*(rows.column(c).to_pylist() for c in ("lang", "size", "phrases", "counts"))):
+            lines = pc.split_pattern(pa.array([pa.CompressedInputStream(pa.BufferReader(names), "zstd").read()], pa.binary()), b"\n")[0].values
+            held.setdefault(lang, []).append(pa.table({"phrase": lines, "n": pa.array(_joined(counts, size, 8).astype(np.int64))}))
+            amount[lang] = amount.get(lang, 0) + held[lang][-1].nbytes
+            if amount[lang] >= most.get(lang, kept):
+                held[lang] = [_counts(held[lang])]
+                amount[lang] = held[lang][0].nbytes
+                most[lang] = kept + 2 * amount[lang]
+        out = []
+        for lang in list(held):
+            found = _counts(held.pop(lang))
+            found = found.filter(pc.greater_equal(found["n"], least))
+            phrase = found["phrase"].cast(pa.string())
+            words = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+            out.append(pa.table({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": phrase, "words": words, "n": found["n"]}))
+        return pa.concat_tables(out)
+    return run
+
+
+def _counted(index: DataFrame, found, least: int) -> DataFrame:
+    lists = index.mapInArrow(_lists(found, KEPT), "lang string, part int, size int, phrases binary, counts binary")
+    return lists.groupBy("part").applyInArrow(_often(least), "lang string, phrase string, words int, n bigint")
+
+
 def phrases(docs: DataFrame, least: int = 30, size: int = SHARD, places: int = PLACES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of one to DEPTH words that occur at least `least` times in a language, and (lang, n), its words."""
     spark = docs.sparkSession
@@ -331,17 +404,15 @@ def phrases(docs: DataFrame, least: int = 30, size: int = SHARD, places: int = P
     # the transforms are packed already
     indexes(docs, size).write.option("compression", "lz4").parquet(path)
     index = spark.read.parquet(path)
-    said = index.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
-    totals = cut(said.groupBy("lang").agg(F.sum("n").alias("n")))
-    single = cut(said.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", F.lit(1).alias("words"), "n"))
+    totals = cut(index.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, b) -> a + b)")).alias("n")).where("n > 0"))
+    single = cut(_counted(index.select("lang", "words", "counts"), _single, least))
     known = [_table(single.select(F.xxhash64("lang", "phrase").alias("h")), places)]
     for read in (index.select("lang", "words", "counts", "forward"), index):
         sent = spark.sparkContext.broadcast(known)
         packed = read.mapInArrow(_hashes(sent, places, least), "part int, size int, steps binary, counts binary")
         known = [*known, _table(packed.groupBy("part").applyInArrow(_frequent(least), "h bigint"), places)]
     sent = spark.sparkContext.broadcast(known)
-    several = index.mapInArrow(_written(sent, places), "lang string, phrase string, words int, n bigint")
-    several = cut(several.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    several = cut(_counted(index, _several(sent, places), least))
     return single.unionByName(several), totals
 
 
