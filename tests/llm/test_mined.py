@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,58 @@ def test_lists_are_packed_and_summed(kept):
     assert 3 < len(got) < len(total)
 
 
+def test_a_worker_gathers_phrases_in_pieces(monkeypatch):
+    """All phrases of a shard are followed: a worker gets them by some places of its index at a time, and sums, sorts and packs them in slices."""
+    monkeypatch.setattr(collocations, "AT_ONCE", 200)
+    monkeypatch.setattr(collocations, "SLICE", 100, raising=False)
+    rng = random.Random(9)
+    rows = [(" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randrange(60))) + rng.choice([". ", "\n", " a a a a a. "]), rng.choice(["en", "de"])) for _ in range(100)]
+    docs = pa.RecordBatch.from_pydict({"lang": [r[1] for r in rows], "text": [r[0] for r in rows]})
+    index = list(collocations._shards(1 << 20)([docs]))
+    want, words = Counter(), Counter()
+    for text, lang in rows:
+        for w in phrases_of(text):
+            words.update((lang, x) for x in w)
+            want.update((lang, " ".join(w[i:i + m])) for m in range(2, 5) for i in range(len(w) - m + 1))
+    known = type("Sent", (), {"value": [np.full(1, ~np.uint64(0))] * 3})
+    found, got, pieces = collocations._several(known, 6), Counter(), []
+    for batch in index:
+        for lang, names, n, h in found(batch):
+            pieces.append(len(n))
+            got.update(dict(zip(((lang, x) for x in names.to_pylist()), n.tolist())))
+    assert got == want and len(want) > 5000 and max(pieces) <= 100
+    hashes = [len(h) for batch in index for *_, h in collocations._followed(batch, known.value, 6)]
+    assert max(hashes) <= 200 + max(words.values())
+    lists = [b for b in collocations._lists(found, 1 << 24)(index)]
+    often = collocations._often(1)
+    rows = [r for b in lists for r in b.to_pylist()]
+    parts = [r["part"] for r in rows if r["lang"] == "en"]
+    assert len(lists) > 20 and len(parts) == len(set(parts)) and max(sum(r["size"] for r in b.to_pylist()) for b in lists) <= 100
+    assert {(r["lang"], r["phrase"]): r["n"] for r in often(pa.Table.from_pylist(rows, collocations._LISTS)).to_pylist()} == want
+
+
+def test_a_row_group_of_the_index_has_one_shard(frame, monkeypatch, tmp_path):
+    """Readers and writers of Parquet hold a row group in memory: it does not grow with the shards of a file."""
+    made = []
+    monkeypatch.setattr(collocations, "shared_path", lambda spark, name: made.append(str(tmp_path / f"{name}{len(made)}")) or made[-1])
+    rows = [(i, f"some words of text number {i}. again\nand again", "en", "s") for i in range(40)]
+    found = {r.phrase: r.n for r in collocations.phrases(frame(rows).coalesce(2), 40, 100)[0].collect()}
+    assert found["some words"] == found["words of text number"] == 40 and found["again"] == 80
+    files = [pq.ParquetFile(f).metadata for f in sorted(tmp_path.glob("index0/*.parquet"))]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(files) == 2 and len(groups) > 10 and set(groups) == {1}
+
+
+def test_the_first_of_a_language_are_found_in_groups(frame, monkeypatch):
+    """Ranks by groups of a language and then of what is left equal those of the whole language."""
+    monkeypatch.setattr(collocations, "GROUPS", 5, raising=False)
+    rng = random.Random(2)
+    rows = [(i, ". ".join(f"a{k} b{k}" if rng.random() < 0.9 else f"a{k} c b{k}" for k in range(60)), lang, "s") for i, lang in enumerate(["en"] * 12 + ["de"] * 9)]
+    got = collocations.mined(frame(rows), 5, 7)
+    assert plain(map(tuple, got.collect())) == plain(plain_mined([(r[1], r[2]) for r in rows], 5, 7))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("row_number()") >= 2
+
+
 def test_index_extends_both_ways():
     rng = np.random.default_rng(5)
     s = np.concatenate([[0], rng.integers(0, 5, 400), [0]]).astype(np.int32)

@@ -13,12 +13,17 @@ hash shared by chance costs time, never a phrase, since only summed counts decid
 Most phrases are rare, and written out they would fill the disks of a shuffle. So phrases are counted by hash first, in sorted and packed
 lists of some three bytes a phrase; those of a frequent hash alone are then counted by their own words. Words and phrases that are
 counted by themselves travel in packed lists as well: a task merges those of its shards and sends a list for each part of their hashes.
+
+The larger the corpus, the more of a shard's phrases are followed, in the end all of them. So a worker holds no more of a shard than its
+transforms and the extensions of some AT_ONCE places, and gathers, sorts and packs what it sends in pieces. A shard is a row group
+of its own in the stored index, its words and transforms packed, so that an executor need not hold those of a whole file either.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -40,10 +45,26 @@ WIDE, PARTS = 36, 10
 HELD = 1 << 20
 #: Bits of the hash that number the lists of words and phrases, and bytes of them that a task holds before it packs them.
 SHARES, KEPT = 8, 1 << 24
+#: Words or phrases that are gathered, sorted and packed together.
+SLICE = 1 << 16
+#: Groups of a language's collocations that are ranked apart first.
+GROUPS = 64
 #: A piece ends at `.,;:!?` and at line ends; words are parted by spaces and tabs; A-Z in lower case.
 _BYTES = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c in (9, 32) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class At(NamedTuple):
+    """Intervals of phrases: row of the phrase that was extended and the word it got, place in each transform, number of occurrences."""
+    of: np.ndarray
+    word: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    n: np.ndarray
+
+    def among(self, rows) -> At:
+        return At(*(x[rows] for x in self))
+
+
 class Index:
     """Both transforms of a shard. Symbols are 0 between pieces and 1, 2, ... for its words."""
 
@@ -57,42 +78,46 @@ class Index:
         bwt, before = self.sides[side]
         if before is None:
             order = np.argsort(bwt, kind="stable")
-            before = np.empty(len(bwt), np.int64)
-            before[order] = np.arange(len(bwt)) - np.repeat(self.first, self.counts)
+            before = np.empty(len(bwt), np.int32)
+            before[order] = np.arange(len(bwt), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.counts)
             self.sides[side] = bwt, before
         return bwt, before
 
-    def words(self, wanted: np.ndarray) -> pd.DataFrame:
+    def words(self, wanted: np.ndarray) -> At:
         """Intervals of words: place in each index, and number of occurrences."""
-        return pd.DataFrame({"left": self.first[wanted], "right": self.first[wanted], "n": self.counts[wanted]})
+        return At(np.zeros(len(wanted), np.int64), wanted, self.first[wanted], self.first[wanted], self.counts[wanted])
 
-    def extended(self, at: pd.DataFrame, side: str) -> pd.DataFrame:
-        """Every extension of the intervals `at` by a word on a side: `of` (row of `at`), `word`, left, right and n. Intervals are looked at
-        in runs of some AT_ONCE places."""
-        ends = np.cumsum(at.n.to_numpy())
+    def runs(self, at: At, side: str):
+        """Every extension of the intervals `at` by a word on a side, in runs of some AT_ONCE places that are looked at together."""
+        ends = np.cumsum(at.n, dtype=np.int64)
         cuts = np.unique(np.searchsorted(ends, np.arange(AT_ONCE, int(ends[-1]) + AT_ONCE, AT_ONCE), "left") + 1) if len(ends) else []
-        parts, start = [], 0
+        start = 0
         for end in cuts:
-            parts.append(self._extended(at.iloc[start:end], side).assign(of=lambda x, start=start: x.of + start))
+            part = self._extended(at.among(slice(start, end)), side)
+            yield part._replace(of=part.of + start)
             start = end
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["of", "word", "left", "right", "n"], dtype=np.int64)
 
-    def _extended(self, at: pd.DataFrame, side: str) -> pd.DataFrame:
-        other = "right" if side == "left" else "left"
+    def extended(self, at: At, side: str) -> At:
+        """All runs together."""
+        parts = list(self.runs(at, side))
+        return At(*(np.concatenate(x) for x in zip(*parts))) if parts else At(*[np.empty(0, np.int64)] * len(At._fields))
+
+    def _extended(self, at: At, side: str) -> At:
         bwt, before = self._occurred(side)
-        n = at.n.to_numpy()
+        n = at.n
+        begin = np.cumsum(n, dtype=np.int64) - n
         of = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[side].to_numpy(), n)
+        place = np.arange(len(of)) - np.repeat(begin - (at.left if side == "left" else at.right), n)
         order = np.argsort(of * self.symbols + bwt[place], kind="stable")
         of, place = of[order], place[order]
+        del order
         word = bwt[place]
         starts = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (word[1:] != word[:-1]))) if len(of) else np.empty(0, np.int64)
         size = np.diff(np.append(starts, len(of)))
         of, word, place = of[starts], word[starts], place[starts]
         # in the other index the extensions of an interval follow each other in the order of their symbols
-        begin = (np.cumsum(n) - n)[of]
-        out = pd.DataFrame({"of": of, "word": word, side: self.first[word] + before[place], other: at[other].to_numpy()[of] + starts - begin, "n": size})
-        return out[out.word > 0]
+        own, other = self.first[word] + before[place], (at.right if side == "left" else at.left)[of] + starts - begin[of]
+        return At(of, word, *((own, other) if side == "left" else (other, own)), size).among(word > 0)
 
 
 def transform(symbols: np.ndarray, many: int) -> np.ndarray:
@@ -110,7 +135,35 @@ def tokens(data: bytes) -> pa.DictionaryArray:
     return found.filter(pc.not_equal(found, pa.scalar(b"", found.type))).dictionary_encode()
 
 
-_SHAPE = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("forward", pa.binary()), ("backward", pa.binary())])
+#: n is the number of a shard's words, `size` that of its different ones; these, a line each, their counts and the transforms are packed.
+_SHAPE = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("forward", pa.binary()), ("backward", pa.binary())])
+
+
+def _packed_lines(names: pa.Array) -> bytes:
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), b"\n")
+    return pa.Codec("zstd", 1).compress(lines[0].as_buffer(), asbytes=True)
+
+
+def _lines(data: pa.Buffer, size: int) -> pa.Array:
+    """The lines that were packed, as binary values."""
+    lines = pc.split_pattern(pa.array([pa.CompressedInputStream(pa.BufferReader(data), "zstd").read()], pa.binary()), b"\n")[0].values
+    return lines if size else lines[:0]
+
+
+def _spread(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of `width` bytes packed, their low bytes first."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), asbytes=True)
+
+
+def _joined(data: bytes | pa.Buffer, size: int, width: int = 4) -> np.ndarray:
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data, width * size), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, size).T).view(f"<u{width}").ravel()
+
+
+def _unspread(data: pa.Buffer) -> np.ndarray:
+    """Symbols packed by `_spread`, however many."""
+    flat = np.frombuffer(pa.CompressedInputStream(pa.BufferReader(data), "zstd").read(), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<i4").ravel()
 
 
 def _indexed(lang: str, data: bytes) -> pa.RecordBatch:
@@ -124,11 +177,10 @@ def _indexed(lang: str, data: bytes) -> pa.RecordBatch:
     number[order] = np.arange(1, len(order) + 1)
     symbols = np.concatenate([np.zeros(1, np.int32), number[found.indices.to_numpy()], np.zeros(1, np.int32)])
     many = len(order) + 1
-    pack = pa.Codec("zstd", 1)
-    blobs = [pack.compress(np.ascontiguousarray(transform(s, many)).tobytes(), asbytes=True) for s in (symbols, symbols[::-1])]
     counts = np.bincount(symbols, minlength=many)[1:]
-    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([names.take(pa.array(order)).cast(pa.binary()).cast(pa.string())], _SHAPE.field("words").type), pa.array([counts], _SHAPE.field("counts").type),
-                                       *[pa.array([b], pa.binary()) for b in blobs]], schema=_SHAPE)
+    blobs = [_packed_lines(names.take(pa.array(order)).cast(pa.binary())), _spread(counts, 8), *(_spread(transform(x, many)) for x in (symbols, symbols[::-1]))]
+    row = [lang, int(counts.sum()), len(order), *blobs]
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SHAPE)], schema=_SHAPE)
 
 
 def _shards(size: int):
@@ -162,9 +214,9 @@ def _shards(size: int):
 
 
 def indexes(docs: DataFrame, size: int = SHARD) -> DataFrame:
-    """An index in each row (lang, words, counts, forward, backward) of the texts of `docs`, as they lie in its partitions: nothing is shuffled."""
+    """An index in each row (_SHAPE) of the texts of `docs`, as they lie in its partitions: nothing is shuffled."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(_shards(size), "lang string, words array<string>, counts array<bigint>, forward binary, backward binary")
+    return rows.mapInArrow(_shards(size), "lang string, n bigint, size int, words binary, counts binary, forward binary, backward binary")
 
 
 # ---------------------------------------------------------------- tables of what is frequent
@@ -203,14 +255,17 @@ def _among(table: np.ndarray, h: np.ndarray, places: int) -> np.ndarray:
 def _read(batch: pa.RecordBatch):
     """lang, words, their counts and the transforms of each shard of a batch."""
     for i in range(batch.num_rows):
-        blobs = [np.frombuffer(pa.CompressedInputStream(pa.BufferReader(batch.column(c)[i].as_buffer()), "zstd").read(), np.int32) for c in ("forward", "backward") if c in batch.schema.names]
-        yield batch.column("lang")[i].as_py(), batch.column("words")[i].values, batch.column("counts")[i].values.to_numpy(), blobs
+        lang, size, *blobs = (batch.column(c)[i] for c in ("lang", "size", "words", "counts", "forward", "backward") if c in batch.schema.names)
+        size = size.as_py()
+        words, counts, *sides = (x.as_buffer() for x in blobs)
+        counts = _joined(counts, size, 8).astype(np.int64)
+        yield lang.as_py(), _lines(words, size).cast(pa.string()), counts, [_unspread(x) for x in sides]
         pa.default_memory_pool().release_unused()
 
 
 def _followed(batch: pa.RecordBatch, known: list[np.ndarray], places: int):
-    """(lang, words, ids, n, h) of the phrases of each shard of a batch that may be frequent: of two words if only words are known, of two
-    to four otherwise, all of whose parts are among the known, and so the phrase if its like is known. `h` is the phrase's hash."""
+    """(lang, words, ids, n, h) of the phrases of each shard of a batch that may be frequent, in pieces: of two words if only words are known,
+    of two to four otherwise, all of whose parts are among the known, and so the phrase if its like is known. `h` is the phrase's hash."""
     for lang, names, counts, blobs in _read(batch):
         one = np.append(np.uint64(0), _hashed(names.to_pylist(), lang))
         turned = [one]
@@ -221,7 +276,7 @@ def _followed(batch: pa.RecordBatch, known: list[np.ndarray], places: int):
         def hashed(ids):
             h = turned[0][ids[0]]
             for t, w in zip(turned[1:], ids[1:]):
-                h = h ^ t[w]
+                h ^= t[w]
             return h
 
         def among(ids):
@@ -232,31 +287,21 @@ def _followed(batch: pa.RecordBatch, known: list[np.ndarray], places: int):
 
         def kept(at, ids, *parts):
             own = np.logical_and.reduce([among(ids[p]) for p in (slice(None), *parts)])
-            ids = [w[own] for w in ids]
-            return at[own].reset_index(drop=True), ids
+            return at.among(own), [w[own] for w in ids]
 
         index = Index(blobs[0], blobs[1] if len(blobs) > 1 else None, len(counts) + 1)
         single = np.flatnonzero(ok)
-        two = index.extended(index.words(single), "left")
-        two, ids = kept(two, [two.word.to_numpy(), single[two.of]])
-        yield lang, names, ids, two.n.to_numpy(), hashed(ids)
-        if len(known) > 1:
-            three = index.extended(two, "left")
-            three, ids = kept(three, [three.word.to_numpy(), *[w[three.of] for w in ids]], slice(0, 2))
-            yield lang, names, ids, three.n.to_numpy(), hashed(ids)
-            four = index.extended(three, "right")
-            four, ids = kept(four, [*[w[four.of] for w in ids], four.word.to_numpy()], slice(2, 4), slice(1, 4))
-            yield lang, names, ids, four.n.to_numpy(), hashed(ids)
-
-
-def _spread(numbers: np.ndarray, width: int = 4) -> bytes:
-    """Numbers of `width` bytes packed, their low bytes first."""
-    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), asbytes=True)
-
-
-def _joined(data: bytes, size: int, width: int = 4) -> np.ndarray:
-    flat = np.frombuffer(pa.Codec("zstd").decompress(data, width * size), np.uint8)
-    return np.ascontiguousarray(flat.reshape(width, size).T).view(f"<u{width}").ravel()
+        for two in index.runs(index.words(single), "left"):
+            two, ids = kept(two, [two.word, single[two.of]])
+            yield lang, names, ids, two.n, hashed(ids)
+            if len(known) == 1:
+                continue
+            for three in index.runs(two, "left"):
+                three, inner = kept(three, [three.word, *[w[three.of] for w in ids]], slice(0, 2))
+                yield lang, names, inner, three.n, hashed(inner)
+                for four in index.runs(three, "right"):
+                    four, outer = kept(four, [*[w[four.of] for w in inner], four.word], slice(2, 4), slice(1, 4))
+                    yield lang, names, outer, four.n, hashed(outer)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +309,7 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+    return keys[starts], np.add.reduceat(n[order], starts, dtype=np.int64) if len(keys) else n
 
 
 _PACKED = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
@@ -273,7 +318,9 @@ _REST = WIDE - PARTS
 
 def _packed(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> pa.RecordBatch:
     """A row for each part that has hashes: how far each lies from the one before, and its count. No count above `least` matters."""
-    keys, n = _summed(*[np.concatenate(x) for x in zip(*held)])
+    keys, n = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    keys, n = _summed(keys, n)
     n = np.minimum(n, least)
     part = (keys >> np.uint64(_REST)).astype(np.int32)
     rest = (keys & np.uint64((1 << _REST) - 1)).astype(np.int64)
@@ -289,11 +336,10 @@ def _hashes(known, places: int, least: int):
         held = []
         for batch in batches:
             for lang, names, ids, n, h in _followed(batch, known.value, places):
-                if len(ids) > len(known.value):
-                    held.append((h & np.uint64((1 << WIDE) - 1), n))
+                if len(ids) > len(known.value) and len(h):
+                    held.append((h & np.uint64((1 << WIDE) - 1), n.astype(np.int32)))
                 if sum(len(k) for k, _ in held) > HELD:
                     yield _packed(held, least)
-                    held = []
         if held:
             yield _packed(held, least)
     return run
@@ -301,11 +347,24 @@ def _hashes(known, places: int, least: int):
 
 def _frequent(least: int):
     """Hashes of a part that occur at least `least` times."""
+    bound = np.uint64((1 << 64 - _REST) - 1)
+
     def run(rows: pa.Table) -> pa.Table:
-        part, size, steps, counts = (rows.column(f.name).to_pylist() for f in _PACKED)
-        keys = np.concatenate([np.cumsum(_joined(s, k), dtype=np.int64) for s, k in zip(steps, size)])
-        keys, n = _summed(keys, np.concatenate([_joined(c, k) for c, k in zip(counts, size)]).astype(np.int64))
-        return pa.table({"h": pa.array(keys[n >= least] + (part[0] << _REST), pa.int64())})
+        part, size, steps, counts = (rows.column(f.name) for f in _PACKED)
+        ends = np.cumsum(size.to_numpy(), dtype=np.int64)
+        # hash and count in one number, which is sorted in place
+        both = np.empty(int(ends[-1]), np.uint64)
+        for end, k, s, c in zip(ends.tolist(), size.to_pylist(), steps, counts):
+            own = both[end - k:end]
+            np.cumsum(_joined(s.as_buffer(), k), out=own)
+            own <<= np.uint64(64 - _REST)
+            own |= np.minimum(_joined(c.as_buffer(), k), bound)
+        both.sort()
+        keys = (both >> np.uint64(64 - _REST)).astype(np.uint32)
+        both &= bound
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        often = np.add.reduceat(both, starts) >= least
+        return pa.table({"h": pa.array(keys[starts[often]].astype(np.int64) + (part[0].as_py() << _REST), pa.int64())})
     return run
 
 
@@ -314,22 +373,39 @@ _LISTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("size", pa.int
 
 def _counts(held: list[pa.Table]) -> pa.Table:
     """phrase and the sum of its n, each phrase once."""
-    found = pa.concat_tables(held).group_by("phrase").aggregate([("n", "sum"), *[(c, "min") for c in held[0].column_names[2:]]])
+    found = pa.concat_tables(held).group_by("phrase", use_threads=False).aggregate([("n", "sum"), *[(c, "min") for c in held[0].column_names[2:]]])
     return found.select(["phrase", "n_sum", *found.column_names[2:]]).rename_columns(held[0].column_names)
 
 
-def _listed(lang: str, held: list[pa.Table]) -> pa.RecordBatch:
-    """A row for each part that has phrases (phrase, n, part): its phrases in order, a line each, and their counts."""
-    found = _counts(held)
+def _listed(lang: str, held: list[pa.Table]):
+    """A row for each part that has phrases (phrase, n, part): its phrases in order, a line each, and their counts. Some SLICE phrases
+    at once are summed and packed, parts whole."""
+    full = pa.concat_tables(held)
+    held.clear()
+    if not len(full):
+        return
+    part = full["part"].to_numpy()
+    order = np.argsort(part, kind="stable").astype(np.int32)
+    ends = np.cumsum(np.bincount(part, minlength=1 << SHARES))
+    full = full.combine_chunks()
+    start = 0
+    while start < len(part):
+        end = int(ends[max(np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + SLICE, "right") - 1)])
+        yield _list(lang, full.take(pa.array(order[start:end])))
+        start = end
+
+
+def _list(lang: str, rows: pa.Table) -> pa.RecordBatch:
+    found = _counts([rows])
     found = found.take(pc.sort_indices(found["phrase"]))
     found = found.take(pa.array(np.argsort(found["part"].to_numpy(), kind="stable")))
     part, n = found["part"].to_numpy(), found["n"].to_numpy()
-    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     ends = np.append(starts[1:], len(part))
     lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(part)), pa.int32()), found["phrase"].combine_chunks()), "\n").cast(pa.binary())
     pack = pa.Codec("zstd", 1)
-    rows = [(lang, int(part[i]), int(j - i), pack.compress(x.as_buffer(), asbytes=True), _spread(n[i:j], 8)) for i, j, x in zip(starts, ends, lines)]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _LISTS)] if rows else [pa.array([], f.type) for f in _LISTS], schema=_LISTS)
+    listed = [(lang, int(part[i]), int(j - i), pack.compress(x.as_buffer(), asbytes=True), _spread(n[i:j], 8)) for i, j, x in zip(starts, ends, lines)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*listed), _LISTS)], schema=_LISTS)
 
 
 def _lists(found, kept: int):
@@ -340,7 +416,8 @@ def _lists(found, kept: int):
 
         def out(lang):
             amount.pop(lang)
-            return _listed(lang, held.pop(lang))
+            yield from _listed(lang, held.pop(lang))
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for lang, names, n, h in found(batch):
@@ -348,9 +425,9 @@ def _lists(found, kept: int):
                 held.setdefault(lang, []).append(pa.table({"phrase": names, "n": pa.array(n, pa.int64()), "part": part}))
                 amount[lang] = amount.get(lang, 0) + held[lang][-1].nbytes
                 while sum(amount.values()) >= kept:
-                    yield out(max(amount, key=amount.get))
+                    yield from out(max(amount, key=amount.get))
         for lang in list(held):
-            yield out(lang)
+            yield from out(lang)
     return run
 
 
@@ -362,7 +439,8 @@ def _single(batch: pa.RecordBatch):
 def _several(known, places: int):
     def run(batch):
         for lang, names, ids, n, h in _followed(batch, known.value, places):
-            yield lang, pc.binary_join_element_wise(*[names.take(pa.array(w - 1)) for w in ids], " "), n, h
+            for i in range(0, len(n), SLICE):
+                yield lang, pc.binary_join_element_wise(*[names.take(pa.array(w[i:i + SLICE] - 1)) for w in ids], " "), n[i:i + SLICE], h[i:i + SLICE]
     return run
 
 
@@ -373,9 +451,9 @@ def _often(least: int, kept: int = KEPT):
         held: dict[str, list[pa.Table]] = {}
         amount: dict[str, int] = {}
         most: dict[str, int] = {}
-        for lang, size, names, counts in zip(*(rows.column(c).to_pylist() for c in ("lang", "size", "phrases", "counts"))):
-            lines = pc.split_pattern(pa.array([pa.CompressedInputStream(pa.BufferReader(names), "zstd").read()], pa.binary()), b"\n")[0].values
-            held.setdefault(lang, []).append(pa.table({"phrase": lines, "n": pa.array(_joined(counts, size, 8).astype(np.int64))}))
+        for lang, size, names, counts in zip(rows.column("lang").to_pylist(), rows.column("size").to_pylist(), rows.column("phrases"), rows.column("counts")):
+            lines = _lines(names.as_buffer(), size)
+            held.setdefault(lang, []).append(pa.table({"phrase": lines, "n": pa.array(_joined(counts.as_buffer(), size, 8).astype(np.int64))}))
             amount[lang] = amount.get(lang, 0) + held[lang][-1].nbytes
             if amount[lang] >= most.get(lang, kept):
                 held[lang] = [_counts(held[lang])]
@@ -401,13 +479,14 @@ def phrases(docs: DataFrame, least: int = 30, size: int = SHARD, places: int = P
     """(lang, phrase, words, n) of all phrases of one to DEPTH words that occur at least `least` times in a language, and (lang, n), its words."""
     spark = docs.sparkSession
     path = shared_path(spark, "index")
-    # the transforms are packed already
-    indexes(docs, size).write.option("compression", "lz4").parquet(path)
+    # all is packed already; readers and writers hold a row group in memory, here one shard
+    indexes(docs, size).write.options(**{"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.row.count.limit": 1}).parquet(path)
     index = spark.read.parquet(path)
-    totals = cut(index.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, b) -> a + b)")).alias("n")).where("n > 0"))
-    single = cut(_counted(index.select("lang", "words", "counts"), _single, least))
+    totals = cut(index.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
+    index = index.drop("n")
+    single = cut(_counted(index.select("lang", "size", "words", "counts"), _single, least))
     known = [_table(single.select(F.xxhash64("lang", "phrase").alias("h")), places)]
-    for read in (index.select("lang", "words", "counts", "forward"), index):
+    for read in (index.drop("backward"), index):
         sent = spark.sparkContext.broadcast(known)
         packed = read.mapInArrow(_hashes(sent, places, least), "part int, size int, steps binary, counts binary")
         known = [*known, _table(packed.groupBy("part").applyInArrow(_frequent(least), "h bigint"), places)]
@@ -439,6 +518,9 @@ def mined(docs: DataFrame, least: int = 30, top: int = 2000, size: int = SHARD,
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"]).join(known.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"])
     cuts = cuts.withColumn("score", F.expr("cast(2000000 as decimal(8,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    first = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the first of a language are among the first of its groups, which are sorted apart
+    order = (F.desc("best.score"), F.desc("a"), "phrase")
+    of_group = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))).orderBy(*order)
+    best = best.withColumn("rank", F.row_number().over(of_group)).where(F.col("rank") <= top)
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "best.l", "best.r", "n", "best.score")
